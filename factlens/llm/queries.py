@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, substring, toxicity
 
 QUERIES = {
+    "op2_subsequence_kernel_toxicity": toxicity.op2_subsequence_kernel_toxicity,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op9_seed_extend_substring_dedup": substring.op9_seed_extend_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
