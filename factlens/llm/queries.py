@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash, substring, toxicity
+from . import mixing, packing, simhash, substring, toxicity
 
 QUERIES = {
     "op2_subsequence_kernel_toxicity": toxicity.op2_subsequence_kernel_toxicity,
+    "op4_exact_complement_packing": packing.op4_exact_complement_packing,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op9_seed_extend_substring_dedup": substring.op9_seed_extend_substring_dedup,
+    "op10_curriculum_mix": mixing.op10_curriculum_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_curriculum_mix": mixing.ORACLE,
+}
