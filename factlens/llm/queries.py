@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, substring, toxicity
+from . import hilbert, mixing, packing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op2_subsequence_kernel_toxicity": toxicity.op2_subsequence_kernel_toxicity,
     "op4_exact_complement_packing": packing.op4_exact_complement_packing,
+    "op5_hilbert_neighbours": hilbert.op5_hilbert_neighbours,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_weak_supervision_quality": quality.op7_weak_supervision_quality,
     "op9_seed_extend_substring_dedup": substring.op9_seed_extend_substring_dedup,
