@@ -42,7 +42,7 @@ def run(units: DataFrame, load_model: Callable[[], Callable[[list[str]], list[li
                             raise ValueError(f"{len(vectors)} vectors for {n} texts")
                     except Exception as e:  # noqa: BLE001
                         vectors, status, error = [None] * n, ["failed"] * n, [f"{type(e).__name__}: {e}"] * n
-                yield pd.DataFrame({"unit_id": part.unit_id.to_numpy(), "embedding": vectors, "embedding_status": status, "embedding_error": error})
+                yield pd.DataFrame({"unit_id": part.unit_id.to_numpy(), "embedding": vectors, "embedding_status": status, "embedding_error": error}, dtype=object)
 
     return rows.mapInPandas(job, f"unit_id {kind}, embedding array<float>, embedding_status string, embedding_error string")
 

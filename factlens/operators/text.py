@@ -46,9 +46,13 @@ def content_tokens(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
 
 
 def ngrams(c: Column, n_min: int = 2, n_max: int = 3) -> Column:
-    """Runs of n tokens, joined by a space."""
-    each = [F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i, n=n: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(n_min, n_max + 1)]
-    return F.concat(*each)
+    """Runs of n tokens, joined by a space. `c` should be a column, not an expression, which would be computed for every run."""
+
+    def runs(n: int) -> Column:
+        start = F.sequence(F.lit(1), F.size(c) - n + 1)
+        return F.when(F.size(c) >= n, F.transform(start, lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(n_min, n_max + 1)])
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -82,7 +86,8 @@ def term_stats(units: DataFrame, terms: Column | None = None, min_freq: int = 2,
 
 
 def phrases(units: DataFrame, top: int | None = 30, by: tuple[str, ...] = ()) -> DataFrame:
-    return term_stats(units, ngrams(content_tokens(F.col("content"))), top=top, by=by)
+    split = units.withColumn("__tokens", content_tokens(F.col("content")))
+    return term_stats(split, ngrams(F.col("__tokens")), top=top, by=by)
 
 
 def keywords(units: DataFrame, top_terms: int | None = 60, top_phrases: int | None = 30, by: tuple[str, ...] = ()) -> DataFrame:

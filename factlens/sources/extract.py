@@ -35,7 +35,7 @@ def run(files_df: DataFrame, extractors: dict[str, Callable[[bytes], Iterator[di
                         rows.append({"document_id": document_id, "page_number": i, "content_type": "page", "extraction_status": None, **unit})
                 except Exception as e:  # noqa: BLE001  the file's own fault becomes a row
                     rows.append({"document_id": document_id, "page_number": 1, "content_type": "page", "extraction_status": "failed", "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     out = files_df.select("document_id", "path", "content").mapInPandas(job, UNIT)
     return unit_status(out.withColumn("extracted_text", normalize_page_text(F.col("extracted_text"))))

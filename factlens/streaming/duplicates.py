@@ -28,7 +28,7 @@ def flag_duplicates(source: DataFrame, keys: tuple[str, ...] = ("entity", "repor
         if ttl:
             state.setTimeoutDuration(int(ttl))
         if len(rows):
-            yield pd.DataFrame({"record_id": rows.record_id, "document_id": rows.document_id, "rule_code": "DUPLICATE_DETECTED", "status": "warning", "first_record_id": first})
+            yield pd.DataFrame({"record_id": rows.record_id, "document_id": rows.document_id, "rule_code": "DUPLICATE_DETECTED", "status": "warning", "first_record_id": first}).astype({"rule_code": object, "status": object})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
     names = [f"k{i}" for i in range(len(keys))]
