@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _segments(distance: int) -> list[tuple[int, int]]:
     """(lowest bit, length) of the segments, of which one must differ by one bit at most."""
-    n = max(1, -(-(distance + 1) // 2))
+    n = max(2, -(-(distance + 1) // 2))  # two at least, so that a segment's numbers stay below the sign bit
     cuts = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -61,7 +61,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     segments = _segments(distance)
     variants = []
     for k, (low, size) in enumerate(segments):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << size) - 1))
         for w in range(size):
             rest = part.bitwiseAND(F.lit(~(1 << w)))
             variants.append(F.struct(F.lit(k * BITS + w).cast("short").alias("slot"), rest.alias("rest")))
@@ -72,7 +72,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     # A pair may meet under many keys; one is its own: the first segment that differs by a bit at most, without that bit.
     own, earlier = F.lit(False), F.lit(True)
     for k, (low, size) in enumerate(segments):
-        diff = F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))
+        diff = F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << size) - 1))
         left_out = F.when(diff == 0, F.lit(k * BITS)).otherwise(F.lit(k * BITS) + F.bit_count(diff - 1))
         own = own | (earlier & (F.bit_count(diff) <= 1) & (slot == left_out))
         earlier = earlier & (F.bit_count(diff) > 1)
