@@ -114,11 +114,11 @@ def eligibility_counts(spark, sf_dir):
   SELECT entity, metric, unit, min(reporting_period) AS first_period, max(reporting_period) AS last_period, arg_min(lo, reporting_period) AS a, arg_max(lo, reporting_period) AS b, count(*) AS n_points
   FROM cell WHERE lo = hi GROUP BY ALL)
 SELECT entity, metric, unit, first_period, last_period, round(a::DOUBLE, 4) AS first_value, round(b::DOUBLE, 4) AS last_value, n_points, round((b - a)::DOUBLE, 4) AS absolute_change,
-       CASE WHEN a <> 0 THEN round(((b - a) * 100)::DOUBLE / a::DOUBLE, 3) END AS percent_change,
+       CASE WHEN a <> 0 THEN round(((b - a) * 100)::DOUBLE / a::DOUBLE, 6) END AS percent_change,
        CASE WHEN n_points < 2 THEN 'insufficient' WHEN b > a THEN 'increasing' WHEN b < a THEN 'decreasing' ELSE 'unchanged' END AS direction FROM t""")
 def trends_first_last(spark, sf_dir):
     out = A.trends(_classified(spark, sf_dir))
-    return out.select("entity", "metric", "unit", "first_period", "last_period", _d("first_value", 4), _d("last_value", 4), "n_points", _d("absolute_change", 4), _d("percent_change", 3), "direction")
+    return out.select("entity", "metric", "unit", "first_period", "last_period", _d("first_value", 4), _d("last_value", 4), "n_points", _d("absolute_change", 4), _d("percent_change", 6), "direction")
 
 
 @query(f"""{BASE}, t AS (SELECT entity, metric, unit, min(reporting_period) AS p0, max(reporting_period) AS p1 FROM cell WHERE lo = hi GROUP BY ALL),
