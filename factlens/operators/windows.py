@@ -16,14 +16,21 @@ def running_budget(df: DataFrame, keys: list[str], order: list[Column | str], am
     return df.withColumn("used", F.sum(amount).over(frame)).where(F.col("used") <= cap)
 
 
-def global_budget(df: DataFrame, key: str, order: list[Column | str], amount: Column, cap: int) -> DataFrame:
-    """A running budget over keys in order: each key starts where the one before ended. Sums of keys meet in one small window, the
-    rows in one a key."""
-    sums = df.groupBy(key).agg(F.sum(amount).alias("__sum"))
-    before = sums.withColumn("__before", F.sum("__sum").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1))).where(F.coalesce("__before", F.lit(0)) <= cap).select(F.col(key).alias("__key"), "__before")
-    frame = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = df.join(before, F.col(key) == F.col("__key")).drop("__key")
-    return joined.withColumn("used", F.coalesce("__before", F.lit(0)) + F.sum(amount).over(frame)).where(F.col("used") <= cap).drop("__before")
+def global_budget(df: DataFrame, key: str, order: list[Column | str], amount: Column, cap: int, buckets: int = 256) -> DataFrame:
+    """A running budget over all rows in order of key (a number) and order; adds `used`.
+
+    Rows are dealt by approximate quantiles of the key into buckets in order; the sums of these are added up in one window of
+    `buckets` rows, the rows of each bucket in a window of its own.
+    """
+    edges = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    edges = sorted(set(edges))
+    bucket = sum(((F.col(key) > e).cast("int") for e in edges), start=F.lit(0))
+    dealt = df.withColumn("__bucket", bucket)
+    sums = dealt.groupBy("__bucket").agg(F.sum(amount).alias("__sum"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("__before") <= cap).drop("__sum")
+    frame = W.partitionBy("__bucket").orderBy(key, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = dealt.join(F.broadcast(before), "__bucket").withColumn("used", F.col("__before") + F.sum(amount).over(frame))
+    return running.where(F.col("used") <= cap).drop("__bucket", "__before")
 
 
 def minmax(df: DataFrame, by: list[str], c: str, out: str) -> DataFrame:
