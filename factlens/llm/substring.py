@@ -84,7 +84,8 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _contested_runs(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, id, at) of every run of the wanted stretches; wanted: id, stretches array<struct<anchor, first, runs>>."""
+    """(key, id, at array<int>) of the runs of the wanted stretches: one row for all places of a content in a document, so that a
+    few words repeated on and on cost no more than once; wanted: id, stretches array<struct<anchor, first, runs>>."""
     joined = docs.join(wanted, "id").select("id", "text", "stretches")
 
     def run(batches):
@@ -96,9 +97,13 @@ def _contested_runs(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 at = np.concatenate([np.arange(w["first"], w["first"] + w["runs"]) for w in wants])
                 anchor = np.concatenate([np.full(w["runs"], w["anchor"], np.int64) for w in wants])
                 key = mix(rolling.between(sums, at, at + length) + mix(anchor.view(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32))], ["key", "id", "at"])
+                order = np.argsort(key, kind="stable")
+                key, at = key[order], at[order].astype(np.int32)
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), b.column(0).take(pa.array(np.full(len(new), i))), places], ["key", "id", "at"])
 
-    return joined.mapInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, at int")
+    return joined.mapInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, at array<int>")
 
 
 def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,7 +127,8 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     wanted = edge.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "runs")).alias("stretches"))
     runs = materialize(_contested_runs(frame, wanted, length), "runs")
     sources = runs.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("key", "source")
-    late = runs.join(sources, "key").where("id > source").select("id", F.struct(F.col("at").alias("first"), F.lit(1).alias("runs")).alias("span"))
+    late = runs.join(sources, "key").where("id > source").select("id", F.explode("at").alias("first"))
+    late = late.select("id", F.struct("first", F.lit(1).alias("runs")).alias("span"))
     # A copy of an edge stretch in a later document is judged whole above, for its first document has the smaller id.
     return judged.unionByName(late).groupBy("id").agg(F.collect_list("span").alias("repeats")).withColumnRenamed("id", id_col)
 
