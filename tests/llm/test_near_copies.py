@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from factlens.llm import simhash, substring
+from factlens.llm import minhash, simhash, substring
 from factlens.llm.components import components
 
 DOCS = "doc_id long, text string, fp string, anchor int"  # extra columns whose names the operators use themselves
@@ -132,3 +132,35 @@ def test_substring_cut_keeps_spacing_and_rows(spark):
     assert out.columns == ["doc_id", "text", "fp", "anchor"]
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, shared), (2, "before,\nafter  it"), (3, ""), (0, shared), (4, "short"), (4, "short")])
     assert substring.cut(docs(spark, []), length=20).count() == 0
+
+
+def sets_of(text):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for base in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 300))]
+        texts.append(" ".join(words))
+        for _ in range(4):  # copies on both sides of the threshold
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), max(1, round(len(copy) * rng.uniform(0.0, 0.06)))):
+                copy[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], texts[0].upper(), None, "", " \t", "one", "one two"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (0, texts[7]), (7, texts[0]), (None, texts[3]), (None, "no id"), (None, "no id")]
+    rng.shuffle(rows)
+    sets = [sets_of(t) for _, t in rows]
+    alike = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if alike(sets[i], sets[j])]
+    groups = {}
+    for n, r in brute_components(near, range(len(rows))).items():
+        groups.setdefault(r, []).append(n)
+    want = sorted(str(min((rows[n][0] for n in g if rows[n][0] is not None), default=None)) for g in groups.values())
+    kept = minhash.dedup(docs(spark, rows))
+    assert kept.columns == ["doc_id", "text", "fp", "anchor"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    assert minhash.dedup(docs(spark, [])).count() == 0
