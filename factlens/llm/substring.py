@@ -66,7 +66,7 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         words, rolling = _Words(), Rolling()
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, row_keys, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             found, rows = [], []
             for i, text in enumerate(texts):
                 parts = encode(text).split()
@@ -77,21 +77,21 @@ def _seeds(docs: DataFrame, length: int) -> DataFrame:
             if found:
                 a, c, first, count = (np.concatenate(x) for x in zip(*found))
                 at = pa.array(np.concatenate(rows))
-                columns = [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "id", "first", "runs"])
+                columns = [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(at), row_keys.take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "id", "row_key", "first", "runs"])
 
-    return docs.mapInArrow(run, f"anchor long, content long, id {docs.schema['id'].dataType.simpleString()}, first int, runs int")
+    return docs.mapInArrow(run, f"anchor long, content long, id {docs.schema['id'].dataType.simpleString()}, row_key long, first int, runs int")
 
 
 def _contested_runs(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, id, at array<int>) of the runs of the wanted stretches: one row for all places of a content in a document, so that a
-    few words repeated on and on cost no more than once; wanted: id, stretches array<struct<anchor, first, runs>>."""
-    joined = docs.join(wanted, "id").select("id", "text", "stretches")
+    """(key, id, row_key, at array<int>) of the runs of the wanted stretches: one row for all places of a content in a document, so that a
+    few words repeated on and on cost no more than once; wanted: id, row_key, stretches array<struct<anchor, first, runs>>."""
+    joined = docs.join(wanted, ["id", "row_key"]).select("id", "row_key", "text", "stretches")
 
     def run(batches):
         words, rolling = _Words(), Rolling()
         for b in batches:
-            for i, (text, wants) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            for i, (text, wants) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 hashes = words.hashes(encode(text).split())
                 sums = rolling.sums(hashes)
                 at = np.concatenate([np.arange(w["first"], w["first"] + w["runs"]) for w in wants])
@@ -101,18 +101,19 @@ def _contested_runs(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 key, at = key[order], at[order].astype(np.int32)
                 new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 places = pa.ListArray.from_arrays(pa.array(np.r_[new, len(at)].astype(np.int32)), pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), b.column(0).take(pa.array(np.full(len(new), i))), places], ["key", "id", "at"])
+                row = pa.array(np.full(len(new), i))
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), b.column(0).take(row), b.column(1).take(row), places], ["key", "id", "row_key", "at"])
 
-    return joined.mapInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, at array<int>")
+    return joined.mapInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, row_key long, at array<int>")
 
 
 def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, repeats array<struct<first, runs>>) of documents with runs of `length` words that stand in a document of smaller id.
+    """(id, row_key, repeats array<struct<first, runs>>) of documents with runs of `length` words that stand in a document of smaller id.
 
     `first` counts words from 0, `runs` neighbouring runs start there. Rows with a null id neither repeat nor are repeated;
-    rows that share an id count as one document.
+    rows that share an id count as one document, but each has the spans of its own text: row_key is the text's xxhash64.
     """
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    frame = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).where("id is not null")
     seeds = materialize(_seeds(frame, length), "seeds")
     # Look up whole stretches: the first document of each content, and of each anchor.
     contents = seeds.groupBy("anchor", "content").agg(F.min("id").alias("source"))
@@ -120,17 +121,17 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     rival = contents.join(anchors.where("contents > 1"), "anchor", "left").select("anchor", "content", "source", "least")
     rival = rival.where("least is not null")
     judged = materialize(
-        seeds.alias("s").join(contents.alias("c"), ["anchor", "content"]).where("s.id > c.source").select("s.id", F.struct("s.first", "s.runs").alias("span")), "whole"
+        seeds.alias("s").join(contents.alias("c"), ["anchor", "content"]).where("s.id > c.source").select("s.id", "s.row_key", F.struct("s.first", "s.runs").alias("span")), "whole"
     )
     # At the edges: the first document of each content that shares its anchor with other contents.
     edge = seeds.join(rival, ["anchor", "content"]).where("id = source")
-    wanted = edge.groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "runs")).alias("stretches"))
+    wanted = edge.groupBy("id", "row_key").agg(F.collect_list(F.struct("anchor", "first", "runs")).alias("stretches"))
     runs = materialize(_contested_runs(frame, wanted, length), "runs")
     sources = runs.groupBy("key").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last").select("key", "source")
-    late = runs.join(sources, "key").where("id > source").select("id", F.explode("at").alias("first"))
-    late = late.select("id", F.struct("first", F.lit(1).alias("runs")).alias("span"))
+    late = runs.join(sources, "key").where("id > source").select("id", "row_key", F.explode("at").alias("first"))
+    late = late.select("id", "row_key", F.struct("first", F.lit(1).alias("runs")).alias("span"))
     # A copy of an edge stretch in a later document is judged whole above, for its first document has the smaller id.
-    return judged.unionByName(late).groupBy("id").agg(F.collect_list("span").alias("repeats")).withColumnRenamed("id", id_col)
+    return judged.unionByName(late).groupBy("id", "row_key").agg(F.collect_list("span").alias("repeats")).withColumnRenamed("id", id_col)
 
 
 def covered(n_words: int, spans: list[dict] | None, length: int) -> np.ndarray:
@@ -145,8 +146,8 @@ def covered(n_words: int, spans: list[dict] | None, length: int) -> np.ndarray:
 
 
 def _with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, length, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("repeats").alias("__repeats"))
-    return docs.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    found = repeats(docs, length, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("row_key").alias("__row"), F.col("repeats").alias("__repeats"))
+    return docs.join(found, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__row")), "left").drop("__id", "__row")
 
 
 def cut(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,6 +134,16 @@ def test_substring_cut_keeps_spacing_and_rows(spark):
     assert substring.cut(docs(spark, []), length=20).count() == 0
 
 
+def test_substring_spans_go_by_row(spark):
+    rng = random.Random(5)
+    word = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(500)}" for _ in range(n)]
+    shared, other = word(60), word(60)
+    long, short = word(200) + shared + word(20) + other[:40], other + word(3)
+    texts = [(1, " ".join(word(5) + shared + word(5))), (2, " ".join(long)), (2, " ".join(short)), (3, " ".join(word(4) + other[10:] + word(9))), (4, " ".join(long[150:280]))]
+    got = sorted(map(tuple, substring.digests(docs(spark, texts), length=20).collect()))
+    assert got == slow_cut(texts, 20)
+
+
 def sets_of(text):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
