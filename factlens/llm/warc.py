@@ -64,8 +64,14 @@ def resolve_revisits(records: DataFrame, id_col: str = "record_id", url_col: str
     sums = last.join(second, ["url", "part"], "left")
     parts = ranged.groupBy("url", "part").agg(F.min("ts").alias("first_ts")).where("url is not null").join(sums, ["url", "part"], "left")
     earlier = W.partitionBy("url").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    # A time that closes an earlier range may open this one; then what counts for its rows is before that time.
-    handed = parts.withColumn("last", F.max("last").over(earlier)).withColumn("all_prior", F.max(F.when(F.col("top") < F.col("first_ts"), F.col("prior")).otherwise(F.col("prior"))).over(earlier))
+    # A time that closes an earlier range may open this one; then what counts for its rows is before that time. Of the responses of
+    # earlier times the latest is the last of its range or, where that range closes with the shared time, the second.
+    closing = sums.select("url", F.explode(F.array("last", "prior")).alias("at")).where("at is not null")
+    openings = parts.select("url", F.col("first_ts").alias("ts"), "part", F.lit(None).cast(closing.schema["at"].dataType).alias("at"))
+    events = openings.unionByName(closing.select("url", F.col("at.ts").alias("ts"), F.lit(None).cast("int").alias("part"), "at"))
+    events = events.withColumn("time_rank", F.dense_rank().over(W.partitionBy("url").orderBy(F.col("ts").asc_nulls_first())))
+    prior = events.withColumn("all_prior", F.max("at").over(W.partitionBy("url").orderBy("time_rank").rangeBetween(W.unboundedPreceding, -1))).where("part is not null")
+    handed = parts.withColumn("last", F.max("last").over(earlier)).join(prior.select("url", "part", "all_prior"), ["url", "part"])
     handed = handed.select("url", "part", F.col("last").alias("handed_last"), F.col("all_prior").alias("handed_prior"))
     seen = local.where("not full").join(handed, ["url", "part"], "left")
     usable = lambda c: F.when(F.col(f"{c}.ts") < F.col("ts"), F.col(c))

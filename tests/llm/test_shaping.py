@@ -204,3 +204,26 @@ def test_revisits(spark, partitions):
         assert r.headers == (old | {k: v for k, v in h.items() if k in warc.PERMITTED} if agrees else h)
         assert (r.response_id, r.digest) == ((best[0], best[5]) if agrees else (None, None))
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first", [(5,), (4, 5)])
+def test_a_time_that_spans_ranges(spark, first, monkeypatch):
+    """Range 1 ends at 5, range 2 holds time 6 only, range 3 opens with revisits at 6: what is before 6 comes from range 1."""
+    url, none = "http://hot.com/a", {}
+    rows = [(i, url, t, "response", none, f"d{i}", 0) for i, t in enumerate(first)]
+    rows += [(10 + i, url, 6, "response", none, "six", 1) for i in range(5)]
+    rows += [(20 + i, url, 6, "revisit", none, None, 2) for i in range(3)] + [(30, url, 7, "revisit", none, None, 2), (31, url, 6, "response", none, "last", 2)]
+    seen = []
+    stored = warc.materialize
+    from pyspark.sql import functions as F
+
+    def placed(df, name):  # the ranges of the example, whatever Spark's sampling would choose
+        at = F.when(F.col("ts") < 6, 0).when((F.col("id") < 20), 1).otherwise(2)
+        seen.append(name)
+        return stored(df.withColumn("part", at.cast("int")), name)
+
+    monkeypatch.setattr(warc, "materialize", placed)
+    tagged = [(*r[:4], {"etag": str(r[2])} if r[3] == "response" else {"etag": "5" if r[2] == 6 else "6"}, *r[5:]) for r in rows]
+    out = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(tagged, RECORDS)).collect()}
+    assert seen == ["records"]
+    assert {out[i].response_id for i in (20, 21, 22)} == {len(first) - 1} and out[30].response_id == 31
