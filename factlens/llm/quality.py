@@ -21,6 +21,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 PLAIN = frozenset(SYMBOLS)
 BLANK = " \t\n\v\f\r"
+#: Pseudo-documents of the belief in each class: enough to keep the classes from trading places, outweighed by any corpus.
+PRIOR = 100.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_alpha", "n_shouts", "n_marked")
 
 
@@ -113,7 +115,7 @@ def default_rules() -> list[Rule]:
 def fit(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of good texts, table, posterior). votes: patterns by rules, 0 to 2; table[c, r, v]: how often rule r votes v on
     class c (0 bad, 1 good). Starts from the belief that a good text hardly ever gets a vote against it, while a bad one passes most rules, since it
-    is bad in one way; each class keeps a pseudo-count of that belief, which also keeps the classes from trading places and empty tables from dividing by 0."""
+    is bad in one way; each class keeps PRIOR pseudo-documents of that belief, whatever the number of texts, which also keeps the classes from trading places and empty tables from dividing by 0."""
     rules = votes.shape[1]
     total = max(1.0, float(count.sum()))
     hot = np.stack([votes == v for v in range(3)], -1).astype(float)
@@ -123,7 +125,7 @@ def fit(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[float,
     voting = 1 - belief[0, :, 0]
     belief[1, :, 1], belief[1, :, 2] = 0.997 * voting, 0.003 * voting
     belief[0, :, 1], belief[0, :, 2] = 0.7 * voting, 0.3 * voting
-    table, share, strength = belief.copy(), 0.85, total + 10
+    table, share, strength = belief.copy(), 0.85, PRIOR
     for _ in range(rounds):
         posterior = _posterior(votes, share, table)
         new = np.empty_like(table)

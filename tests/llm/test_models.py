@@ -122,6 +122,20 @@ def test_votes_and_posterior(spark):
     assert p[0] > 0.9 and p[1] < 0.5 and 0 < share < 1 and np.allclose(table.sum(-1), 1)
 
 
+@pytest.mark.parametrize("bad_share", [0.15, 0.3])
+def test_planted_accuracies_are_recovered(bad_share):
+    against = np.array([[0.9, 0.75, 0.6, 0.5, 0.35, 0.2], [0.01, 0.05, 0.02, 0.1, 0.03, 0.08]])  # votes 2 on bad and on good texts
+    apart = []
+    for n in (3_000, 300_000):
+        rng = np.random.default_rng(3)
+        good = rng.random(n) >= bad_share
+        votes = np.where(rng.random((n, 6)) < against[good.astype(int)], 2, 1)
+        patterns, count = np.unique(votes, axis=0, return_counts=True)
+        share, table, _ = quality.fit(patterns, count.astype(float))
+        apart.append(max(np.abs(table[:, :, 2] - against).max(), abs(share - (1 - bad_share))))
+    assert apart[1] < apart[0] and apart[1] < 0.02
+
+
 def slow_neighbours(rows, queries, k):
     out = []
     for q in queries:
