@@ -6,8 +6,9 @@ still shares most of the mass of the plain one. Values are divided by what a tok
 
 Training is multiple-instance: the labelled text is the bag, the tokens of its sentences are the instances. On a bounded
 sample of labelled rows Spark counts in how many toxic and clean texts each token stands; tokens bound to toxic texts
-(likelihood ratio) are the first positive instances, tokens of clean texts the negative ones, and toxic texts that the
-machine does not explain yet give their best token in the next round. Landmarks span the Nyström feature space, in which
+(likelihood ratio) are the positive instances, tokens of clean texts the negative ones, and clean texts that score too high
+give their best token as a further negative one in the next round. No positive is added: an insult that is rare in the sample
+and unlike the others, or a phrase of ordinary words, is not learnt. Landmarks span the Nyström feature space, in which
 a linear machine with squared hinge is fitted. The sum over landmarks is linear in the subsequences of a token, so it is
 folded, without loss, into one weight per subsequence before the corpus is scored.
 
