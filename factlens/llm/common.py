@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,18 +20,31 @@ def encode(text: str | None) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share, by spark.checkpoint.dir. Where it is unset only a local master, which has no other
+    machines, may use one of its own; elsewhere executors would write where the driver does not read."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors. What discard() does not
+    delete before goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    target, system = _path(spark, path)
+    system.deleteOnExit(target)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._llm_path = path
@@ -43,9 +55,8 @@ def discard(df: DataFrame | None) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_llm_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        target, system = _path(df.sparkSession, path)
+        system.delete(target, True)
 
 
 class Rolling:

@@ -11,6 +11,8 @@ their rank among those of equal length, which a two-level count over hash bucket
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -19,11 +21,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-CAPACITY, END_ID, BUCKETS = 1024, 2, 1024
+CAPACITY, END_ID = 1024, 2
+#: About how many pieces of one length are ranked in one group.
+BUCKET_ROWS = 20_000
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, longest first) with how many sequences have them; counts[n]: pieces of length n."""
+    """Patterns (lengths of one sequence, longest first) with how many sequences have them; counts[n]: pieces of length n.
+
+    Triples may use up short pieces that many long ones need; so a plan with them is held against one without, and the fewer
+    sequences win.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with exact complements of up to `most` pieces."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     out: list[tuple[tuple[int, ...], int]] = []
@@ -44,6 +58,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
             there = there[there != n]
         if gap and left[gap] and (gap != n or left[n] > 1):
             return (n, gap)
+        if most < 2:
+            return None
         have = left.copy()
         have[n] -= 1
         there = np.flatnonzero(have[: gap + 1])
@@ -53,6 +69,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
         if ok.any():
             k = int(np.argmax(ok))
             return (n, int(a[k]), int(b[k]))
+        if most < 3:
+            return None
         for x in there[::-1]:
             rest = gap - int(x)
             if rest < 2:
@@ -86,29 +104,57 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
 
 
 _TOKENIZERS: dict = {}
+#: What the pre-tokenizer may take for white space; every run of it starts a new chunk of a text.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 
 class _Tokenizer:
-    """Token ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
+    """Token ids of whole texts by the tokenizers library, as bytes of little-endian unsigned 32-bit numbers.
 
-    The vocabulary is the file's; where it is a byte-level BPE whose numbers are its merge ranks, the merges run in tiktoken,
-    which gives the ids that tokenizers gives in a fifth of the time (the tests hold one against the other). Strings of special
-    tokens in a text are ordinary text.
+    A byte-level pre-tokenizer never makes a token of something and white space behind it, so the ids of a text are those of its
+    chunks: white space and what follows up to the next one. The ids of short chunks are kept up to a bound, since words repeat,
+    and tokenizers encodes what is new of a batch at once. With another pre-tokenizer, or one that sees more than a chunk, whole
+    texts are encoded. Strings of special tokens are read as that file has it.
     """
 
-    def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, path: str, keep: int = 500_000, longest: int = 48) -> None:
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others follow from 256
-        letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        ranks = {bytes(letter[c] for c in token): n for token, n in vocabulary.items() if not token.startswith("<|")}
-        self.model = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str | None) -> bytes:
-        return self.model.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        special = [t for t in spec.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or t["single_word"] or CHUNK.fullmatch(t["content"]) is None or t["content"][:1].isspace()]
+        self.by_chunk = plain and not special
+        self.model, self.known, self.keep, self.longest = Tokenizer.from_file(path), {}, keep, longest
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._ids([t or "" for t in texts])
+        parts = [CHUNK.findall(t) if t else [] for t in texts]
+        new = list(set().union(*parts).difference(self.known))
+        now = dict(zip(new, self._ids(new)))
+        if len(self.known) + len(now) <= self.keep:
+            self.known.update((c, i) for c, i in now.items() if len(c) <= self.longest)
+        known = self.known
+        return [b"".join([known[c] if c in known else now[c] for c in p]) for p in parts]
+
+
+def _batches(texts: list[str | None], rows: int = 1000, chars: int = 4_000_000):
+    """Places (from, to) of groups of texts, bounded in rows and, but for single texts, in characters."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and (i - start >= rows or held + n > chars):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -119,13 +165,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         model = _TOKENIZERS.get(tokenizer) or _TOKENIZERS.setdefault(tokenizer, _Tokenizer(tokenizer))
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 1000):
+            for lo, hi in _batches(texts):
                 rows = []
-                for i, text in enumerate(texts[lo : lo + 1000], lo):
-                    ids = model.encode(text) + end
+                for i, ids in enumerate(model.encode(texts[lo:hi]), lo):
+                    ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                     for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
@@ -158,19 +205,21 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {n: tuple(np.array(x, np.int64) for x in zip(*v)) for n, v in found.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """Adds sequence_id and offset to a frame with a column length (1 to capacity). The frame is read more than once and must not
-    change between reads, so it should be a written table. Rows that agree in all columns may swap places."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to a frame with a column length (1 to capacity). Pieces are ranked by number of their row in the
+    written table, so those that agree in all columns spread like any others; they may swap places."""
     keys = [c for c in parts.columns if c != "ids"]
-    ranked = parts.withColumn("__h", F.xxhash64(*keys)).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
-    counts = ranked.groupBy("length", "__b").agg(F.count("*").alias("n"))
-    # `capacity` times `buckets` rows at most, whatever the data hold.
+    stored = materialize(parts.withColumn("__salt", F.monotonically_increasing_id()), "pieces")
+    # `capacity` rows at most, whatever the data hold.
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect():
         histogram[r["length"]] = r["n"]
+    buckets = max(16, -(-int(histogram.max()) // bucket_rows))
+    ranked = stored.withColumn("__h", F.xxhash64("__salt", *keys)).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("long"))
+    counts = ranked.groupBy("length", "__b").agg(F.count("*").alias("n"))
     table = places(plan(histogram, capacity))
     before = counts.withColumn("__before", F.sum("n").over(W.partitionBy("length").orderBy("__b")) - F.col("n")).drop("n")
-    inside = F.row_number().over(W.partitionBy("length", "__b").orderBy("__h", *keys)) - 1
+    inside = F.row_number().over(W.partitionBy("length", "__b").orderBy("__h", "__salt")) - 1
     ordered = ranked.withColumn("__r", inside).join(before, ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__r"))
     frame = ordered.select(*parts.columns, "__rank")
     at, names = parts.columns.index("length"), [*parts.columns, "sequence_id", "offset"]
@@ -194,7 +243,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places; sequences hold `capacity` tokens at most. No documents: no rows."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), capacity)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

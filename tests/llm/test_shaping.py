@@ -36,7 +36,6 @@ def test_packed_documents(spark):
 
     path = packing.tokenizer_path()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     rng = random.Random(6)
     texts = [(i, " ".join(rng.choice(["the", "cat", "sat\n", "über", "日本", "<|endoftext|>", "  x"]) for _ in range(rng.randrange(0, 200)))) for i in range(60)]
     texts += [(100, None), (101, ""), (102, "word " * 3000), (103, "same"), (103, "same"), (None, "no id")]
@@ -59,10 +58,27 @@ def test_packed_documents(spark):
         assert at <= 64
     assert len(rows) <= -(-sum(r.length for r in out) // 64) + 1
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+    same = spark.range(300).selectExpr("cast(1 as long) as doc_id", "'the same' as text")  # rows that agree in all columns
+    assert packing.pack_documents(same, path, capacity=8).select("sequence_id", "offset").distinct().count() == 300
     ids = packing.pieces(spark.createDataFrame([(1, "the cat")], "doc_id long, text string"), path, with_ids=True).first().ids
     assert ids == [*model.encode("the cat", add_special_tokens=False).ids, 2]
 
 
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    model, ours = Tokenizer.from_file(path), packing._Tokenizer(path, keep=50)
+    assert ours.by_chunk
+    rng = random.Random(8)
+    odd = [" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "don't", "it's", "<|endoftext|>", "a", "12", "Ü", "日本", "!?", "…", "'", "\x00", "\U0001f600"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", " " * 1_000_000, "\n" * 1_000_000, "x" * 100_000, "", None]
+    assert ours.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert len(ours.known) <= 50
+    assert [list(packing._batches(t, 2, 10)) for t in ([], ["a" * 30], ["a", None, "b"], ["a" * 6, "b" * 6])] == [[], [(0, 1)], [(0, 2), (2, 3)], [(0, 1), (1, 2)]]
+
+
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, "w " * rng.randrange(0, 30), f"s{rng.randrange(5)}" if i % 9 else None, 3) for i in range(300)] + [(500, None, "s0", 3), (501, "", "empty", 3), (7, "w w", "s1", 3)]
@@ -87,7 +103,8 @@ def test_mix(spark):
     for r in out:
         s = source[(r.doc_id, r.size)]
         assert r.source_size == by[s] and abs(r.target - (2 * by[s] if s in full else weight[s] * level)) < 1e-6
-        assert 0 <= r.taken <= 2 * r.size and (r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1)
+        assert 0 <= r.taken <= 2 * r.size and bool(r.positions) == (r.taken > 0) and sorted(r.positions) == r.positions and all(0 <= p <= 1 for p in r.positions)
+        assert len(r.positions) == (-(-r.taken // r.size) if r.size else 0)
         taken[s] += r.taken
     assert all(abs(taken[s] - (2 * by[s] if s in full else weight[s] * level)) < 1 for s in names)
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
@@ -97,6 +114,45 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.apply(docs.limit(0)).count() == 0
 
 
+def test_passes_follow_the_schedules(spark):
+    """Words by eighths of training time against the integral of each source's schedule, for sources taken twice and in part."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(1, 12), f"s{i % 3}") for i in range(6000)] + [(i, "w " * 5, "s2") for i in range(6000, 30000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, total = np.zeros((3, 8)), np.zeros(3)
+    sources = {i: int(s[1]) for i, _, s in rows}
+    for r in mixing.mix(docs).collect():
+        for k, p in enumerate(r.positions):
+            got[sources[r.doc_id], min(7, int(p * 8))] += min(r.size, r.taken - k * r.size)
+        total[sources[r.doc_id]] += r.taken
+    assert total[0] > 1.9 * sum(len(t.split()) for _, t, s in rows if s == "s0")
+    for k, schedule in enumerate(mixing.SCHEDULES):
+        t = np.linspace(0, 1, 8001)
+        w = np.interp((t[1:] + t[:-1]) / 2, *zip(*schedule)).reshape(8, -1).sum(1)
+        assert np.abs(got[k] / total[k] - w / w.sum()).max() < 0.005, k
+
+
+def test_mixed_corpus_has_every_pass_in_order(spark):
+    rng = random.Random(10)
+    rows = [(i, f"d{i} " * rng.randrange(1, 30), f"s{i % 4}") for i in range(400)] + [(3, "other text of one id", "s3")] * 3 + [(900, None, "s0"), (901, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got, longest = {}, {}, {}
+    for r in mixing.mix(docs).join(docs.groupBy("doc_id").agg({"source": "max"}), "doc_id").collect():
+        want[r["max(source)"]] = want.get(r["max(source)"], 0) + r.taken
+        longest[r["max(source)"]] = max(r.size, longest.get(r["max(source)"], 0))
+    mixed = mixing.apply(docs).collect()
+    for r in mixed:
+        got[r.source] = got.get(r.source, 0) + len((r.text or "").split())
+    assert all(abs(got.get(s, 0) - want[s]) <= longest[s] / 2 for s in want)
+    assert sum(r.doc_id in (900, 901) for r in mixed) == 2 and {r.text for r in mixed if r.doc_id == 3} == {t for i, t, _ in rows if i == 3}
+    positions = {r.doc_id: r.positions for r in mixing.mix(docs.where("doc_id != 3")).collect()}
+    order, seen = [], {}
+    for r in mixing.apply(docs.where("doc_id != 3")).collect():
+        k = seen[r.doc_id] = seen.get(r.doc_id, -1) + 1
+        order.append(positions[r.doc_id][k] if positions[r.doc_id] else 0.5)
+    assert order == sorted(order)
+
+
 @pytest.mark.parametrize("schedule", mixing.SCHEDULES)
 def test_schedule_inversion(spark, schedule):
     from pyspark.sql import functions as F
