@@ -3,6 +3,9 @@
 DataFrame functions only. Both conversations are arrays of (role, text) in turn order; the first place where they differ ends
 the prompt, which is rendered once. What follows on either side is its completion, with the character ranges of the
 completion that carry loss: the assistants' words and their end marks, not the headers and not what others say.
+
+What looks like a mark in a role or a text can forge no turn: every `<|` of it is written `<||`, which no mark begins with and
+which can be read back, and line ends in a role are blanks. Ranges count the characters as they are written.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ OPEN, CLOSE, NEXT = "<|start|>", "<|end|>", "\n"
 TRAINED = "assistant"
 
 
+def _written(c: Column) -> Column:
+    return F.replace(c, F.lit("<|"), F.lit("<||"))
+
+
 def _header(turn: Column) -> Column:
-    return F.concat(F.lit(OPEN), turn["role"], F.lit(NEXT))
+    return F.concat(F.lit(OPEN), _written(F.translate(turn["role"], "\r\n", "  ")), F.lit(NEXT))
 
 
 def _rendered(turn: Column) -> Column:
-    return F.concat(_header(turn), turn["text"], F.lit(CLOSE + NEXT))
+    return F.concat(_header(turn), _written(turn["text"]), F.lit(CLOSE + NEXT))
 
 
 def render(turns: Column) -> Column:
@@ -32,7 +39,7 @@ def loss_spans(turns: Column, trained: str = TRAINED) -> Column:
 
     def step(state: Column, turn: Column) -> Column:
         begin = state["at"] + F.length(_header(turn))
-        end = begin + F.length(turn["text"]) + len(CLOSE)
+        end = begin + F.length(_written(turn["text"])) + len(CLOSE)
         span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"))
         spans = F.when(turn["role"] == trained, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct((end + len(NEXT)).cast("int").alias("at"), spans.alias("spans"))
@@ -117,9 +124,9 @@ both_sides AS (
   FROM placed p LEFT JOIN starts USING (conv_id)),
 cuts AS (SELECT conv_id, coalesce(min(i) FILTER (a <> b) - 1, count(*)) AS n FROM both_sides GROUP BY conv_id),
 shown AS (
-  SELECT s.conv_id, i, n, role, '<|start|>' || role || chr(10) || a || '<|end|>' || chr(10) AS ta,
-         '<|start|>' || role || chr(10) || b || '<|end|>' || chr(10) AS tb, 10 + length(role) AS head
-  FROM both_sides s JOIN cuts USING (conv_id)),
+  SELECT s.conv_id, i, n, role, '<|start|>' || said || chr(10) || replace(a, '<|', '<||') || '<|end|>' || chr(10) AS ta,
+         '<|start|>' || said || chr(10) || replace(b, '<|', '<||') || '<|end|>' || chr(10) AS tb, 10 + length(said) AS head
+  FROM (SELECT *, replace(translate(role, chr(13) || chr(10), '  '), '<|', '<||') AS said FROM both_sides) s JOIN cuts USING (conv_id)),
 spans AS (
   SELECT *, coalesce(sum(length(ta)) FILTER (i > n) OVER w, 0)::BIGINT AS ea, coalesce(sum(length(tb)) FILTER (i > n) OVER w, 0)::BIGINT AS eb
   FROM shown WINDOW w AS (PARTITION BY conv_id ORDER BY i))

@@ -65,7 +65,9 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         for w in range(size):
             rest = part.bitwiseAND(F.lit(~(1 << w)))
             variants.append(F.struct(F.lit(k * BITS + w).cast("short").alias("slot"), rest.alias("rest")))
-    keyed = fps.select("fp").distinct().select("fp", F.inline(F.array(*variants)))
+    # The distinct fingerprints are few megabytes, which would be left in a task or two, and each becomes 64 rows.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.select("fp").distinct().repartition(tasks, "fp").select("fp", F.inline(F.array(*variants)))
     a, b = keyed.alias("a"), keyed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.col("a.slot").cast("int")

@@ -17,14 +17,20 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 # Query parameters that say where a visitor came from, not what page is meant.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-HOST = r"^(?:[^@]*@)?(?:www\.)?(.*?)(?::(?:80|443))?$"
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
+HOST = r"^(?:[^@]*@)?(?:www\.)?"
+# Ports that a scheme means anyway; without a scheme either may.
+PORTS = {"http": ":80$", "https": ":443$", "": ":(80|443)$"}
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without user, `www.` and default port, path without closing slashes, sorted query without tracking;
+    """Host in lower case without user, `www.` and its scheme's default port, path without closing slashes, sorted query without tracking;
     scheme and fragment are dropped. What is no URL with a host stays as it is; null stays null."""
     url = F.trim(url)
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), HOST, "$1")
+    named = F.regexp_replace(F.lower(F.regexp_extract(url, URL, 1)), HOST, "")
+    scheme, host = F.lower(F.regexp_extract(url, SCHEME, 1)), named
+    for name, port in PORTS.items():
+        host = F.when(scheme == name, F.regexp_replace(named, port, "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(url, URL, 2), "/+$", "")
     query = F.filter(F.split(F.regexp_extract(url, URL, 3), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
     query = F.array_join(F.array_sort(query), "&")
@@ -36,17 +42,24 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(headers["etag"], "^W/", "")
 
 
+def lower_headers(headers: Column) -> Column:
+    """A map of headers by lower-case name. Of names that differ in case only the one whose spelling comes last counts; null: empty."""
+    none = F.create_map().cast("map<string,string>")
+    sorted_ = F.array_sort(F.transform(F.map_entries(F.coalesce(headers, none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("spelt"), e["value"].alias("value"))))
+    last = F.filter(sorted_, lambda e, i: ~F.coalesce(F.try_element_at(F.transform(sorted_, lambda x: x["key"]), i + 2) == e["key"], F.lit(False)))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+
 def resolve_revisits(records: DataFrame, id_col: str = "record_id", url_col: str = "url", time_col: str = "ts", type_col: str = "type", headers_col: str = "headers", digest_col: str = "digest") -> DataFrame:
     """One row a record: id, canonical_url, response_id, outcome, headers (map), digest.
 
     Outcomes: `response` (a full one, itself); `resolved`; `changed` (validators disagree: entity tags, or last-modified where one
     side has no tag); `unchecked` (no validator on both sides, not resolved); `missing` (no earlier response, no URL or no time).
-    Header names are compared in lower case. `earlier` is strictly so; of responses of one time the one of largest id counts.
-    Types other than response and revisit are left out; a record without headers has an empty map. Rows that repeat an id stay
-    apart.
+    Header names are compared in lower case (lower_headers). `earlier` is strictly so; of responses of one time the one of largest
+    id counts, and of rows that repeat a response's URL, time and id the one whose digest and headers, as text, come last. Types other
+    than response and revisit are left out; a record without headers has an empty map. Rows that repeat an id stay apart.
     """
-    none = F.create_map().cast("map<string,string>")
-    lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries(F.coalesce(F.col(headers_col), none)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    lower = lower_headers(F.col(headers_col))
     rows = records.where(F.col(type_col).isin("response", "revisit")).select(
         F.col(id_col).alias("id"), canonical_url(F.col(url_col)).alias("url"), F.col(time_col).alias("ts"),
         (F.col(type_col) == "response").alias("full"), lower.alias("headers"), F.col(digest_col).alias("digest"),
@@ -77,7 +90,10 @@ def resolve_revisits(records: DataFrame, id_col: str = "record_id", url_col: str
     usable = lambda c: F.when(F.col(f"{c}.ts") < F.col("ts"), F.col(c))
     found = seen.withColumn("at", F.greatest(F.when(F.col("here.ts").isNotNull(), F.col("here")), usable("handed_last"), usable("handed_prior")))
     found = found.select("id", "url", "ts", "headers", "digest", "at")
-    responses = ranged.where("full").select(F.col("url").alias("r_url"), F.col("ts").alias("r_ts"), F.col("id").alias("r_id"), F.col("headers").alias("r_headers"), F.col("digest").alias("r_digest")).dropDuplicates(["r_url", "r_ts", "r_id"])
+    responses = ranged.where("full").select(F.col("url").alias("r_url"), F.col("ts").alias("r_ts"), F.col("id").alias("r_id"), F.col("headers").alias("r_headers"), F.col("digest").alias("r_digest"))
+    said = F.to_json(F.struct(F.col("r_digest"), F.array_sort(F.map_entries("r_headers")).alias("h")))
+    # Ids rarely repeat: the rows of one id are few, and of them one stays, whatever the order they come in.
+    responses = responses.groupBy("r_url", "r_ts", "r_id").agg(F.max_by(F.struct("r_headers", "r_digest"), said).alias("r")).select("r_url", "r_ts", "r_id", "r.*")
     met = found.join(responses, (F.col("url") == F.col("r_url")) & (F.col("at.ts") == F.col("r_ts")) & (F.col("at.id") == F.col("r_id")), "left")
     same_tag = _tag(F.col("headers")) == _tag(F.col("r_headers"))
     same_time = F.col("headers")["last-modified"] == F.col("r_headers")["last-modified"]
@@ -125,7 +141,9 @@ def op1_revisit_resolution(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     def key(url: str) -> str:
-        host = rf"regexp_replace(lower(regexp_extract({url}, '{URL}', 1)), '{HOST}', '\1')"
+        named = rf"regexp_replace(lower(regexp_extract({url}, '{URL}', 1)), '{HOST}', '')"
+        cases = " ".join(f"WHEN '{name}' THEN regexp_replace({named}, '{port}', '')" for name, port in PORTS.items())
+        host = f"CASE lower(regexp_extract({url}, '{SCHEME}', 1)) {cases} ELSE {named} END"
         path = rf"regexp_replace(regexp_extract({url}, '{URL}', 2), '/+$', '')"
         query = f"array_to_string(list_sort(list_filter(string_split(regexp_extract({url}, '{URL}', 3), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))), '&')"
         return f"CASE WHEN {host} = '' THEN {url} ELSE {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
