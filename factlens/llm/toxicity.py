@@ -4,15 +4,17 @@ Kernel: the gap-weighted subsequence kernel. Every three characters that stand i
 are one feature, of weight `DECAY` to the power of the places they span, so a spelling with gaps or inserted characters
 still shares most of the mass of the plain one. Values are divided by what a token of that length can reach at most.
 
-Training is multiple-instance: the labelled text is the bag, the tokens of its sentences are the instances. On a bounded
-sample of labelled rows Spark counts in how many toxic and clean texts each token stands; tokens bound to toxic texts
-(likelihood ratio) are the positive instances, tokens of clean texts the negative ones, and clean texts that score too high
-give their best token as a further negative one in the next round. No positive is added: an insult that is rare in the sample
-and unlike the others, or a phrase of ordinary words, is not learnt. Landmarks span the Nyström feature space, in which
+Training is multiple-instance: a labelled text is the bag, the tokens of its sentences are the instances, and the machine learns which
+of them make it toxic. On a bounded sample of labelled rows Spark counts in how many toxic and clean texts each token stands; tokens
+bound to toxic texts (likelihood ratio, hardly any clean text) are the first positive instances, tokens of clean texts the negative ones.
+Each further round looks at what decides the texts of the sample: a token that decides clean texts too becomes a negative instance, a positive one
+included, and a toxic text without a token that speaks for it gives the one most bound to toxic texts as a new positive instance. A phrase of
+ordinary words is not learnt, since instances are single tokens. Landmarks span the Nyström feature space, in which
 a linear machine with squared hinge is fitted. The sum over landmarks is linear in the subsequences of a token, so it is
 folded, without loss, into one weight per subsequence before the corpus is scored.
 
-A text scores by its highest token, through a logistic curve fitted on the sample. Labels, language, source and id are
+A text scores by its highest token, by how many of its tokens speak for the label and by how many it has, through a logistic curve
+fitted on the sample: a token that toxic texts use often and clean ones now and then needs company, a plain insult does not. Labels, language, source and id are
 no inputs of a score. Null and empty texts have no token and score as the curve says for the bias alone. Without any toxic
 or any clean label nothing can be learnt: every score is 0.
 """
@@ -31,6 +33,10 @@ from .common import discard, materialize
 
 SPAN, DECAY, LENGTH, SYMBOLS = 6, 0.6, 24, 64
 THRESHOLD = 0.3
+#: A token of a higher margin speaks for the label.
+SPEAKS = 0.5
+#: Beyond this margin a token hardly needs company.
+SURE = 1.25
 #: Letters spelt out one by one ("a b c d"), which are read as one token as well.
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){2,}")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -106,12 +112,12 @@ def subsequences(rows: np.ndarray):
 
 @dataclass
 class Model:
-    """weights: one for each subsequence, 0 at number 0; slope, offset: of the logistic curve. None where nothing was learnt."""
+    """weights: one for each subsequence, 0 at number 0; curve: weights of what a text shows, the constant last. None where nothing was
+    learnt."""
 
     weights: np.ndarray | None = None
     bias: float = 0.0
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0)
     landmarks: list[str] = field(default_factory=list)
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -124,10 +130,17 @@ class Model:
             out[at : at + 20000] = total / NORMS[(rows > 0).sum(1)] + self.bias
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
+    def probability(self, shown: np.ndarray) -> np.ndarray:
+        """Of rows (highest margin, tokens that speak for it, tokens)."""
         if self.weights is None:
-            return np.zeros(len(margin))
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
+            return np.zeros(len(shown))
+        return 1 / (1 + np.exp(-np.clip(_signs(shown) @ np.array(self.curve), -500, 500)))
+
+
+def _signs(shown: np.ndarray) -> np.ndarray:
+    """What the curve weighs: the highest margin, what of it is beyond SURE, and the logarithms of how many tokens speak for it and of how
+    many there are."""
+    return np.c_[shown[:, 0], np.maximum(0, shown[:, 0] - SURE), np.log1p(shown[:, 1]), np.log1p(shown[:, 2]), np.ones(len(shown))]
 
 
 def _features(words: list[str], numbers: np.ndarray) -> np.ndarray:
@@ -161,14 +174,14 @@ def _landmarks(words: list[str], count: int) -> list[str]:
     return [words[i] for i in dict.fromkeys(chosen)]
 
 
-def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps; the last weight is the bias."""
+def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reach: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """Linear machine with squared hinge loss by Newton steps, each instance to its own margin; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
+        slack = reach - y * (x @ w)
         on = slack > 0
         xs, cs = x[on], cost[on]
         gradient = penalty * w - 2 * xs.T @ (cs * y[on] * slack[on])
@@ -180,11 +193,12 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0,
     return w
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, cost: float = 1.0) -> Model:
-    """The machine for given instances: landmarks, Nyström map, weights folded into subsequences."""
+def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, cost: float = 1.0, pool: int = 3000, reach: dict[str, float] | None = None) -> Model:
+    """The machine for given instances: landmarks (two thirds positive, the others from the first `pool` negative ones), Nyström map,
+    weights folded into subsequences. All instances are fitted; reach: margins that positive ones are to have, 1 where none is given."""
     n = landmarks * 2 // 3
     marks = _landmarks(positive, n)
-    marks += [w for w in _landmarks(negative[:3000], landmarks - n) if w not in set(marks)]
+    marks += [w for w in _landmarks(negative[:pool], landmarks - n) if w not in set(marks)]
     numbers = _numbers(marks)
     z = _features(marks, numbers)
     values, vectors = np.linalg.eigh(z @ z.T)
@@ -194,36 +208,39 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, co
     x = np.vstack([(_features(words[i : i + 1000], numbers) @ z.T) @ whiten for i in range(0, len(words), 1000)])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     each = np.r_[np.full(len(positive), cost * len(words) / 2 / len(positive)), np.full(len(negative), cost * len(words) / 2 / max(1, len(negative)) * 2)]
-    w = _fit_svm(x, y, each)
+    wanted = np.r_[[(reach or {}).get(p, 1.0) for p in positive], np.ones(len(negative))]
+    w = _fit_svm(x, y, each, wanted)
     table = np.zeros(SYMBOLS**3)
     table[numbers] = z.T @ (whiten @ w[:-1])
     return Model(table, float(w[-1]), landmarks=marks)
 
 
-def _fit_curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Platt's logistic curve by Newton steps, with his smoothed targets."""
+def _fit_curve(shown: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
+    """A logistic curve by Newton steps, with Platt's smoothed targets and a light ridge."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.c_[margin, np.ones(len(margin))]
-    w = np.array([1.0, 0.0])
-    for _ in range(100):
+    x = _signs(shown)
+    w = np.zeros(x.shape[1])
+    ridge = np.array([0.1] * (len(w) - 1) + [1e-4])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target) + 1e-4 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - target) + ridge * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return tuple(map(float, w))
 
 
 def _scorer(model: Model, keep: int = 300_000):
-    """Text -> (highest margin, its token); margins of tokens are kept up to a bound, those of a batch computed at once."""
+    """Texts -> (rows of what Model.probability takes, the token of the highest margin); margins of tokens are kept up to a bound, those
+    of a batch computed at once."""
     known: dict[str, float] = {}
 
     def run(texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
+        shown, why = np.zeros((len(texts), 3)), [None] * len(texts)
         if model.weights is None:
-            return np.zeros(len(texts)), [None] * len(texts)
-        best, why = np.full(len(texts), model.bias), [None] * len(texts)
+            return shown, why
+        shown[:, 0] = model.bias
         for at in range(0, len(texts), 500):
             bags = [tokens(t) for t in texts[at : at + 500]]
             new = list(set().union(*bags).difference(known))
@@ -233,60 +250,89 @@ def _scorer(model: Model, keep: int = 300_000):
             known.update(zip(new, model.margins(new).tolist()))
             for i, bag in enumerate(bags, at):
                 if bag:
-                    top = max(bag, key=known.__getitem__)
-                    best[i], why[i] = known[top], top
-        return best, why
+                    margins = list(map(known.__getitem__, bag))
+                    top = max(margins)
+                    # Of equal ones the first in order, so that reruns name the same.
+                    why[i] = min(w for w, m in zip(bag, margins) if m == top)
+                    shown[i] = top, sum(m > SPEAKS for m in margins), len(bag)
+        return shown, why
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, margin, token) of every row; token is the one that decided."""
+    """(id, score, margin, speaking, tokens, token) of every row: the highest margin, how many distinct tokens speak for the label, how many
+    there are, and the one of the highest margin."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SYMBOLS and the number of landmarks
 
     def run(batches):
         scorer = _scorer(shared.value)
         for b in batches:
-            margin, why = scorer(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.probability(margin)), pa.array(margin), pa.array(why, pa.string())], ["id", "score", "margin", "token"])
+            shown, why = scorer(b.column(1).to_pylist())
+            columns = [pa.array(shown[:, k]) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.probability(shown)), *columns, pa.array(why, pa.string())], ["id", "score", "margin", "speaking", "tokens", "token"])
 
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, score double, margin double, token string").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, score double, margin double, speaking double, tokens double, token string").withColumnRenamed("id", id_col)
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): between how many different pairs of neighbours a token stands in texts of either label.
-
-    Neighbours, not texts, are counted, since the words of a much copied text would else look bound to its label.
-    """
+    """(token, toxic, clean): in how many texts of either label a token stands, or between how many different pairs of neighbours if
+    these are fewer, since the words of a much copied text would else look bound to its label, as would one that a text repeats."""
 
     def run(batches):
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = [w.strip(EDGES) for w in (text or "").lower().split()]
                 around = {(w, xxhash.xxh64_intdigest(f"{before} {after}") >> 1) for before, w, after in zip(["", *words], words, [*words[1:], ""]) if 0 < len(w) <= LENGTH}
-                spelt = {(w, 0) for w in tokens(text).difference(words)}
-                found = list(around | spelt)
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64()), pa.array([label] * len(found), pa.int32())], ["token", "around", "label"])
+                found = list(around | {(w, 0) for w in tokens(text).difference(words)})
+                seen, first = set(), []
+                for w, _ in found:
+                    first.append(w not in seen)
+                    seen.add(w)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([h for _, h in found], pa.int64()), pa.array([label] * len(found), pa.int32()), pa.array(first, pa.bool_())], ["token", "around", "label", "first"])
+
+    each = sample.select("text", "label").mapInArrow(run, "token string, around long, label int, first boolean")
+    toxic = F.col("label") == 1
+    placed = each.groupBy("token", "around").agg(F.max("label").alias("label"), F.count_if(toxic & F.col("first")).alias("t"), F.count_if(~toxic & F.col("first")).alias("c"))
+    both = placed.groupBy("token").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"), F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return both.select("token", F.least("toxic", "t").alias("toxic"), F.least("clean", "c").alias("clean"))
+
 
-    placed = sample.select("text", "label").mapInArrow(run, "token string, around long, label int").groupBy("token", "around").agg(F.max("label").alias("label"))
-    return placed.groupBy("token").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+def _reach(toxic: int, clean: int) -> float:
+    """The margin a positive instance is to have: the surer it is, by the logarithm of its odds, the more, within bounds."""
+    return float(np.clip(np.log((toxic + 0.5) / (clean + 0.5)) / 3, 0.7, 2.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_positive: int = 1500, max_negative: int = 8000, rounds: int = 2) -> Model:
+def _strongest(sample: DataFrame, rows: list[int], rated: DataFrame) -> dict[str, float]:
+    """The token with the highest ratio of each of these rows of the sample, of those that are rated at all, with its margin to reach."""
+
+    def run(batches):
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = [w for w in tokens(text) if len(w) <= LENGTH]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(found, pa.string())], ["row", "token"])
+
+    wanted = sample.sparkSession.createDataFrame([(r,) for r in rows], "row long")
+    met = sample.join(F.broadcast(wanted), "row").select("row", "text").mapInArrow(run, "row long, token string").join(rated, "token")
+    best = met.groupBy("row").agg(F.max(F.struct("ratio", "token", "toxic", "clean")).alias("m")).select("m.*").distinct()
+    return {r["token"]: _reach(r["toxic"], r["clean"]) for r in best.orderBy("token").collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_positive: int = 1500, max_negative: int = 8000, rounds: int = 4, purity: float = 4.0) -> Model:
     """Fit on at most `max_toxic` and `max_clean` labelled texts, those of least hashed id; repeated labels of an id count once, the toxic one first.
 
-    What reaches the driver is bounded by these parameters: tokens, and one margin for each text of the sample.
+    A positive instance stands for `purity` toxic texts to one clean text at least. What reaches the driver is bounded by these parameters: tokens, and
+    one margin for each text of the sample. Where no token is surely bound to toxic texts the ten most bound ones begin.
     """
     spark = docs.sparkSession
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     one = one.withColumn("h", F.xxhash64("id"))
     ids = one.where("label = 1").orderBy("h", "id").limit(max_toxic).unionByName(one.where("label = 0").orderBy("h", "id").limit(max_clean)).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = materialize(texts.join(F.broadcast(ids), "id").select("text", "label").repartition(24), "labelled")
+    sample = materialize(texts.join(F.broadcast(ids), "id").select("text", "label").repartition(24).withColumn("row", F.monotonically_increasing_id()), "labelled")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
+    if not n.get(1) or not n.get(0):
         return Model()
     counts = materialize(_counts(sample), "tokens")
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
@@ -295,26 +341,34 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     share = (a + b) / (n1 + n0)
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))
-    rated = counts.withColumn("ratio", F.when(a / n1 > b / n0, ratio).otherwise(0.0))
-    top = rated.where("ratio > 0").orderBy(F.desc("ratio"), "token").limit(max_positive).collect()
-    sure = [r["token"] for r in top if r["ratio"] > 15 and r["clean"] * 10 * n1 <= r["toxic"] * n0]
-    positive = sure or [r["token"] for r in top[:10] if not r["clean"]] or [r["token"] for r in top[:10]]
-    plain = rated.where(F.col("clean") > 0).where(~F.col("token").isin(positive[:1000]))
+    pure = counts.withColumn("ratio", F.when(a / n1 > b / n0, ratio).otherwise(0.0)).where((F.col("ratio") > 0) & (purity * b <= a))
+    top = pure.orderBy(F.desc("ratio"), "token").limit(max_positive).collect()
+    positive = [r["token"] for r in top if r["ratio"] > 15] or [r["token"] for r in top[:10]]
+    if not positive:
+        return Model()
+    reach = {r["token"]: _reach(r["toxic"], r["clean"]) for r in top}
+    plain = counts.where(F.col("clean") > 0).join(F.broadcast(spark.createDataFrame([(w,) for w in positive], "token string")), "token", "left_anti")
     half = max_negative // 2
     frequent = [r["token"] for r in plain.orderBy(F.desc("clean"), "token").limit(half).collect()]
     others = [r["token"] for r in plain.orderBy(F.xxhash64("token"), "token").limit(half).collect()]
-    drop = set(positive)
-    negative = [w for w in dict.fromkeys(frequent + others) if w not in drop]
+    negative = list(dict.fromkeys(frequent + others))
     for last in range(rounds):
-        model = fit_words(positive, negative)
-        seen = score(sample.select(F.col("label").alias("doc_id"), "text"), model).select(F.col("doc_id").alias("label"), "margin", "token").toPandas()
+        model = fit_words(positive, negative, reach=reach)
+        seen = score(sample.select(F.col("row").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row").join(sample.select("row", "label"), "row").select("row", "label", "margin", "speaking", "tokens", "token").toPandas()
         if last == rounds - 1:
             break
-        clean = seen[seen.label == 0]
-        hard = clean[clean.margin > -0.5].token.dropna().unique().tolist()
-        known, drop = set(positive), set(negative)
-        negative += sorted(w for w in hard if w not in known and w not in drop)
-    model.slope, model.offset = _fit_curve(seen.margin.to_numpy(), seen.label.to_numpy().astype(float))
+        deciding = seen[(seen.margin > -0.5) & seen.token.notna()].groupby("token").label.agg(["sum", "count"])
+        wrong = set(deciding.index[purity * (deciding["count"] - deciding["sum"]) > deciding["sum"]])
+        negative += sorted(wrong.difference(negative))
+        dull = seen[(seen.label == 1) & ((seen.margin < 0) | seen.token.isin(wrong))].row.tolist()
+        # A token that only one context binds to toxic texts may stand there by chance.
+        new = _strongest(sample, dull, pure.where("toxic >= 2 and ratio > 6"))
+        known = set(negative)
+        reach = new | reach
+        positive = [w for w in dict.fromkeys([*positive, *new]) if w not in known][:max_positive]
+        if not positive:
+            return Model()
+    model.curve = _fit_curve(seen[["margin", "speaking", "tokens"]].to_numpy(), seen.label.to_numpy().astype(float))
     discard(counts)
     discard(sample)
     return model
@@ -338,8 +392,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
     def run(batches):
         scorer = _scorer(shared.value)
         for b in batches:
-            margin, _ = scorer(b.column(place).to_pylist())
-            yield b.filter(pa.array(shared.value.probability(margin) < threshold))
+            shown, _ = scorer(b.column(place).to_pylist())
+            yield b.filter(pa.array(shared.value.probability(shown) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

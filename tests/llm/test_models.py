@@ -136,6 +136,50 @@ def test_planted_accuracies_are_recovered(bad_share):
     assert apart[1] < apart[0] and apart[1] < 0.02
 
 
+def slow_posteriors(rows, rules):
+    """Expectation-maximisation text by text, in plain loops."""
+    n = len(rows)
+    abstain = [min(0.98, max(0.01, sum(v[r] == 0 for v in rows) / n)) for r in range(rules)]
+    belief = [[[a, (1 - a) * good, (1 - a) * (1 - good)] for a in abstain] for good in (0.7, 0.997)]
+    table, share = belief, 0.85
+    judge = lambda v: 1 / (1 + np.exp(-(np.log(share) - np.log(1 - share) + sum(np.log(table[1][r][v[r]]) - np.log(table[0][r][v[r]]) for r in range(rules)))))
+    for _ in range(200):
+        p = [judge(v) for v in rows]
+        table = []
+        for c in (0, 1):
+            mass = [x if c else 1 - x for x in p]
+            votes = [[sum(m for m, v in zip(mass, rows) if v[r] == k) + quality.PRIOR * belief[c][r][k] for k in range(3)] for r in range(rules)]
+            table.append([[x / sum(row) for x in row] for row in votes])
+        share = (sum(p) + 0.85 * quality.PRIOR) / (n + quality.PRIOR)
+    return [judge(v) for v in rows]
+
+
+def test_posterior_of_every_text_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        bad = rng.random() < 0.3
+        one = 2 if rng.random() < (0.8 if bad else 0.02) else 1
+        rows.append((i, one, one if rng.random() < 0.95 else 1, 2 if rng.random() < (0.6 if bad else 0.05) else rng.choice([0, 1]), 2 if rng.random() < (0.4 if bad else 0.1) else 1))
+    rules = [quality.Rule(f"r{k}", F.col(f"v{k}") == 1, F.col(f"v{k}") == 2) for k in range(4)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, v0 int, v1 int, v2 int, v3 int"), rules).orderBy("doc_id").collect()
+    want = slow_posteriors([r[1:] for r in rows], 4)
+    assert np.allclose([r.quality for r in out], want, atol=1e-6)
+    assert [r.good for r in out] == [p >= 0.5 for p in want] and 0 < sum(r.good for r in out) < 160
+
+
+def test_rules_that_always_agree_share_their_votes():
+    rng = np.random.default_rng(6)
+    one, other = (np.where(rng.random(20_000) < rate, 2, 1) for rate in (0.3, 0.1))
+    for copies in (1, 3):
+        votes, count = np.unique(np.c_[np.repeat(one[:, None], copies, 1), other], axis=0, return_counts=True)
+        weight = quality.rule_weights(votes, count.astype(float), np.full(len(votes), 0.5))
+        assert np.allclose(weight[:copies], 1 / copies, atol=0.03) and weight[copies] > 0.95
+        assert np.isfinite(quality.fit(votes, count.astype(float), share_votes=True)[2]).all()
+    few, many = (quality.rule_weights(np.array([[2, 2], [1, 1]]), np.array([n, 10.0 * n]), np.full(2, 0.5)) for n in (2, 20_000))
+    assert few[0] > 0.85 and many[0] < 0.51
+
+
 def slow_neighbours(rows, queries, k):
     out = []
     for q in queries:
