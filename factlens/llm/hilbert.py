@@ -5,10 +5,11 @@ the cells along a Hilbert curve. Spark range-partitions the rows by (ordering, H
 compared with the `window` rows before and after it. Candidates of all orderings merge, and each query keeps its best.
 
 In high dimensions without structure the windows alone miss many neighbours (figures in the README), so they are not the
-last word: they give each query a floor, the score of its k-th best candidate. The rows of the first ordering, read in
-blocks along the curve, then face the stated query set in blocks; a block whose direction and radius rule out anything over the
-floor is skipped for that query, the rest is multiplied out and only what reaches the floor leaves the task. The
-result is therefore exact; structure in the data makes it cheap. No block or query keeps more than k rows.
+last word: they give each query a floor, the score of its k-th best candidate. Rows and queries are then packed in blocks along the first
+curve, each block a cap of a direction and a radius. Caps are compared before anything is copied: a block of queries is sent only to the
+blocks of rows whose caps may hold something over its lowest floor; there a query whose own floor rules the block out is skipped,
+the rest is multiplied out and only what reaches the floor leaves the task. The result is therefore exact; structure in the
+data makes it cheap. No block keeps more than k rows of a query, and no key stands for more than a block of rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import materialize
 
 DIMS, BITS_EACH, ORDERINGS, WINDOW = 5, 6, 4, 64
-QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: About how many blocks of rows one copy of a block of queries is sent to.
+FAN = 256
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -159,46 +162,62 @@ def window_candidates(along: DataFrame, k: int, window: int = WINDOW) -> DataFra
     return along.mapInArrow(run, FOUND)
 
 
-def _complete(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows (id, v), in blocks, against queries (query_id, v, floor), in blocks: what reaches the floor, k of a block at most."""
-    spark = rows.sparkSession
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK)
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int"))
-    gathered = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "v", "floor")).alias("asked"))  # about QUERY_BLOCK rows each
-
-    def pack(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, ROW_BLOCK):
-                part = b.slice(lo, ROW_BLOCK)
-                ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()]), pa.array([x.shape[1]], pa.int32())], ["ids", "x", "dims"])
+def _cap(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Direction and angular radius of the cap that holds the unit rows."""
+    mean = x.sum(0)
+    size = np.sqrt((mean * mean).sum())
+    mean = mean / size if size > 1e-9 else x[0]
+    return mean, float(np.arccos(np.clip((x @ mean).min(), -1, 1)))
+
 
-    packed = rows.select("id", "v").mapInArrow(pack, "ids binary, x binary, dims int")
-    faced = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))))).join(gathered, "block")
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks of at most `size` rows (id, v, floor) in the order they come in: block, ids, x, floors, cap, radius, least floor."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1)
-                ids = np.frombuffer(r.column("ids")[0].as_py(), np.int64)
-                x = np.frombuffer(r.column("x")[0].as_py(), np.float64).reshape(len(ids), -1)
-                asked = r.column("asked").flatten()
-                q_ids, floor = asked.field("query_id").to_numpy(), asked.field("floor").to_numpy(zero_copy_only=False)
-                q = _matrix(asked.field("v"))
-                # A block is a cap around its mean direction: nothing in it is nearer to a query than the cap's rim.
-                u = unit(x)
-                mean = u.sum(0)
-                size = np.sqrt((mean * mean).sum())
-                mean = mean / size if size > 1e-9 else u[0]
-                radius = np.arccos(np.clip((u @ mean).min(), -1, 1))
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                ids, x, floor = part.column(0).to_numpy(), _matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                mean, radius = _cap(unit(x))
+                columns = [pa.array([number], pa.int64()), *[pa.array([y.tobytes()], pa.binary()) for y in (ids, x, floor)], pa.array([mean.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([float(floor.min())])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "x", "floors", "cap", "radius", "floor"])
+                number += 1
+
+    return materialize(rows.select("id", "v", "floor").mapInArrow(run, "block long, ids binary, x binary, floors binary, cap array<double>, radius double, floor double"), name)
+
+
+def _complete(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rows (id, v), in blocks, against queries (query_id, v, floor, key), in blocks: what reaches the floor, k of a block at most."""
+    blocks = _packed(rows.select("id", "v", F.lit(0.0).alias("floor")), ROW_BLOCK, "row_blocks")
+    along = queries.repartitionByRange("key", "query_id").sortWithinPartitions("key", "query_id")
+    asked = _packed(along.select(F.col("query_id").alias("id"), "v", "floor"), QUERY_BLOCK, "query_blocks")
+    # The stated queries, in blocks, against all rows, in blocks: caps only, a row for each block.
+    a = blocks.select("block", F.col("cap").alias("c"), F.col("radius").alias("r"))
+    b = asked.select(F.col("block").alias("chunk"), "cap", "radius", "floor")
+    cosine = F.aggregate(F.zip_with("c", "cap", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) - F.col("r") - F.col("radius")
+    reach = F.when(angle <= 0, 1.0).otherwise(F.cos(F.least(angle, F.lit(np.pi))))
+    copies = max(1, -(-blocks.count() // FAN))
+    pairs = a.join(b, reach >= F.col("floor") - 1e-7).select("block", "chunk", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"))
+    sent = asked.select(F.col("block").alias("chunk"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), "floors", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    faced = pairs.join(sent, ["chunk", "copy"]).join(blocks.select("block", "ids", "x"), "block").select("ids", "x", "q_ids", "q", "floors")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x, q_ids, q, floor = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate((np.int64, np.float64, np.int64, np.float64, np.float64)))
+                x, q = x.reshape(len(ids), -1), q.reshape(len(q_ids), -1)
+                mean, radius = _cap(unit(x))
                 bound = np.cos(np.maximum(0.0, np.arccos(np.clip(unit(q) @ mean, -1, 1)) - radius))
-                on = np.flatnonzero(bound >= floor - 1e-9)
+                on = np.flatnonzero(bound >= floor - 1e-7)
                 for lo in range(0, len(on), 512):
                     some = on[lo : lo + 512]
                     yield _found(*_pairs(q_ids[some], q[some], ids, x, floor[some], k))
 
-    return faced.select("ids", "x", "asked").mapInArrow(run, FOUND)
+    return faced.mapInArrow(run, FOUND)
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = True) -> DataFrame:
@@ -217,8 +236,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id"
         return near.select("query_id", "rank", "vec_id", "score")
     floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor"))
     first = along.where("curve = 0")
-    queries = first.where("asks").select(F.col("id").alias("query_id"), "v").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    everything = near.select("query_id", "vec_id", "score").unionByName(_complete(first, materialize(queries, "queries"), k))
+    queries = first.where("asks").select(F.col("id").alias("query_id"), "v", "key").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    everything = near.select("query_id", "vec_id", "score").unionByName(_complete(first, queries, k))
     return _merge(everything, k).select("query_id", "rank", "vec_id", "score")
 
 

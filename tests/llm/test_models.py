@@ -199,7 +199,7 @@ def test_hilbert_curve():
     assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
-def test_neighbours_are_exact(spark):
+def test_neighbours_are_exact(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = {i: [float(np.float32(x)) for x in rng.standard_normal(8)] for i in range(400)}
     for i in range(100, 180):
@@ -208,6 +208,13 @@ def test_neighbours_are_exact(spark):
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, key string")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in hilbert.nearest(frame, F.col("vec_id") % 20 == 0).collect())
     assert got == slow_neighbours(rows, [i for i in rows if i % 20 == 0], 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(hilbert, "ROW_BLOCK", 16), monkeypatch.setattr(hilbert, "QUERY_BLOCK", 3), monkeypatch.setattr(hilbert, "FAN", 4), monkeypatch.setattr(hilbert, "WINDOW", 4)
+    try:  # many blocks, sorted joins
+        again = hilbert.nearest(frame, F.col("vec_id") % 20 == 0)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in again.collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     few = frame.where("vec_id in (0, 1, 2)")
     assert [(r.query_id, r.vec_id) for r in hilbert.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()][0][0] == 0
     assert hilbert.nearest(few, F.col("vec_id") == 0).count() == 2 and hilbert.nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
