@@ -98,16 +98,19 @@ def period_kind(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}$"), "year").when(c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), "month")
 
 
-def period_sequence(first: Column, last: Column, max_years: int = 100, max_months: int = 120) -> Column:
-    """All years or months from first to last; empty where they are of different kinds, out of order, or too far apart."""
+def period_sequence(first: Column, last: Column, max_years: int | None = None, max_months: int | None = None) -> Column:
+    """All years or months from first to last; empty where they are of different kinds or out of order, NULL where they are further
+    apart than asked for."""
     nothing = F.array().cast("array<string>")
     both_years = (period_kind(first) == "year") & (period_kind(last) == "year")
     both_months = (period_kind(first) == "month") & (period_kind(last) == "month")
     y0, y1 = first.try_cast("int"), last.try_cast("int")
     m0, m1 = F.try_to_date(F.concat(first, F.lit("-01")), "yyyy-MM-dd"), F.try_to_date(F.concat(last, F.lit("-01")), "yyyy-MM-dd")
-    years = F.when(y1.between(y0, y0 + max_years), F.transform(F.sequence(F.least(y0, y1), y1), lambda y: y.cast("string")))
-    months = F.when((m1 >= m0) & (F.months_between(m1, m0) <= max_months), F.transform(F.sequence(F.least(m0, m1), m1, F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM")))
-    return F.coalesce(F.when(both_years, years).when(both_months, months), nothing)
+    far_years = (y1 - y0 > max_years) if max_years is not None else F.lit(False)
+    far_months = (F.months_between(m1, m0) > max_months) if max_months is not None else F.lit(False)
+    years = F.when(y1 < y0, nothing).otherwise(F.transform(F.sequence(F.least(y0, y1), y1), lambda y: y.cast("string")))
+    months = F.when(m1 < m0, nothing).otherwise(F.transform(F.sequence(F.least(m0, m1), m1, F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM")))
+    return F.when(both_years, F.when(~far_years, years)).when(both_months, F.when(~far_months, months)).otherwise(nothing)
 
 
 def label_case(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalars import parse_numeric, period_kind, period_sequence
 from ..schemas import ELIGIBLE_STATUSES, PENDING, REVIEW_STATUSES
 from .conflicts import REPORT_KEY, conflict_keys, null_safe
+from .windows import cap_per_key
 
 # Reasons of exclusion.
 CONFLICTING = "conflicting_values_not_averaged"
@@ -42,26 +43,36 @@ def counts(records: DataFrame, n_conflicts: DataFrame | None = None) -> DataFram
 
 
 def cells(classified: DataFrame, max_ids: int | None = None) -> DataFrame:
-    """Eligible records by (entity, metric, unit, period): value where all agree, else NULL and agree = false; with record_ids, document_ids."""
-    ids, docs = F.sort_array(F.collect_set("record_id")), F.sort_array(F.collect_set("document_id"))
+    """Eligible records by (entity, metric, unit, period): value where all agree, else NULL and agree = false; with record_ids, document_ids.
+
+    With max_ids only the first records of a cell are gathered. What nobody reads of the lists Spark does not compute.
+    """
+    eligible = classified.where("reason is null")
+    ids = (F.sort_array(F.collect_set("record_id")).alias("record_ids"), F.sort_array(F.collect_set("document_id")).alias("document_ids"))
+    bounds = (F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
     if max_ids:
-        ids, docs = F.slice(ids, 1, max_ids), F.slice(docs, 1, max_ids)
-    grouped = classified.where("reason is null").groupBy(*CELL).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), ids.alias("record_ids"), docs.alias("document_ids"))
+        first = cap_per_key(eligible, list(CELL), ["record_id"], max_ids).groupBy(*CELL).agg(*ids)
+        grouped = null_safe(eligible.groupBy(*CELL).agg(*bounds), first, CELL)
+    else:
+        grouped = eligible.groupBy(*CELL).agg(*bounds, *ids)
     agree = F.col("lo") == F.col("hi")
     return grouped.withColumn("agree", agree).withColumn("value", F.when(agree, F.col("lo"))).drop("lo", "hi")
 
 
-def exclusions(classified: DataFrame) -> DataFrame:
-    """(record_id, document_id, entity, metric, unit, reporting_period, reason), one row a record and reason."""
+def exclusions(classified: DataFrame, cell: DataFrame | None = None, repeated: bool = False) -> DataFrame:
+    """(record_id, document_id, entity, metric, unit, reporting_period, reason), one row a record and reason. Record ids are taken to be
+    unique; where they are not, `repeated` leaves one row of each id and reason, which shuffles all of them."""
     columns = ("record_id", "document_id", *CELL, "reason")
-    rejected = classified.where("reason is not null").select(*columns)
-    bad = cells(classified).where("not agree").select(*CELL)
-    inside = null_safe(classified.where("reason is null"), bad, CELL, "left_semi").withColumn("reason", F.lit(INCONSISTENT)).select(*columns)
-    return rejected.unionByName(inside).dropDuplicates(["record_id", "reason"])
+    if cell is None:
+        cell = classified.where("reason is null").groupBy(*CELL).agg((F.min("value") == F.max("value")).alias("agree"))
+    bad = cell.where("not agree").select(*CELL).withColumn("bad", F.lit(True))
+    # One pass over the records: each is rejected for its own reason or for its cell's, so that no record comes twice.
+    marked = null_safe(classified, bad, CELL)
+    return marked.withColumn("reason", F.coalesce("reason", F.when(F.col("bad"), INCONSISTENT))).where("reason is not null").select(*columns).transform(lambda d: d.dropDuplicates(["record_id", "reason"]) if repeated else d)
 
 
-def aggregates(classified: DataFrame, cell: DataFrame | None = None) -> DataFrame:
-    """Total, average, min, max over entities by (metric, unit, period); review_required if the metric and unit have a conflict or
+def aggregates(classified: DataFrame, cell: DataFrame | None = None, max_groups: int | None = None, max_periods: int | None = None) -> DataFrame:
+    """With max_groups and max_periods the first metrics and units, and the first periods of each. Total, average, min, max over entities by (metric, unit, period); review_required if the metric and unit have a conflict or
     the period an inconsistent cell. Periods that are NULL are no period. Record ids are of agreeing cells, documents of all."""
     cell = cells(classified) if cell is None else cell
     key = ("metric", "unit", "reporting_period")
@@ -72,18 +83,30 @@ def aggregates(classified: DataFrame, cell: DataFrame | None = None) -> DataFram
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("document_ids")))).alias("document_ids"),
     )
     hit = classified.where(F.col("reason") == CONFLICTING).select("metric", "unit").distinct().withColumn("conflicted", F.lit(True))
-    marked = null_safe(grouped.where("cells > 0"), hit, ("metric", "unit"))
+    marked = null_safe(cap_groups(grouped.where("cells > 0"), ("metric", "unit"), ("reporting_period",), max_groups, max_periods), hit, ("metric", "unit"))
     return marked.withColumn("review_required", F.col("inconsistent") | F.coalesce("conflicted", F.lit(False))).drop("inconsistent", "conflicted")
 
 
-def kpis(classified: DataFrame) -> DataFrame:
-    """Aggregates in long form: (metric, unit, reporting_period, kpi, value, ...)."""
-    wide = aggregates(classified)
+def kpis(classified: DataFrame, top: int | None = None) -> DataFrame:
+    """Aggregates in long form: (metric, unit, reporting_period, kpi, value, ...), or the first ones in order."""
+    return kpis_of(aggregates(classified), top)
+
+
+def kpis_of(wide: DataFrame, top: int | None = None) -> DataFrame:
     values = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).cast("decimal(38,6)").alias("value")) for k in ("total", "average", "min", "max")])
-    return wide.select("metric", "unit", "reporting_period", "review_required", "cells", "record_ids", "document_ids", F.inline(values))
+    return wide.select("metric", "unit", "reporting_period", "review_required", "cells", "record_ids", "document_ids", F.inline(values)).transform(lambda d: d.orderBy("metric", "unit", "reporting_period", "kpi").limit(top) if top else d)
+
+
+def count_sources(records: DataFrame) -> DataFrame:
+    """(kpi, record_id, document_id): the records that each count of counts() counts, as rows."""
+    status = F.col("validation_status")
+    has_value = (F.coalesce(F.trim("value_raw"), F.lit("")) != "") | (F.coalesce(F.trim("normalized_value"), F.lit("")) != "")
+    known = F.coalesce(status.isin(*ELIGIBLE_STATUSES, *REVIEW_STATUSES), F.lit(False))
+    kinds = F.array(F.lit("records"), F.when(status.isin(*ELIGIBLE_STATUSES), "validated"), F.when(status.isin(*REVIEW_STATUSES), "requires_review"), F.when(~known, PENDING), F.when(~has_value, "missing"))
+    return records.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kpi"), "record_id", "document_id")
 
 
-def trends(classified: DataFrame, cell: DataFrame | None = None) -> DataFrame:
+def trends(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """One row a series (entity, metric, unit) with agreeing points: first and last, changes, direction, missing periods.
 
     percent_change only from a base other than 0. Gaps are looked for if all points are years, or all months. review_required
@@ -106,11 +129,14 @@ def trends(classified: DataFrame, cell: DataFrame | None = None) -> DataFrame:
     out = grouped.withColumn("absolute_change", change)
     out = out.withColumn("percent_change", F.when(F.col("first_value") != 0, F.try_divide(change * 100, F.col("first_value")).cast("decimal(38,6)")))
     out = out.withColumn("direction", F.when(F.col("n_points") < 2, "insufficient").when(change > 0, "increasing").when(change < 0, "decreasing").otherwise("unchanged")).withColumn("gaps", gaps)
-    excluded = exclusions(classified).select(*series).distinct().withColumn("review_required", F.lit(True))
-    return null_safe(out.drop("k0", "k1"), excluded, series).withColumn("review_required", F.coalesce("review_required", F.lit(False)))
+    # A record is excluded by its own reason or because its cell does not agree.
+    own = classified.where("reason is not null").select(*series)
+    excluded = own.unionByName(cell.where("not agree").select(*series)).distinct().withColumn("review_required", F.lit(True))
+    flagged = null_safe(out.drop("k0", "k1"), excluded, series).withColumn("review_required", F.coalesce("review_required", F.lit(False)))
+    return flagged.orderBy(*series).limit(top) if top else flagged
 
 
-def comparisons(classified: DataFrame, cell: DataFrame | None = None) -> DataFrame:
+def comparisons(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Entities side by side by (metric, unit, period), those with only excluded records with a NULL value; two entities at least."""
     cell = cells(classified) if cell is None else cell
     key = ("metric", "unit", "reporting_period")
@@ -121,17 +147,18 @@ def comparisons(classified: DataFrame, cell: DataFrame | None = None) -> DataFra
         F.count("*").alias("n_entities"), F.count("value").alias("n_valued"), F.max("value").alias("hi"), F.min("value").alias("lo"),
         F.array_sort(F.collect_list(F.struct("entity", "value", "record_ids"))).alias("sides"),
     )
-    return grouped.where("n_entities >= 2").withColumn("difference", F.when(F.col("n_valued") >= 2, F.col("hi") - F.col("lo"))).drop("hi", "lo")
+    out = grouped.where("n_entities >= 2").withColumn("difference", F.when(F.col("n_valued") >= 2, F.col("hi") - F.col("lo"))).drop("hi", "lo")
+    return out.orderBy(*key).limit(top) if top else out
 
 
-def histogram(classified: DataFrame, bins: int = 5) -> DataFrame:
+def histogram(classified: DataFrame, bins: int = 5, max_groups: int | None = None) -> DataFrame:
     """(metric, unit, bin, low, high, n): equal-width bins over all eligible records, the last one closed, one bin if all are equal."""
     rows = classified.where("reason is null").select("metric", "unit", "value")
-    bounds = rows.groupBy("metric", "unit").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    bounds = cap_groups(rows.groupBy("metric", "unit").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), ("metric", "unit"), (), max_groups)
     width = ((F.col("hi") - F.col("lo")) / bins).cast("decimal(38,10)")
     bounds = bounds.withColumn("width", width).withColumn("last", F.when(F.col("hi") > F.col("lo"), bins - 1).otherwise(0))
     place = F.when(F.col("last") == 0, 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"), F.col("last")))
-    counted = null_safe(rows, bounds, ("metric", "unit")).withColumn("bin", place).groupBy("metric", "unit", "bin").agg(F.count("*").alias("n"))
+    counted = null_safe(rows, bounds, ("metric", "unit"), "inner").withColumn("bin", place).groupBy("metric", "unit", "bin").agg(F.count("*").alias("n"))
     frame = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("last"))))
     edge = lambda k: (F.col("lo") + F.col("width") * k).cast("decimal(38,10)")
     out = null_safe(frame, counted, ("metric", "unit", "bin"))

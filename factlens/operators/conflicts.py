@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .windows import cap_per_key
+
 REPORT_KEY = ("entity", "metric", "reporting_period", "unit")
 EVIDENCE_KEY = ("entity", "metric", "reporting_period")
 
@@ -24,16 +26,21 @@ def conflict_keys(records: DataFrame, keys: tuple[str, ...] = REPORT_KEY) -> Dat
     return valued.groupBy(*keys).agg(F.min("value_raw").alias("a"), F.max("value_raw").alias("b")).where("a < b").select(*keys)
 
 
-def detect(records: DataFrame, keys: tuple[str, ...] = REPORT_KEY) -> DataFrame:
+def detect(records: DataFrame, keys: tuple[str, ...] = REPORT_KEY, max_ids: int | None = None) -> DataFrame:
     """One row a conflict: keys, n_values, n_records, values array<struct<first_record_id, value_raw, normalized_value, record_ids, document_ids>>.
 
-    Values stand in order of their first record. Only keys that conflict are gathered, so a big agreeing group costs one row.
+    Values stand in order of their first record. Only keys that conflict are gathered, so a big agreeing group costs one row; with
+    max_ids only the first records of each value are.
     """
     valued = null_safe(records.where(F.trim("value_raw") != ""), conflict_keys(records, keys), keys, "left_semi")
-    each = valued.groupBy(*keys, "value_raw").agg(
-        F.min("record_id").alias("first_record_id"), F.min("normalized_value").alias("normalized_value"),
-        F.sort_array(F.collect_list("record_id")).alias("record_ids"), F.sort_array(F.collect_set("document_id")).alias("document_ids"), F.count("*").alias("n"),
-    )
+    bounds = (F.min("record_id").alias("first_record_id"), F.min("normalized_value").alias("normalized_value"), F.count("*").alias("n"))
+    ids = (F.sort_array(F.collect_list("record_id")).alias("record_ids"), F.sort_array(F.collect_set("document_id")).alias("document_ids"))
+    value = (*keys, "value_raw")
+    if max_ids:
+        first = cap_per_key(valued, list(value), ["record_id"], max_ids).groupBy(*value).agg(*ids)
+        each = null_safe(valued.groupBy(*value).agg(*bounds), first, value)
+    else:
+        each = valued.groupBy(*value).agg(*bounds, *ids)
     side = F.struct("first_record_id", "value_raw", "normalized_value", "record_ids", "document_ids")
     return each.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_records"), F.array_sort(F.collect_list(side)).alias("values"))
 

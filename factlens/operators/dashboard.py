@@ -27,16 +27,29 @@ def validation(results: DataFrame) -> DataFrame:
 
 
 def index_stats(units: DataFrame) -> DataFrame:
-    """One row: units, by type, documents, embedded, errors, coverage (0 for no units)."""
+    """One row: units, by type, documents, embedded, errors, coverage (0 for no units) and, where the units have these columns, how many
+    models embedded them and the last update (models() lists them)."""
     kind = lambda k: F.count_if(F.col("unit_type") == k)
     embedded = F.count_if(F.col("embedding_status") == "embedded")
     return units.agg(
         F.count("*").alias("units"), kind("page").alias("page_units"), kind("record").alias("record_units"), kind("validation").alias("validation_units"),
         F.countDistinct("document_id").alias("documents"), embedded.alias("embedded"), F.count_if(F.col("embedding_status") == "failed").alias("errors"),
         F.coalesce(F.try_divide(embedded, F.count("*")), F.lit(0.0)).alias("coverage"),
+        *([F.countDistinct("embedding_model").alias("models")] if "embedding_model" in units.columns else []),
+        *([F.max("updated_at").alias("last_update")] if "updated_at" in units.columns else []),
     )
 
 
+def models(units: DataFrame) -> DataFrame:
+    """(embedding_model, units) in order of name."""
+    return units.where("embedding_model is not null").groupBy("embedding_model").agg(F.count("*").alias("units")).orderBy("embedding_model")
+
+
+def recent_activity(audit: DataFrame, n: int = 8) -> DataFrame:
+    """The latest n audit rows."""
+    return audit.orderBy(F.desc("created_at"), F.desc("audit_id")).limit(n)
+
+
 def recent(docs: DataFrame, rows: DataFrame, order: list, n: int = 8) -> DataFrame:
     """The latest n documents with their record count and whether they need review."""
     latest = docs.orderBy(*order).limit(n)

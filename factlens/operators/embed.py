@@ -11,16 +11,16 @@ from .units import embedding_inputs
 from .windows import cap_per_key
 
 
-def targets(units: DataFrame, per_document: int | None = 500) -> DataFrame:
-    """Units with a title or content; the first ones of each document."""
+def targets(units: DataFrame, per_document: int | None = None) -> DataFrame:
+    """Units with a title or content; the first ones of each document, if so many are asked for."""
     some = units.where((F.coalesce(F.trim("content"), F.lit("")) != "") | (F.coalesce(F.trim("title"), F.lit("")) != ""))
     return cap_per_key(some, ["document_id"], ["unit_id"], per_document) if per_document else some
 
 
-def run(units: DataFrame, load_model: Callable[[], Callable[[list[str]], list[list[float]]]] | None, batch: int = 32, per_document: int | None = 500) -> DataFrame:
+def run(units: DataFrame, load_model: Callable[[], Callable[[list[str]], list[list[float]]]] | None, batch: int = 32, per_document: int | None = None, max_chars: int | None = None) -> DataFrame:
     """(unit_id, embedding, embedding_status, embedding_error). The model is loaded once a task; a batch that fails marks its own rows
     failed; without a model all rows are unavailable."""
-    rows = embedding_inputs(targets(units, per_document)).select("unit_id", "input_text")
+    rows = embedding_inputs(targets(units, per_document), max_chars).select("unit_id", "input_text")
     kind = rows.schema["unit_id"].dataType.simpleString()
 
     def job(batches):

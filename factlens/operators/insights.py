@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import canonical_decimal
 from ..schemas import REVIEW_STATUSES
+from .conflicts import null_safe
 
 # Kinds in the order they are shown.
 KINDS = ("CONFLICT", "VALIDATION_WARNING", "DATA_GAP", "TREND", "COMPARISON")
@@ -15,7 +16,7 @@ def _name(c: str):
     return F.coalesce(F.col(c), F.lit("?"))
 
 
-def build(records: DataFrame, conflicts: DataFrame, trends: DataFrame, comparisons: DataFrame, top: int | None = 60, max_missing: int = 12, max_gaps: int = 12) -> DataFrame:
+def build(records: DataFrame, conflicts: DataFrame, trends: DataFrame, comparisons: DataFrame, top: int | None = 60, max_missing: int | None = None, max_gaps: int | None = None) -> DataFrame:
     """(kind_rank, kind, message) in order; nothing is said that a row does not hold."""
     where = F.concat_ws(" ", _name("entity"), _name("metric"), F.coalesce("reporting_period", F.lit("no period")))
     parts = [
@@ -23,12 +24,12 @@ def build(records: DataFrame, conflicts: DataFrame, trends: DataFrame, compariso
         records.where(F.col("validation_status").isin(*REVIEW_STATUSES)).groupBy("metric", "validation_status").agg(F.count("*").alias("n")).select(
             F.lit(1).alias("kind_rank"), F.concat(_name("metric"), F.lit(": "), F.col("n").cast("string"), F.lit(" records with status "), F.col("validation_status")).alias("message")
         ),
-        records.where((F.coalesce(F.trim("value_raw"), F.lit("")) == "") & (F.coalesce(F.trim("normalized_value"), F.lit("")) == "")).orderBy("record_id").limit(max_missing).select(
+        records.where((F.coalesce(F.trim("value_raw"), F.lit("")) == "") & (F.coalesce(F.trim("normalized_value"), F.lit("")) == "")).transform(lambda d: d.orderBy("record_id").limit(max_missing) if max_missing else d).select(
             F.lit(2).alias("kind_rank"), F.concat(where, F.lit(": no value")).alias("message")
         ),
         trends.where(F.size("gaps") > 0).select(
             F.lit(2).alias("kind_rank"),
-            F.concat(_name("entity"), F.lit(" "), _name("metric"), F.lit(": no data for "), F.array_join(F.slice("gaps", 1, max_gaps), ", ")).alias("message"),
+            F.concat(_name("entity"), F.lit(" "), _name("metric"), F.lit(": no data for "), F.array_join(F.slice("gaps", 1, max_gaps) if max_gaps else F.col("gaps"), ", ")).alias("message"),
         ),
         trends.where(F.col("n_points") >= 2).select(
             F.lit(3).alias("kind_rank"),
@@ -67,6 +68,21 @@ def chart_points(trends: DataFrame, comparisons: DataFrame, histogram: DataFrame
     return line.unionByName(bars).unionByName(sides)
 
 
+def chart_status(trends: DataFrame, comparisons: DataFrame, histogram: DataFrame, exclusions: DataFrame, top: int | None = 30) -> DataFrame:
+    """(kind, chart, series, status, note): every chart of chart_points, in order, with ok or review_required and why."""
+    flag = lambda on: F.when(on, "review_required").otherwise("ok").alias("status")
+    why = lambda on, text: F.when(on, text).alias("note")
+    line = trends.select(F.lit(0).alias("kind"), F.concat_ws("/", F.lit("line"), "metric", "unit").alias("chart"), F.col("entity").alias("series"), flag(F.col("review_required")), why(F.col("review_required"), F.lit("excluded values are not drawn")))
+    left_out = exclusions.groupBy("metric", "unit").agg(F.count("*").alias("left_out"))
+    drawn = null_safe(histogram.select("metric", "unit").distinct(), left_out, ("metric", "unit"))
+    some = F.coalesce("left_out", F.lit(0)) > 0
+    bars = drawn.select(F.lit(1).alias("kind"), F.concat_ws("/", F.lit("bins"), "metric", "unit").alias("chart"), F.lit("count").alias("series"), flag(some), why(some, F.format_string("%d values are not counted", F.coalesce("left_out", F.lit(0)))))
+    gap = F.col("n_valued") < F.col("n_entities")
+    sides = comparisons.select(F.lit(2).alias("kind"), F.concat_ws("/", F.lit("compare"), "metric", "unit").alias("chart"), F.coalesce("reporting_period", F.lit("")).alias("series"), flag(gap), why(gap, F.lit("entities without a verified value are gaps")))
+    out = line.unionByName(bars).unionByName(sides).orderBy("kind", "chart", "series")
+    return out.limit(top) if top else out
+
+
 def narrative(totals: DataFrame, insights: DataFrame, top: int = 5) -> DataFrame:
     """One row: a paragraph of counts and the first insights."""
     first = insights.orderBy("kind_rank", "message").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind_rank", "message"))), lambda m: m["message"]), ". ").alias("said"))

@@ -75,10 +75,10 @@ def from_ocr(pages: DataFrame) -> DataFrame:
     )
 
 
-def from_text(pages: DataFrame, max_per_page: int = 3, separator: str = "\n\n") -> DataFrame:
-    """The first paragraphs of each page."""
+def from_text(pages: DataFrame, max_per_page: int | None = None, separator: str = "\n\n") -> DataFrame:
+    """The paragraphs of each page, or the first ones."""
     paragraphs = F.filter(F.split("extracted_text", separator), lambda p: F.trim(p) != "")
-    each = pages.select("document_id", "page_id", "page_number", "extraction_status", F.posexplode(F.slice(paragraphs, 1, max_per_page)).alias("i", "p"))
+    each = pages.select("document_id", "page_id", "page_number", "extraction_status", F.posexplode(F.slice(paragraphs, 1, max_per_page) if max_per_page else paragraphs).alias("i", "p"))
     return _finish(
         each.select(
             "document_id", "page_id", F.lit("UNKNOWN_ENTITY").alias("entity"), F.lit("text_block").alias("metric"), F.trim("p").alias("value_raw"),
@@ -88,7 +88,7 @@ def from_text(pages: DataFrame, max_per_page: int = 3, separator: str = "\n\n")
     )
 
 
-def build(pages: DataFrame) -> DataFrame:
+def build(pages: DataFrame, max_per_page: int | None = None) -> DataFrame:
     """Every page by the best it has: a grid, else tables, else an image, else text (columns that are missing count as empty)."""
     for c, kind in (("grid", "array<array<string>>"), ("tables", "array<struct<table_index:int,headers:array<string>,rows:array<array<string>>>>"), ("ocr", "struct<confidence:double,review_required:boolean>"), ("sheet_name", "string")):
         if c not in pages.columns:
@@ -97,4 +97,4 @@ def build(pages: DataFrame) -> DataFrame:
     image = F.coalesce(F.col("content_type") == "image", F.lit(False))
     sections = pages.where(~grid & tables).withColumn("section_index", F.col("page_number"))
     sheets = pages.where(grid).withColumn("sheet_name", F.coalesce("sheet_name", "section_reference", F.lit("sheet")))
-    return from_grid(sheets).unionByName(from_tables(sections)).unionByName(from_ocr(pages.where(~grid & ~tables & image))).unionByName(from_text(pages.where(~grid & ~tables & ~image)))
+    return from_grid(sheets).unionByName(from_tables(sections)).unionByName(from_ocr(pages.where(~grid & ~tables & image))).unionByName(from_text(pages.where(~grid & ~tables & ~image), max_per_page))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schemas import UNIT_TYPES
@@ -19,12 +20,14 @@ UNIT_BONUS = {"record": 3, "page": 2, "validation": 1}
 LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 0.6, 0.4
 
 
-def prepare(queries: DataFrame, text_col: str = "text", max_chars: int = 300, max_terms: int = 20) -> DataFrame:
-    """Adds phrases (what is quoted) and keywords (the other words) to a table of query texts."""
-    text = F.substring(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")), 1, max_chars)
+def prepare(queries: DataFrame, text_col: str = "text", max_chars: int | None = None, max_terms: int | None = None) -> DataFrame:
+    """Adds phrases (what is quoted) and keywords (the other words) to a table of query texts, of all of it unless bounds are given."""
+    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
+    text = F.substring(text, 1, max_chars) if max_chars else text
     phrases = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r'"([^"]*)"?'), 1), lambda p: F.trim(p)), lambda p: p != "")
     words = F.filter(F.split(F.regexp_replace(text, r'"[^"]*"?', " "), " "), lambda w: w != "")
-    return queries.withColumn("phrases", F.slice(phrases, 1, max_terms)).withColumn("keywords", F.slice(words, 1, max_terms))
+    some = lambda terms: F.slice(terms, 1, max_terms) if max_terms else terms
+    return queries.withColumn("phrases", some(phrases)).withColumn("keywords", some(words))
 
 
 def clamp(c: Column, low: int, high: int) -> Column:
@@ -77,23 +80,49 @@ def _unit_order() -> Column:
     return out
 
 
-def lexical(units: DataFrame, phrases: list[str], keywords: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Matches of one query with their score, best first."""
+def lexical(units: DataFrame, phrases: list[str], keywords: list[str], limit: int | None = None, offset: int = 0, total: bool = False) -> DataFrame:
+    """Matches of one query with their score, best first; with `total`, a column that says how many there are in all."""
     p, k = (F.array(*map(F.lit, x)).cast("array<string>") for x in (phrases, keywords))
     found = units.withColumn("__text", _text("title", "content")).where(text_match(p, k, F.col("__text")))
     scored = found.withColumn("score", lexical_score(p, k)).drop("__text").orderBy(F.desc("score"), _unit_order(), "document_id", "unit_id")
-    return scored.offset(offset).limit(limit) if limit else scored
+    shown = scored.offset(offset).limit(limit) if limit else scored
+    return shown.crossJoin(found.agg(F.count("*").alias("total"))) if total else shown  # one row
+
+
+GRAM = 3
+
+
+def _anchor(phrases: Column, keywords: Column) -> Column:
+    """The middle three characters of the longest term, in lower case; NULL if no term has as many. What holds the term holds them."""
+    terms = F.transform(F.concat(phrases, keywords), lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("t")))
+    longest = F.array_max(F.filter(terms, lambda x: F.length(x["t"]) >= GRAM))["t"]
+    return F.substring(longest, F.floor((F.length(longest) - GRAM) / 2).cast("int") + 1, F.lit(GRAM))
 
 
 def batch_lexical(units: DataFrame, prepared: DataFrame, top: int | None = None) -> DataFrame:
-    """Matches of every query of a prepared table: query_id, unit columns, score and, with `top`, rank."""
+    """Matches of every query of a prepared table: query_id, unit columns, score and, with `top`, rank.
+
+    A query meets only the units that hold three characters of its longest term: these are joined by equality, then every term is looked for. Queries
+    without so long a term meet all units.
+    """
     text = units.withColumn("__text", _text("title", "content"))
-    asked = prepared.select("query_id", "phrases", "keywords").where(F.size("phrases") + F.size("keywords") > 0)
-    hits = text.join(asked, text_match(F.col("phrases"), F.col("keywords"), F.col("__text")))
+    asked = prepared.select("query_id", "phrases", "keywords").where(F.size("phrases") + F.size("keywords") > 0).withColumn("__gram", _anchor(F.col("phrases"), F.col("keywords")))
+    long, short = asked.where("__gram is not null"), asked.where("__gram is null").drop("__gram")
+    # Each place of the text begins a run of three; a lookahead reads them in one pass.
+    runs = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
+    met = text.select("unit_id", F.explode(runs).alias("__gram")).join(long.select("query_id", "__gram"), "__gram").select("unit_id", "query_id")
+    match = text_match(F.col("phrases"), F.col("keywords"), F.col("__text"))
+    hits = met.join(text, "unit_id").join(long.drop("__gram"), "query_id").where(match).select("query_id", *text.columns, "phrases", "keywords")
+    hits = hits.unionByName(text.join(short, match).select("query_id", *text.columns, "phrases", "keywords"))
     scored = hits.withColumn("score", lexical_score(F.col("phrases"), F.col("keywords"))).drop("__text", "phrases", "keywords")
     return ranked(scored, "score", top) if top else scored
 
 
+def totals(hits: DataFrame) -> DataFrame:
+    """(query_id, total): how many units each query matches in all."""
+    return hits.groupBy("query_id").agg(F.count("*").alias("total"))
+
+
 def ranked(hits: DataFrame, by: str, top: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc(by), _unit_order(), "document_id", "unit_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -107,31 +136,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (size > 0), dot / size).otherwise(0.0)
 
 
-def semantic(units: DataFrame, vectors: DataFrame, top: int = 10, block: int = 4096) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, kind: str) -> DataFrame:
+    """Blocks of at most `size` rows (id, v) with vectors of one length: ids, dims, x. They are formed inside the tasks that read the rows."""
+
+    def run(batches):
+        for b in batches:
+            v = b.column(1)
+            lengths = np.array([0 if n is None else n for n in pc.list_value_length(v).to_pylist()], np.int64)
+            for dims in np.unique(lengths):
+                at = np.flatnonzero(lengths == dims)
+                for lo in range(0, len(at) if dims else 0, size):
+                    part = pa.array(at[lo : lo + size])
+                    x = v.take(part).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), b.column(0).take(part))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([dims], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["ids", "dims", "x"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, dims int, x binary")
+
+
+def semantic(units: DataFrame, vectors: DataFrame, top: int = 10, block: int = 4096, rows: int = 2048, fan: int = 64) -> DataFrame:
     """The `top` embedded units nearest to each query (query_id, query_vector): query_id, unit columns without the vector, similarity, rank.
 
-    Exact. Queries are gathered into blocks, units meet each block as matrices, each task keeps its own best of every query, and
-    these few rows are ranked. Memory is a block of queries times a batch of units.
+    Exact. Units and queries meet as blocks: every block of units faces every block of queries, multiplied as matrices, keeps its own best of
+    every query, and these few rows are ranked. A block of queries goes out in as many copies as there are `fan` blocks of units, so no key
+    gathers all units. Similarity to a vector of another length is 0.
     """
-    n = max(1, -(-vectors.count() // block))
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
-    ready = units.where(F.col("embedding_status") == "embedded").select("unit_id", F.col("embedding").cast("array<double>").alias("v"))
-    faced = ready.repartition("unit_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     query_kind, unit_kind = vectors.schema["query_id"].dataType.simpleString(), units.schema["unit_id"].dataType.simpleString()
-
-    # Blocks are bounded by `block` rows, so one fits a task: it travels once a batch of units, not once a row.
-    packed = faced.groupBy("block", F.pmod(F.xxhash64("unit_id"), F.lit(max(1, units.sparkSession.sparkContext.defaultParallelism * 4))).alias("part"), F.expr("size(v)").alias("dims"))
-    packed = packed.agg(F.collect_list("unit_id").alias("ids"), F.flatten(F.collect_list("v")).alias("x")).join(blocks, "block").select("ids", "dims", "x", "asked")
+    ready = units.where(F.col("embedding_status") == "embedded").select("unit_id", F.col("embedding").cast("array<double>").alias("v"))
+    n, m = vectors.count(), ready.count()
+    parts, copies = max(1, -(-n // block)), max(1, -(-m // (rows * fan)))
+    numbered = vectors.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    # About `block` rows each, since queries are dealt by their hash.
+    asked = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    packed = _blocks(ready, rows, unit_kind).withColumn("copy", F.pmod(F.xxhash64(F.try_element_at("ids", F.lit(1))), F.lit(copies)).cast("int"))
+    faced = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["block", "copy"]).select("ids", "dims", "x", "asked")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                dims = row.column(1)[0].as_py()
-                if dims < 1:
-                    continue
-                ids, asked = row.column(0).flatten(), row.column(3).flatten()
-                x = row.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                ids, dims, asked = row.column(0).flatten(), row.column(1)[0].as_py(), row.column(3).flatten()
+                x = np.frombuffer(row.column(2)[0].as_py(), np.float64).reshape(-1, dims)
                 qs = [np.array(v if v is not None else [], float) for v in asked.field("query_vector").to_pylist()]
                 fit = np.array([len(v) == dims for v in qs])
                 q = np.stack([v if ok else np.zeros(dims) for v, ok in zip(qs, fit)])
@@ -145,7 +190,7 @@ def semantic(units: DataFrame, vectors: DataFrame, top: int = 10, block: int = 4
                     a, c = np.nonzero(np.ones(s.shape, bool))
                 yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(a)), ids.take(pa.array(c)), pa.array(s[a, c])], ["query_id", "unit_id", "similarity"])
 
-    near = packed.mapInArrow(run, f"query_id {query_kind}, unit_id {unit_kind}, similarity double")
+    near = faced.mapInArrow(run, f"query_id {query_kind}, unit_id {unit_kind}, similarity double")
     keep = [c for c in units.columns if c != "embedding"]
     return ranked(near.join(units.select(*keep), "unit_id"), "similarity", top)
 

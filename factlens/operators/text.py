@@ -8,22 +8,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import label_case
-from .windows import cap_per_key, global_budget
+from .windows import cap_per_key, global_budget, top_sources
 
 # Words that carry no content.
-STOPWORDS = (
-    "a about above after again against all also an and any are as at be been before being below between both but by can did do does done down during "
-    "each few for from further had has have he her here his how if in into is it its just may more most nor no not now of off on once only or other our "
-    "out over own per same shall she should so some such than that the their them then there these they this to under until up very was we were what "
-    "when where which who why will with would you your"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his", "if", "in", "into",
+    "is", "it", "its", "of", "on", "or", "our", "per", "she", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
+    "to", "was", "we", "were", "what", "which", "who", "will", "with", "would", "you", "your", "also", "each", "any", "all", "not", "no",
+    "other", "more", "most", "some", "such", "only", "same", "very", "can", "may", "shall", "should", "do", "does", "did", "done", "being",
+    "about", "above", "after", "again", "against", "before", "below", "between", "both", "down", "during", "few", "further", "here", "how",
+    "just", "nor", "now", "off", "once", "out", "over", "own", "under", "until", "up", "when", "where", "why",
+]
 TOKEN = r"[a-z0-9]+(?:['-][a-z0-9]+)*"
 
 
-def corpus(units: DataFrame, per_document: int | None = None, max_chars: int = 4000, total_chars: int | None = None, by_document_order: tuple[str, ...] = ("unit_id",)) -> DataFrame:
-    """Units with flattened content, cut to max_chars; optionally the first units of each document and a budget over all."""
+def corpus(units: DataFrame, per_document: int | None = None, max_chars: int | None = None, total_chars: int | None = None, by_document_order: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """Units with flattened content. What is cut is asked for: texts to max_chars (`truncated` says where), the first units of each document,
+    and a budget over all in order of document and unit."""
     flat = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", " "))
-    out = units.withColumn("truncated", F.length(flat) > max_chars).withColumn("content", F.substring(flat, 1, max_chars)).where("content != ''")
+    cut = F.length(flat) > max_chars if max_chars else F.lit(False)
+    out = units.withColumn("truncated", cut).withColumn("content", F.substring(flat, 1, max_chars) if max_chars else flat).where("content != ''")
     if per_document:
         out = cap_per_key(out, ["document_id"], list(by_document_order), per_document)
     return global_budget(out, "document_id", list(by_document_order), F.length("content"), total_chars).drop("used") if total_chars else out
@@ -100,7 +104,7 @@ def keywords(units: DataFrame, top_terms: int | None = 60, top_phrases: int | No
 def display_forms(units: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(term, display): the most frequent spelling in the texts, first letter raised if it is all lower case."""
     surface = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit("(?i)" + TOKEN), 0)
-    seen = units.select(*by, F.explode(surface).alias("surface")).withColumn("term", F.lower("surface")).join(F.broadcast(terms.select(*by, "term").distinct()), [*by, "term"])
+    seen = units.select(*by, F.explode(surface).alias("surface")).withColumn("term", F.lower("surface")).join(terms.select(*by, "term").distinct(), [*by, "term"])
     best = seen.groupBy(*by, "term", "surface").agg(F.count("*").alias("n")).groupBy(*by, "term").agg(F.min(F.struct((-F.col("n")).alias("n"), "surface")).alias("s"))
     shown = F.col("s.surface")
     return best.select(*by, "term", F.when(shown == F.lower(shown), F.initcap(shown)).otherwise(shown).alias("display"))
@@ -116,15 +120,29 @@ def cloud(terms: DataFrame, top: int | None = 40, by: tuple[str, ...] = ()) -> D
     return cap_per_key(out, list(by), order, top) if by else out.orderBy(*order).limit(top)
 
 
+def _bounded(terms: DataFrame, most: int = 1000) -> list[str]:
+    """The words of a top list, whose size is a parameter; a table of all terms is refused."""
+    words = [r["term"] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    if len(words) > most:
+        raise ValueError(f"a top list of at most {most} terms is wanted here")
+    return words
+
+
+def _of(words: list[str]) -> Column:
+    """The content tokens of a unit that are among the words."""
+    return F.filter(content_tokens(F.col("content")), lambda t: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), t))
+
+
 def cooccurrence(units: DataFrame, terms: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, both, jaccard) of pairs a < b of the given terms, by the units in which they stand. `terms` is a top list, so
-    pairs within a unit are bounded by its length squared."""
-    wanted = F.broadcast(terms.select("term"))
-    once = units.select("unit_id", F.explode(F.array_distinct(content_tokens(F.col("content")))).alias("term")).join(wanted, "term")
-    n = once.groupBy("term").agg(F.count("*").alias("n"))
-    sets = once.groupBy("unit_id").agg(F.array_sort(F.collect_set("term")).alias("t")).where(F.size("t") > 1)
-    pairs = sets.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
-    out = pairs.join(F.broadcast(n.select(F.col("term").alias("a"), F.col("n").alias("n_a"))), "a").join(F.broadcast(n.select(F.col("term").alias("b"), F.col("n").alias("n_b"))), "b")
+    pairs within a unit are bounded by its length squared, and one pass over the units counts terms (as a with a) and pairs."""
+    sets = units.select(F.array_sort(F.array_distinct(_of(_bounded(terms)))).alias("t")).where(F.size("t") > 0)
+    ends = sets.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 1, F.size("t"))).alias("b"))
+    counted = ends.groupBy("a", "b").agg(F.count("*").alias("both"))
+    alone = F.when(F.col("a") == F.col("b"), F.col("both"))
+    # As many rows as there are pairs of listed terms: their singles are spread over them as a map.
+    singles = counted.agg(F.map_from_entries(F.collect_list(F.when(alone.isNotNull(), F.struct("a", "both")))).alias("n"))
+    out = counted.where("a < b").crossJoin(singles).withColumns({"n_a": F.col("n")[F.col("a")], "n_b": F.col("n")[F.col("b")]}).drop("n")
     return out.withColumn("jaccard", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
 
 
@@ -135,10 +153,9 @@ def topics(units: DataFrame, k: int = 60, jaccard: float = 0.3, max_topics: int
     """
     spark = units.sparkSession
     scored = term_stats(units, top=None)
-    top = scored.orderBy(F.desc("freq"), "term").limit(k).persist()
-    order = [r.asDict() for r in top.orderBy(F.desc("freq"), "term").collect()]
+    order = [r.asDict() for r in scored.orderBy(F.desc("freq"), "term").limit(k).collect()]
+    top = spark.createDataFrame([(r["term"],) for r in order], "term string")
     near = {(r["a"], r["b"]) for r in cooccurrence(units, top).where(F.col("jaccard") >= jaccard).select("a", "b").collect()}
-    top.unpersist()
     score, taken, out = {r["term"]: r["score"] for r in order}, set(), []
     for leader in score:
         if leader in taken or len(out) == max_topics:
@@ -153,13 +170,28 @@ def topics(units: DataFrame, k: int = 60, jaccard: float = 0.3, max_topics: int
     return frame.select("topic", label.alias("label"), "score", "terms")
 
 
-def topic_documents(found: DataFrame, units: DataFrame) -> DataFrame:
-    """(topic, document_id, terms, score): a document supports a topic by its terms; each counts with its frequency in the corpus."""
-    once = units.select("document_id", F.explode(F.array_distinct(content_tokens(F.col("content")))).alias("term")).distinct()
+def topic_documents(found: DataFrame, units: DataFrame, top: int | None = None) -> DataFrame:
+    """(topic, document_id, terms, score): a document supports a topic by its terms; each counts with its frequency in the corpus. With
+    `top`, the documents of the highest scores of each topic."""
+    wanted = found.select("topic", F.explode("terms").alias("term"))
+    hits = units.select("document_id", F.explode(_of(_bounded(wanted))).alias("term")).groupBy("term", "document_id").agg(F.count("*").alias("n"))
+    freq = hits.groupBy("term").agg(F.sum("n").alias("freq"))
+    met = hits.join(wanted, "term").join(freq, "term")
+    out = met.groupBy("topic", "document_id").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("freq").alias("score"))
+    return cap_per_key(out, ["topic"], [F.desc("score"), F.col("document_id")], top) if top else out
+
+
+def term_sources(units: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
+    """(term, sources): the first n units of each term of a top list, as document:unit."""
+    once = units.select("document_id", "unit_id", F.explode(F.array_distinct(_of(_bounded(terms)))).alias("term"))
+    return top_sources(once, ["term"], ["document_id", "unit_id"], n)
+
+
+def topic_sources(found: DataFrame, units: DataFrame, n: int = 8) -> DataFrame:
+    """(topic, sources): the first n units that hold a term of the topic."""
     wanted = found.select("topic", F.explode("terms").alias("term"))
-    freq = counts(units, content_tokens(F.col("content"))).join(F.broadcast(wanted.select("term").distinct()), "term").select("term", "freq")
-    met = once.join(F.broadcast(wanted), "term").join(F.broadcast(freq), "term")
-    return met.groupBy("topic", "document_id").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.sum("freq").alias("score"))
+    once = units.select("document_id", "unit_id", F.explode(F.array_distinct(_of(_bounded(wanted)))).alias("term")).join(wanted, "term")
+    return top_sources(once, ["topic"], ["document_id", "unit_id"], n)
 
 
 def key_metrics(records: DataFrame, n: int = 12) -> DataFrame:
@@ -168,14 +200,18 @@ def key_metrics(records: DataFrame, n: int = 12) -> DataFrame:
     return cap_per_key(records, ["document_id"], order, n)
 
 
-def document_summary(documents: DataFrame, doc_counts: DataFrame, units: DataFrame, found: DataFrame, top_terms: int = 5, top_topics: int = 3) -> DataFrame:
-    """(document_id, summary): counts, what is flagged or pending, main terms of the document and its topics, as sentences."""
+def document_summary(documents: DataFrame, doc_counts: DataFrame, units: DataFrame, found: DataFrame, top_terms: int = 5, top_topics: int = 3, conflicts: DataFrame | None = None) -> DataFrame:
+    """(document_id, summary): counts, what is flagged, pending or (document_id, conflicts) in conflict, main terms of the document and its
+    topics, and whether texts were cut before they were counted, as sentences."""
     terms = term_stats(units, min_freq=1, top=top_terms, by=("document_id",))
     order = W.partitionBy("document_id").orderBy(F.desc("freq"), "term")
     terms = terms.withColumn("r", F.row_number().over(order)).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda t: t["term"]), ", ").alias("terms"))
-    about = topic_documents(found, units).join(F.broadcast(found.select("topic", "label")), "topic")
+    about = topic_documents(found, units).join(found.select("topic", "label"), "topic")
     about = cap_per_key(about, ["document_id"], [F.desc("score"), F.col("topic")], top_topics).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("topics"))
+    cut = units.where("truncated").select("document_id").distinct().withColumn("cut", F.lit(True)) if "truncated" in units.columns else None
     joined = documents.join(doc_counts, "document_id", "left").join(terms, "document_id", "left").join(about, "document_id", "left")
+    joined = joined.join(conflicts, "document_id", "left") if conflicts is not None else joined.withColumn("conflicts", F.lit(0))
+    joined = joined.join(cut, "document_id", "left") if cut is not None else joined.withColumn("cut", F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select(
         "document_id",
@@ -184,8 +220,10 @@ def document_summary(documents: DataFrame, doc_counts: DataFrame, units: DataFra
             F.format_string("%s has %d pages and %d records.", F.coalesce("filename", F.lit("The document")), zero("pages"), zero("records")),
             F.when(zero("flagged") > 0, F.format_string("%d records need review.", zero("flagged"))),
             F.when(zero("pending") > 0, F.format_string("%d records are pending.", zero("pending"))),
+            F.when(zero("conflicts") > 0, F.format_string("%d conflicts are open.", zero("conflicts"))),
             F.when(F.col("terms") != "", F.concat(F.lit("Main terms: "), "terms", F.lit("."))),
             F.when(F.col("topics") != "", F.concat(F.lit("Topics: "), "topics", F.lit("."))),
+            F.when(F.col("cut"), "Its texts were cut; terms and topics are those of what was read."),
         ).alias("summary"),
     )
 

@@ -65,10 +65,10 @@ def reindex(pages: DataFrame, records: DataFrame, results: DataFrame, documents:
     return units, units.groupBy("unit_type").agg(F.count("*").alias("units"), F.countDistinct("document_id").alias("documents"))
 
 
-def embedding_inputs(units: DataFrame, max_chars: int = 4000) -> DataFrame:
-    """Adds input_text: the parts that exist, one line for records and validations, cut to the model's bound."""
+def embedding_inputs(units: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Adds input_text: the parts that exist, one line for records and validations, cut where the model has a bound."""
     line = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")
     record = F.concat_ws(" | ", "title", "content", "unit", "reporting_period", "source_reference")
     page = F.concat_ws(" | ", "title", "content")
     text = F.when(F.col("unit_type") == "page", page).otherwise(line(record))
-    return units.withColumn("input_text", F.substring(text, 1, max_chars))
+    return units.withColumn("input_text", F.substring(text, 1, max_chars) if max_chars else text)

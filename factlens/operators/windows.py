@@ -20,11 +20,11 @@ def global_budget(df: DataFrame, key: str, order: list[Column | str], amount: Co
     """A running budget over all rows in order of key (a number) and order; adds `used`.
 
     Rows are dealt by approximate quantiles of the key into buckets in order; the sums of these are added up in one window of
-    `buckets` rows, the rows of each bucket in a window of its own.
+    `buckets` rows, the rows of each bucket in a window of its own. Rows without a key come first, in a bucket of their own.
     """
     edges = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     edges = sorted(set(edges))
-    bucket = sum(((F.col(key) > e).cast("int") for e in edges), start=F.lit(0))
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(sum(((F.col(key) > e).cast("int") for e in edges), start=F.lit(0)))
     dealt = df.withColumn("__bucket", bucket)
     sums = dealt.groupBy("__bucket").agg(F.sum(amount).alias("__sum"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("__before") <= cap).drop("__sum")
@@ -48,6 +48,7 @@ def top_sources(df: DataFrame, keys: list[str], source: list[str], n: int = 8) -
     return ranked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", ref.alias("r")))), lambda s: s["r"]), ",").alias("sources"))
 
 
-def page(df: DataFrame, order: list[Column | str], size: int = 20, offset: int = 0) -> DataFrame:
-    """A page of rows in order, of at most 100."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(size, 100)))
+def page(df: DataFrame, order: list[Column | str], size: int = 20, offset: int = 0, total: bool = True) -> DataFrame:
+    """A page of rows in order; with `total`, a column that says how many rows there are in all."""
+    rows = df.orderBy(*order).offset(max(0, offset)).limit(max(1, size))
+    return rows.crossJoin(df.agg(F.count("*").alias("total"))) if total else rows  # one row

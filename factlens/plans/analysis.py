@@ -8,15 +8,32 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..operators import analytics, report
+from ..operators import analytics, conflicts, report
 
 
 @contextmanager
 def analyze(records: DataFrame) -> Iterator[dict[str, DataFrame]]:
-    """All report tables of a selection. The classification is computed once and kept (on disk where memory is short) while the
-    block lasts."""
-    classified = analytics.classify(records).persist(StorageLevel.MEMORY_AND_DISK)
+    """All report tables of a selection. What several of them read (the classification, cells, conflicts, exclusions, trends, comparisons) is
+    computed once and kept, on disk where memory is short, while the block lasts; what lost executors held is computed again."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
     try:
-        yield report.analysis(records, classified)
+        found = keep(conflicts.detect(records))
+        classified = keep(analytics.classify(records, found))
+        cell = keep(analytics.cells(classified))
+        tables = (analytics.exclusions(classified, cell), analytics.aggregates(classified, cell), analytics.trends(classified, cell), analytics.comparisons(classified, cell), analytics.histogram(classified))
+        yield report.analysis_tables(records, classified, found, *map(keep, tables))
     finally:
-        classified.unpersist()
+        for df in kept:
+            df.unpersist()
+
+
+def written(records: DataFrame, path: str) -> DataFrame:
+    """The whole analysis as (section, payload JSON), written to a shared folder and read again."""
+    with analyze(records) as tables:
+        report.to_json_rows(tables).write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.schema("section string, payload string").parquet(path)

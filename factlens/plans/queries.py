@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import analytics as A, conflicts as C, dashboard as D, evidence as E, insights as I, records as R, report, search as S, text as T, units as U, validate as V, windows as WN
 from ..sources import adapters as IN, extract as X, lifecycle as L
 from ..streaming import duplicates, ingest
+from . import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,14 +159,47 @@ def distribution_5bins(spark, sf_dir):
     return A.histogram(_classified(spark, sf_dir)).select("metric", "unit", "bin", _d("low", 4), "n")
 
 
-@query()
+DEC = r"regexp_replace(regexp_replace(({})::DECIMAL(38,10)::VARCHAR, '0+$', ''), '\.$', '')"
+TREND = """t AS (SELECT entity, metric, unit, min(reporting_period) AS p0, max(reporting_period) AS p1, arg_min(lo, reporting_period) AS a, arg_max(lo, reporting_period) AS b, count(*) AS n FROM cell WHERE lo = hi GROUP BY ALL),
+months AS (SELECT entity, metric, unit, strftime(unnest(generate_series((p0 || '-01')::DATE, (p1 || '-01')::DATE, INTERVAL 1 MONTH)), '%Y-%m') AS gap FROM t),
+gaps AS (SELECT * FROM months m WHERE NOT EXISTS (SELECT 1 FROM cell c WHERE c.lo = c.hi AND c.entity = m.entity AND c.metric = m.metric AND c.unit = m.unit AND c.reporting_period = m.gap))"""
+SIDES = """sides AS (SELECT metric, unit, reporting_period, entity, max(CASE WHEN lo = hi THEN lo END) AS v FROM (SELECT DISTINCT metric, unit, reporting_period, entity FROM cls) e
+  LEFT JOIN cell USING (metric, unit, reporting_period, entity) GROUP BY ALL),
+comp AS (SELECT metric, unit, reporting_period, count(*) AS n_entities, count(v) AS n_valued, CASE WHEN count(v) >= 2 THEN max(v) - min(v) END AS difference FROM sides GROUP BY ALL HAVING count(*) >= 2)"""
+SAID = f"""said AS (
+  SELECT 0 AS kind_rank, entity || ' ' || metric || ' ' || reporting_period || ': ' || count(DISTINCT value_raw) || ' different values reported' AS message FROM rec GROUP BY entity, metric, reporting_period, unit HAVING count(DISTINCT value_raw) > 1
+  UNION ALL SELECT 1, metric || ': ' || count(*) || ' records with status ' || validation_status FROM rec WHERE validation_status = 'warning' GROUP BY metric, validation_status
+  UNION ALL SELECT 2, entity || ' ' || metric || ': no data for ' || string_agg(gap, ', ' ORDER BY gap) FROM gaps GROUP BY entity, metric, unit
+  UNION ALL SELECT 3, entity || ' ' || metric || ' ' || CASE WHEN b > a THEN 'increasing' WHEN b < a THEN 'decreasing' ELSE 'unchanged' END || ' from ' || {DEC.format('a')} || ' in ' || p0 || ' to ' || {DEC.format('b')} || ' in ' || p1 FROM t WHERE n >= 2
+  UNION ALL SELECT 4, metric || ' ' || reporting_period || ': spread of ' || {DEC.format('difference')} || ' over ' || n_valued || ' entities' FROM comp WHERE difference IS NOT NULL),
+named AS (SELECT kind_rank, ['CONFLICT', 'VALIDATION_WARNING', 'DATA_GAP', 'TREND', 'COMPARISON'][kind_rank + 1] AS kind, message FROM said)"""
+
+
+@query(f"{BASE}, {TREND}, {SIDES}, {SAID} SELECT * FROM named ORDER BY kind_rank, message LIMIT 60")
 def insights_top60(spark, sf_dir):
     rows = IN.records_from_orders(spark, sf_dir)
     classified = A.classify(rows)
     return I.build(rows, C.detect(rows), A.trends(classified), A.comparisons(classified))
 
 
-@query()
+@query(f"{BASE}, {TREND}, {SIDES}, {SAID} SELECT kind, count(*) AS n, md5(string_agg(message, chr(10) ORDER BY message)) AS said FROM named GROUP BY kind")
+def insights_all(spark, sf_dir):
+    rows = IN.records_from_orders(spark, sf_dir)
+    classified = A.classify(rows)
+    out = I.build(rows, C.detect(rows), A.trends(classified), A.comparisons(classified), top=None)
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("message")), "\n")).alias("said"))
+
+
+BINS = """b AS (SELECT metric, unit, min(value) AS lo, max(value) AS hi, ((max(value) - min(value)) / 5)::DECIMAL(38,10) AS w FROM cls WHERE reason IS NULL GROUP BY ALL),
+placed AS (SELECT metric, unit, CASE WHEN lo = hi THEN 0 ELSE least(floor((value - lo)::DOUBLE / w::DOUBLE)::INT, 4) END AS bin FROM cls JOIN b USING (metric, unit) WHERE reason IS NULL),
+frame AS (SELECT metric, unit, unnest(CASE WHEN lo = hi THEN [0] ELSE [0, 1, 2, 3, 4] END) AS bin FROM b),
+bars AS (SELECT metric, unit, bin::INT AS bin, count(p.bin) AS n FROM frame LEFT JOIN placed p USING (metric, unit, bin) GROUP BY ALL)"""
+
+
+@query(f"""{BASE}, {TREND}, {SIDES}, {BINS}
+SELECT 'line/' || metric || '/' || unit AS chart, entity AS series, reporting_period AS x, round(lo::DOUBLE, 4) AS y FROM cell WHERE lo = hi
+UNION ALL SELECT 'line/' || metric || '/' || unit, entity, gap, NULL FROM gaps UNION ALL SELECT 'bins/' || metric || '/' || unit, 'count', bin::VARCHAR, n::DOUBLE FROM bars
+UNION ALL SELECT 'compare/' || metric || '/' || unit, reporting_period, entity, round(v::DOUBLE, 4) FROM sides JOIN comp USING (metric, unit, reporting_period)""")
 def chart_points(spark, sf_dir):
     c = _classified(spark, sf_dir)
     return I.chart_points(A.trends(c), A.comparisons(c), A.histogram(c)).select("chart", "series", "x", _d("y", 4))
@@ -173,15 +207,14 @@ def chart_points(spark, sf_dir):
 
 @query()
 def analysis_payload(spark, sf_dir):
-    rows = IN.records_from_orders(spark, sf_dir)
-    return report.to_json_rows(report.analysis(rows, A.classify(rows)))
+    return analysis.written(IN.records_from_orders(spark, sf_dir), f"{_scratch(spark)}/analysis")
 
 
 @query(f"""WITH {REC} SELECT count(*) AS records, count(DISTINCT document_id) AS documents, count(DISTINCT entity) AS entities, count(DISTINCT metric) AS metrics, count(DISTINCT reporting_period) AS periods,
-       min(reporting_period) AS first_period, max(reporting_period) AS last_period, 0::BIGINT AS missing, count(*) FILTER (validation_status = 'pending') AS pending
+       min(reporting_period) AS first_period, max(reporting_period) AS last_period, 0::BIGINT AS missing, count(*) FILTER (validation_status = 'pending') AS pending, count(*) > 1000 AS truncated
 FROM rec WHERE metric = 'order_total'""")
 def report_summary(spark, sf_dir):
-    return report.summary(report.select(IN.records_from_orders(spark, sf_dir), metrics=["order_total"]))
+    return report.summary(report.select(IN.records_from_orders(spark, sf_dir), metrics=["order_total"]), 1000)
 
 
 @query(f"""WITH {REC} SELECT entity, metric, reporting_period, unit, count(*) AS n, string_agg(record_id::VARCHAR, ',' ORDER BY record_id) AS record_ids FROM rec GROUP BY ALL""")
@@ -201,11 +234,11 @@ def report_listing(spark, sf_dir):
     return report.listing(rows, 50).select("record_id", "entity", "metric", "reporting_period")
 
 
-@query(f"""WITH {REC} SELECT record_id, document_id, entity, nation FROM rec JOIN (SELECT 'cust-' || c_custkey AS entity, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey) USING (entity)
+@query(f"""WITH {REC} SELECT record_id, document_id, entity, nation, count(*) OVER () AS total FROM rec JOIN (SELECT 'cust-' || c_custkey AS entity, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey) USING (entity)
 WHERE metric = 'order_total' AND validation_status = 'warning' ORDER BY document_id, record_id LIMIT 100 OFFSET 100""")
 def explorer_page(spark, sf_dir):
     rows = report.explore(IN.records_from_orders(spark, sf_dir), metric="order_total", validation_status="warning").join(IN.customers(spark, sf_dir), "entity")
-    return WN.page(rows, ["document_id", "record_id"], 100, 100).select("record_id", "document_id", "entity", "nation")
+    return WN.page(rows, ["document_id", "record_id"], 100, 100).select("record_id", "document_id", "entity", "nation", "total")
 
 
 @query(f"""WITH {REC}, r AS (SELECT document_id, record_id, entity, metric, row_number() OVER (PARTITION BY document_id ORDER BY entity, metric, reporting_period, record_id) AS n FROM rec)
@@ -263,7 +296,7 @@ def document_counts(spark, sf_dir):
     return D.document_counts(IN.documents(spark, sf_dir), IN.pages(spark, sf_dir), IN.records_from_orders(spark, sf_dir))
 
 
-@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3] AS l FROM documents)
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
 SELECT doc_id AS document_id, unnest(generate_series(1, len(l)))::INT AS block, md5(trim(unnest(l))) AS value_md5 FROM p""")
 def text_records(spark, sf_dir):
     out = R.from_text(IN.pages(spark, sf_dir), separator="\n")
@@ -421,7 +454,7 @@ def search_lexical(spark, sf_dir):
     return S.lexical(_page_units(spark, sf_dir), ["the and"], ["tion", "here"]).select("document_id", "score")
 
 
-@query(f"""WITH q AS (SELECT item_id AS query_id, list_filter(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')[1:2], lambda w: w <> '') AS k FROM benchmark),
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') AS k FROM benchmark),
 u AS (SELECT doc_id AS document_id, {PAGE_TEXT} AS t FROM documents)
 SELECT query_id, document_id, (15 + 6 * least(len(k), 3) + 2)::DOUBLE AS score FROM q, u WHERE len(k) > 0 AND len(list_filter(k, lambda w: contains(t, lower(w)))) = len(k)""")
 def search_batch(spark, sf_dir):
@@ -438,33 +471,63 @@ def snippets(spark, sf_dir):
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, {COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id = 0),
-r AS (SELECT *, row_number() OVER (ORDER BY c DESC, unit_id % 50, unit_id) AS rank FROM s) SELECT query_id, unit_id, round(c, 6) AS similarity FROM r WHERE rank <= 10""")
+def _asked(units: DataFrame) -> DataFrame:
+    """Every twentieth vector as a query, against all units."""
+    return units.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, b.label, {COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, CASE label % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, unit_id % 50, unit_id) AS rank FROM s) SELECT query_id, unit_id, round(c, 6) AS similarity FROM r WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
     units = IN.vector_units(spark, sf_dir)
-    vectors = units.where("unit_id = 0").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.semantic(units, vectors, 10).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"))
+    return S.semantic(units, _asked(units), 10).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, {COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label = 3),
+@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, {COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label = 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit_id % 50, unit_id) AS rank FROM s) SELECT query_id, unit_id, round(c, 6) AS similarity, rank FROM r WHERE rank <= 5""")
 def semantic_filtered(spark, sf_dir):
     units = IN.vector_units(spark, sf_dir)
-    vectors = units.where("unit_id % 100 = 0").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.semantic(S.filter_units(units, label=3), vectors, 5).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return S.semantic(S.filter_units(units, label=3), _asked(units), 5).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Units with a text and a vector, and what every twentieth of them asks: its first two words and its vector.
+BOTH = """u AS (SELECT vec_id AS unit_id, vec_id % 50 AS document_id, label, embedding, text, lower(source || ' ' || text) AS t FROM embeddings JOIN documents ON doc_id = vec_id),
+q AS (SELECT unit_id AS query_id, embedding, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')[1:2] AS k FROM u WHERE unit_id % 20 = 0),
+lex AS (SELECT query_id, unit_id, (15 + 6 * len(k) + CASE label % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS score FROM q, u WHERE len(k) > 0 AND len(list_filter(k, lambda w: contains(t, lower(w)))) = len(k))"""
+
 
+def _text_units(spark, sf_dir):
+    texts = IN.pages(spark, sf_dir).join(IN.documents(spark, sf_dir).select("document_id", "source"), "document_id").select(F.col("document_id").alias("unit_id"), F.col("source").alias("title"), F.col("extracted_text").alias("content"))
+    units = IN.vector_units(spark, sf_dir).join(texts, "unit_id").withColumns({"entity": F.lit(None).cast("string"), "metric": F.lit(None).cast("string")})
+    words = F.slice(F.filter(F.split(F.trim("content"), r"\s+"), lambda w: w != ""), 1, 2)
+    asked = units.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.array_join(words, " ").alias("text"), F.col("embedding").alias("query_vector"))
+    return units, asked
 
-@query(f"""WITH lex AS (SELECT 0::BIGINT AS query_id, vec_id AS unit_id, (label * 10 + vec_id % 7)::DOUBLE AS score FROM embeddings WHERE label < 4),
-n AS (SELECT *, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS l FROM lex),
-sem AS (SELECT b.vec_id AS unit_id, {COS} AS c, row_number() OVER (ORDER BY {COS} DESC, b.vec_id % 50, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id = 0),
-m AS (SELECT coalesce(n.unit_id, s.unit_id) AS unit_id, 0.6 * coalesce(l, 0) + 0.4 * coalesce((1 + c) / 2, 0) AS relevance FROM n FULL JOIN (SELECT * FROM sem WHERE rk <= 20) s ON n.unit_id = s.unit_id),
-k AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, CASE (SELECT label FROM embeddings e WHERE e.vec_id = unit_id) % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, unit_id % 50, unit_id) AS rank FROM m)
-SELECT 0::BIGINT AS query_id, unit_id, round(relevance, 6) AS relevance FROM k WHERE rank <= 10""")
+
+@query(f"""WITH {BOTH},
+n AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS l FROM lex WINDOW w AS (PARTITION BY query_id)),
+near AS (SELECT a.query_id, b.unit_id, {COS} AS c, row_number() OVER (PARTITION BY a.query_id ORDER BY {COS} DESC, CASE b.label % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, b.document_id, b.unit_id) AS rk FROM q a, u b),
+m AS (SELECT query_id, unit_id, 0.6 * coalesce(l, 0) + 0.4 * coalesce((1 + c) / 2, 0) AS relevance FROM n FULL JOIN (SELECT * FROM near WHERE rk <= 20) s USING (query_id, unit_id)),
+k AS (SELECT m.*, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, CASE label % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, document_id, unit_id) AS rank FROM m JOIN u USING (unit_id))
+SELECT query_id, unit_id, round(relevance, 6) AS relevance FROM k WHERE rank <= 10""")
 def hybrid_rank(spark, sf_dir):
-    units = IN.vector_units(spark, sf_dir)
-    words = units.where("label < 4").select(F.lit(0).cast("long").alias("query_id"), "unit_id", "document_id", "unit_type", (F.col("label") * 10 + F.col("unit_id") % 7).cast("double").alias("score"))
-    vectors = units.where("unit_id = 0").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return S.hybrid(words, S.semantic(units, vectors, 20), 10).select("query_id", "unit_id", F.round("relevance", 6).alias("relevance"))
+    units, asked = _text_units(spark, sf_dir)
+    words = S.batch_lexical(units, S.prepare(asked))
+    near = S.semantic(units, asked.select("query_id", "query_vector"), 20)
+    return S.hybrid(words, near, 10).select("query_id", "unit_id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"""WITH {BOTH}, r AS (SELECT query_id, unit_id, score, query_id % 3 AS mode FROM lex),
+near AS (SELECT a.query_id, b.unit_id, b.label, b.document_id, {COS} AS c FROM q a, u b WHERE a.query_id % 3 = 1),
+s AS (SELECT query_id, unit_id, c AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, CASE label % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, document_id, unit_id) AS rank FROM near),
+l AS (SELECT r.query_id, r.unit_id, score AS relevance, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE label % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, document_id, unit_id) AS rank FROM r JOIN u USING (unit_id) WHERE mode <> 1)
+SELECT query_id, unit_id, 'semantic' AS mode, round(relevance, 6) AS relevance, rank FROM s WHERE rank <= 5 UNION ALL SELECT query_id, unit_id, 'lexical', round(relevance, 6), rank FROM l WHERE rank <= 5""")
+def search_modes(spark, sf_dir):
+    # A third of the queries ask by meaning, a third by words, and a third by both but without a vector, which falls back to words.
+    units, asked = _text_units(spark, sf_dir)
+    third = F.col("query_id") % 3
+    mixed = asked.withColumn("mode", F.when(third == 1, "semantic").when(third == 0, "lexical").otherwise("hybrid")).withColumn("query_vector", F.when(third != 2, F.col("query_vector")))
+    return S.run(units, mixed, 5).select("query_id", "unit_id", "mode", F.round("relevance", 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT count(*) AS units, count(*) FILTER (label % 3 = 1) AS page_units, count(*) FILTER (label % 3 = 0) AS record_units, count(*) FILTER (label % 3 = 2) AS validation_units,
@@ -473,7 +536,12 @@ def index_stats(spark, sf_dir):
     return D.index_stats(IN.vector_units(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') AS k FROM benchmark),
+u AS (SELECT doc_id AS document_id, {PAGE_TEXT} AS t, trim(regexp_replace(source || '/' || doc_id || ' — page 1 — ' || text, '\\s+', ' ', 'g')) AS s FROM documents),
+h AS (SELECT query_id, document_id, s, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS evidence_id FROM q, u WHERE len(k) > 0 AND len(list_filter(k, lambda w: contains(t, lower(w)))) = len(k))
+SELECT query_id, evidence_id::INT AS evidence_id, document_id, CASE WHEN evidence_id IS NULL THEN 'insufficient_evidence' ELSE 'ok' END AS status,
+       md5('[' || evidence_id || '] (type: page; document: ' || document_id || ') ' || regexp_replace(regexp_replace(CASE WHEN length(s) > 400 THEN rtrim(substr(s, 1, 399)) || '…' ELSE s END, '<{{2,}}', '<', 'g'), '>{{2,}}', '>', 'g')) AS line_md5
+FROM q LEFT JOIN (SELECT * FROM h WHERE evidence_id <= 8) USING (query_id)""")
 def evidence_table(spark, sf_dir):
     asked = S.prepare(IN.queries(spark, sf_dir))
     hits = S.batch_lexical(_page_units(spark, sf_dir), asked, 8)
@@ -496,16 +564,16 @@ def answer_contract(spark, sf_dir):
 
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 TOK = f"""tok AS (
-  SELECT doc_id, list_filter(regexp_extract_all(lower(trim(left(regexp_replace(text, '\\s+', ' ', 'g'), 1000000))), '{T.TOKEN.replace("'", "''")}'),
-         lambda t: length(t) BETWEEN 2 AND 40) AS t FROM documents WHERE lang = 'en'),
+  SELECT doc_id, list_filter(regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '{T.TOKEN.replace("'", "''")}'),
+         lambda t: length(t) BETWEEN 2 AND 40) AS t FROM documents WHERE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> ''),
 con AS (SELECT doc_id, list_filter(t, lambda x: x NOT IN ({STOP}) AND NOT regexp_full_match(x, '[0-9]+')) AS c FROM tok)"""
 STATS = """one AS (SELECT doc_id, unnest({}) AS term FROM con), st AS (SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS df FROM one GROUP BY term),
 sc AS (SELECT term, freq, df, freq * (ln(((SELECT count(*) FROM con) + 1) / (df + 1)) + 1) AS score FROM st WHERE freq >= 2 AND list_min(list_transform(string_split(term, ' '), lambda w: length(w))) >= 3)"""
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    """English documents, a unit each, with whole texts."""
-    return T.corpus(U.page_units(IN.pages(spark, sf_dir, "en"), IN.documents(spark, sf_dir)), max_chars=1_000_000)
+    """All documents, a unit each, with whole texts."""
+    return T.corpus(U.page_units(IN.pages(spark, sf_dir), IN.documents(spark, sf_dir)))
 
 
 @query(f"WITH {TOK} SELECT doc_id AS document_id, len(t)::INT AS tokens, len(c)::INT AS content_tokens, len(list_distinct(c))::INT AS distinct_tokens FROM tok JOIN con USING (doc_id)")
@@ -552,7 +620,10 @@ def topic_docs(spark, sf_dir):
     return T.topic_documents(T.topics(units), units).select("topic", "document_id", F.array_join("terms", ",").alias("terms"), "score")
 
 
-@query()
+@query(f"""WITH {TOK}, {STATS.format('c')}, k AS (SELECT term FROM sc ORDER BY freq DESC, df DESC, term LIMIT 60),
+f AS (SELECT unnest(regexp_extract_all(text, '(?i){T.TOKEN.replace("'", "''")}')) AS surface FROM documents), n AS (SELECT lower(surface) AS term, surface, count(*) AS n FROM f WHERE lower(surface) IN (SELECT term FROM k) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, surface) AS r FROM n)
+SELECT term, CASE WHEN surface = lower(surface) THEN upper(left(surface, 1)) || substr(surface, 2) ELSE surface END AS display FROM b WHERE r = 1""")
 def display_forms(spark, sf_dir):
     units = _corpus(spark, sf_dir)
     return T.display_forms(units, T.term_stats(units))
@@ -567,9 +638,9 @@ def keywords_per_document(spark, sf_dir):
 @query()
 def document_summaries(spark, sf_dir):
     units = _corpus(spark, sf_dir)
-    docs = IN.documents(spark, sf_dir).where("lang = 'en'")
+    docs = IN.documents(spark, sf_dir)
     counted = D.document_counts(docs, IN.pages(spark, sf_dir), IN.records_from_orders(spark, sf_dir))
-    return T.document_summary(docs, counted, units, T.topics(units))
+    return T.document_summary(docs, counted, units, T.topics(units), conflicts=C.per_document(C.detect(IN.records_from_orders(spark, sf_dir))))
 
 
 # --- extraction, lifecycle, streaming ----------------------------------------------------------------------------------
@@ -606,7 +677,12 @@ def _strip_tags(content: bytes):
     yield {"extracted_text": text, "section_reference": "body"}
 
 
-@query()
+CLEAN = r"regexp_replace(regexp_replace({}, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '\r\n?', chr(10), 'g')"
+PAGE_FORM = rf"trim(regexp_replace(regexp_replace(regexp_replace({CLEAN.format('html')}, '[ \t\f\x0b\x{{00a0}}]+', ' ', 'g'), ' *\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"""WITH p AS (SELECT page_id, {PAGE_FORM} AS t FROM pages)
+SELECT page_id AS document_id, 1::INT AS page_number, CASE WHEN length(t) >= 8 THEN 'extracted' ELSE 'ocr_required' END AS extraction_status, length(t)::INT AS chars, md5(t) AS text_md5 FROM p""")
 def html_units(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     files = pages.select(F.col("page_id").alias("document_id"), F.concat(F.col("page_id").cast("string"), F.lit(".HTML")).alias("path"), F.encode("html", "utf-8").alias("content"))
@@ -615,8 +691,13 @@ def html_units(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder of this run under the one that driver and executors share; a temporary one where none is named, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    """A folder of this run under the one that driver and executors share. Only a local master, which has no other machines, may do with a
+    temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
 
 
@@ -634,7 +715,7 @@ def stream_dupes(spark, sf_dir):
     return spark.read.schema(flagged.schema).parquet(f"{place}/out").select("record_id", "first_record_id")
 
 
-@query("""SELECT doc_id AS document_id, least(3, len(list_filter(string_split_regex(text, '\\n\\n'), lambda x: trim(x) <> '')))::BIGINT AS records FROM documents WHERE trim(text) <> ''""")
+@query("""SELECT doc_id AS document_id, len(list_filter(string_split_regex(text, '\\n\\n'), lambda x: trim(x) <> ''))::BIGINT AS records FROM documents WHERE trim(text) <> ''""")
 def stream_ingest(spark, sf_dir):
     place = _scratch(spark)
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema

@@ -94,9 +94,8 @@ def vector_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as search queries: their first two words."""
-    words = F.split(F.trim("text"), r"\s+")
-    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 2), " ").alias("text"))
+    """Benchmark items as search queries: all their words."""
+    return _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", '"', " ").alias("text"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,13 +54,13 @@ def document_status(units: DataFrame) -> DataFrame:
     )
 
 
-def sheet_units(grids: DataFrame, max_cells: int = 200_000) -> DataFrame:
-    """Sheets (…, grid) with tab-separated text, row and column counts; sheets over the bound are error units."""
+def sheet_units(grids: DataFrame, max_cells: int | None = None) -> DataFrame:
+    """Sheets (…, grid) with tab-separated text, row and column counts; where a bound is given, sheets over it are error units that say so."""
     text = F.array_join(F.transform("grid", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), "\t")), "\n")
     columns = F.coalesce(F.array_max(F.transform("grid", lambda r: F.size(r))), F.lit(0))
     out = grids.withColumn("row_count", F.size("grid")).withColumn("column_count", columns)
-    big = F.col("row_count") * F.col("column_count") > max_cells
-    return out.withColumn("extracted_text", F.when(~big, text)).withColumn("extraction_status", F.when(big, "failed").when(F.trim(text) == "", "no_text").otherwise("extracted"))
+    big = F.col("row_count").cast("long") * F.col("column_count") > max_cells if max_cells else F.lit(False)
+    return out.withColumn("extracted_text", F.when(~big, text)).withColumn("extraction_status", F.when(big, "failed").when(F.trim(text) == "", "no_text").otherwise("extracted")).withColumn("error", F.when(big, F.format_string("more than %d cells", F.lit(max_cells or 0))))
 
 
 def sections(blocks: DataFrame) -> DataFrame:

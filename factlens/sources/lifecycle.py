@@ -1,11 +1,12 @@
 """Documents' derived data are replaced and deleted together; actions leave an audit row.
 
-Tables are Parquet folders partitioned by bucket = hash of document_id, and a replacement rewrites only the buckets it touches.
+Tables are Parquet folders partitioned by bucket = hash of document_id, and a replacement rewrites only the buckets it touches. Their number is a
+property of the table, fixed by its first write: about as many as keep a bucket to one task's work at the size the table is to reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 BUCKETS = 64
 
@@ -23,22 +24,54 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "document_id") ->
 def write_replace(spark: SparkSession, path: str, batch: DataFrame, run_id: str, keys: DataFrame | None = None, buckets: int = BUCKETS, key: str = "document_id") -> None:
     """Replace documents in a stored table. The new state of the touched buckets is written beside the table first and then swapped
     in by dynamic partition overwrite, so a lost executor repeats a task and never half a replacement; the same batch again
-    changes nothing."""
-    new = bucketed(batch.withColumn("run_id", F.lit(run_id)), buckets, key)
+    changes nothing. Buckets that have no row any more are dropped. Each table is swapped by itself: a run that fails between two tables is repeated,
+    which ends in the same state. `buckets` counts for the first write, later ones keep what the table has.
+    """
+    batch = batch.withColumn("run_id", F.lit(run_id))
+    schema = T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType())])
+    known = _buckets(spark, path)
+    buckets = known or buckets
+    new = bucketed(batch, buckets, key)
     touched = bucketed((batch if keys is None else keys.select(key).unionByName(batch.select(key))).select(key).distinct(), buckets, key)
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        hit = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most `buckets` numbers
-        kept = old.where(F.col("bucket").isin(hit)).join(touched.select(key), key, "left_anti")
+    hit = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    if known:
+        kept = read_stored(spark, path, schema).where(F.col("bucket").isin(hit)).join(touched.select(key), key, "left_anti")
         new = kept.unionByName(new, allowMissingColumns=True)
     staged = f"{path}.staged/{run_id}"
     new.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    state = spark.read.schema(new.schema).parquet(staged)
+    filled = {r["bucket"] for r in state.select("bucket").distinct().collect()}
+    state.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in set(hit) - filled:  # dynamic overwrite leaves alone what gets no row
+        _delete(spark, f"{path}/bucket={bucket}")
+    if not known:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}.buckets")
+    _delete(spark, staged)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that write_replace keeps, with the given schema, since one that lost all rows has no file to tell it."""
+    names = [f for f in schema if f.name != "bucket"]
+    return spark.read.schema(T.StructType([*names, T.StructField("bucket", T.IntegerType())])).parquet(path)
+
+
+def _buckets(spark: SparkSession, path: str) -> int | None:
+    return spark.read.schema("buckets int").parquet(f"{path}.buckets").first()["buckets"] if _exists(spark, f"{path}.buckets") and _exists(spark, path) else None
+
+
+def _file(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, system = _file(spark, path)
+    return system.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, system = _file(spark, path)
+    system.delete(p, True)
 
 
 def delete(tables: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
@@ -63,6 +96,11 @@ def audit_row(spark: SparkSession, action: str, entity_type: str, details: DataF
     return details.select(F.lit(action).alias("action"), F.lit(entity_type).alias("entity_type"), F.to_json(F.struct("*")).alias("details"), F.current_timestamp().alias("created_at"))
 
 
+def audit_append(row: DataFrame, path: str) -> None:
+    """Add audit rows to the stored trail, with an id of their own."""
+    row.withColumn("audit_id", F.monotonically_increasing_id() + F.unix_micros("created_at")).write.mode("append").parquet(path)
+
+
 def audit_view(audit: DataFrame, action: str | None = None) -> DataFrame:
     rows = audit.where(F.col("action") == action) if action else audit
     return rows.orderBy(F.desc("created_at"), F.desc("details"))

@@ -13,22 +13,30 @@ OUT = "record_id long, document_id long, rule_code string, status string, first_
 
 def flag_duplicates(source: DataFrame, keys: tuple[str, ...] = ("entity", "reporting_period"), ttl: str | None = None) -> DataFrame:
     """Later records of a key, naming the first that arrived (inside a micro-batch: that of least id). With a ttl (milliseconds as
-    text) a key that nothing touches for so long is forgotten. Order is that of arrival, which batch validation does not know."""
+    text) a key that nothing touches for so long is forgotten. Order is that of arrival, which batch validation does not know. Records
+    with nothing in any key have no identity, as in batch validation, and are never flagged. A known key's
+    records pass batch by batch; of a new key one micro-batch (which the source's rate bounds) is held, since its least id comes first."""
     keyed = source.withColumns({f"k{i}": F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))) for i, k in enumerate(keys)})
+    keyed = keyed.where(F.concat(*[f"k{i}" for i in range(len(keys))]) != "")
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("record_id")
-        first = state.get[0] if state.exists else int(rows.record_id.iloc[0])
-        if not state.exists:
+        if state.exists:
+            for rows in batches:
+                yield flagged(rows, state.get[0])
+        else:
+            rows = pd.concat(list(batches)).sort_values("record_id")
+            first = int(rows.record_id.iloc[0])
             state.update((first,))
-            rows = rows.iloc[1:]
+            yield flagged(rows.iloc[1:], first)
         if ttl:
             state.setTimeoutDuration(int(ttl))
-        if len(rows):
-            yield pd.DataFrame({"record_id": rows.record_id, "document_id": rows.document_id, "rule_code": "DUPLICATE_DETECTED", "status": "warning", "first_record_id": first}).astype({"rule_code": object, "status": object})
+
+    def flagged(rows: pd.DataFrame, first: int) -> pd.DataFrame:
+        out = rows[["record_id", "document_id"]].assign(rule_code="DUPLICATE_DETECTED", status="warning", first_record_id=first)
+        return out.astype({"rule_code": object, "status": object, "first_record_id": "int64"})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
     names = [f"k{i}" for i in range(len(keys))]

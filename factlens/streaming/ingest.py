@@ -15,13 +15,13 @@ def latest(batch: DataFrame, version: str) -> DataFrame:
     return batch.join(newest, "document_id").where(F.col(version) == F.col("__v")).drop("__v")
 
 
-def derive(pages: DataFrame, config: V.Config) -> tuple[DataFrame, DataFrame]:
+def derive(pages: DataFrame, config: V.Config, max_per_page: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Records (with an id from their content and place) and row outcomes of pages."""
-    rows = R.build(pages).withColumn("record_id", F.xxhash64("document_id", "source_reference", "value_raw")).withColumn("validation_status", F.lit("pending"))
+    rows = R.build(pages, max_per_page).withColumn("record_id", F.xxhash64("document_id", "source_reference", "value_raw")).withColumn("validation_status", F.lit("pending"))
     return rows, V.row_outcomes(rows, config)
 
 
-def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, documents: DataFrame, version: str = "version") -> StreamingQuery:
+def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, documents: DataFrame, version: str = "version", buckets: int = lifecycle.BUCKETS, max_per_page: int | None = None) -> StreamingQuery:
     """Start the stream of pages (with a version column). Each micro-batch replaces its documents under root; a batch that runs again
     after a failure gives the same tables."""
 
@@ -29,13 +29,13 @@ def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, docu
         spark = batch.sparkSession
         pages = latest(batch, version).drop(version).persist()
         try:
-            rows, outcomes = derive(pages, config)
+            rows, outcomes = derive(pages, config, max_per_page)
             run = f"batch-{number}"
             ids = pages.select("document_id").distinct()
-            lifecycle.write_replace(spark, f"{root}/records", rows, run, ids)
-            lifecycle.write_replace(spark, f"{root}/outcomes", outcomes, run, ids)
+            lifecycle.write_replace(spark, f"{root}/records", rows, run, ids, buckets)
+            lifecycle.write_replace(spark, f"{root}/outcomes", outcomes, run, ids, buckets)
             units = U.page_units(pages, documents).unionByName(U.record_units(rows)).unionByName(U.validation_units(outcomes))
-            lifecycle.write_replace(spark, f"{root}/units", units, run, ids)
+            lifecycle.write_replace(spark, f"{root}/units", units, run, ids, buckets)
         finally:
             pages.unpersist()
 

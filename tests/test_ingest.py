@@ -20,8 +20,8 @@ def test_tables_text_images_and_dispatch(spark):
     t = R.from_tables(tables).first()
     assert (t.entity, t.value_raw, t.extraction_method) == ("DEMO_MINE_A", "500", "table") and "table 1" in t.source_reference
     pages = spark.createDataFrame([(1, 7, 1, "page", None, "a\n\nb\n\n\n\nc\n\nd", "extracted"), (2, 7, 2, "image", None, "seen", "ocr_extracted"), (3, 7, 3, "page", None, None, "no_text")], "page_id long, document_id long, page_number int, content_type string, section_reference string, extracted_text string, extraction_status string")
-    assert [r.value_raw for r in R.from_text(pages.where("page_id = 1")).collect()] == ["a", "b", "c"]
-    out = R.build(pages).collect()
+    assert [r.value_raw for r in R.from_text(pages.where("page_id = 1"), 3).collect()] == ["a", "b", "c"]
+    out = R.build(pages, 3).collect()
     assert sorted((r.extraction_method, r.value_raw) for r in out) == [("native_text", "a"), ("native_text", "b"), ("native_text", "c"), ("ocr", "seen")]
 
 

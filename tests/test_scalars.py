@@ -35,7 +35,7 @@ def test_numbers_and_dates(spark):
 
 def test_period_sequence(spark):
     rows = [(0, "2024-11", "2025-02"), (1, "2020", "2022"), (2, "2024", "2024-05"), (3, "2025", "2020"), (4, None, "2020"), (5, "1000", "2000")]
-    out = spark.createDataFrame(rows, "i int, a string, b string").orderBy("i").select(S.period_sequence(F.col("a"), F.col("b"))).collect()
+    out = spark.createDataFrame(rows, "i int, a string, b string").orderBy("i").select(F.coalesce(S.period_sequence(F.col("a"), F.col("b"), 100, 120), F.array().cast("array<string>"))).collect()
     assert [r[0] for r in out] == [["2024-11", "2024-12", "2025-01", "2025-02"], ["2020", "2021", "2022"], [], [], [], []]
 
 

@@ -55,7 +55,7 @@ def test_lexical_scores(spark):
     assert {r.unit_id: r.score for r in S.lexical(u, [], ["coal"]).collect()} == {0: 23.0}
     assert S.lexical(u, [], []).count() == 0
     assert S.lexical(u, [], ["100%"]).count() == 0  # literal, no pattern
-    q = S.prepare(spark.createDataFrame([(1, '"coal production" about'), (2, ""), (3, "x" * 5000)], "query_id long, text string"))
+    q = S.prepare(spark.createDataFrame([(1, '"coal production" about'), (2, ""), (3, "x" * 5000)], "query_id long, text string"), max_chars=300, max_terms=20)
     assert [(r.phrases, len("".join(r.keywords))) for r in q.orderBy("query_id").collect()] == [(["coal production"], 5), ([], 0), ([], 300)]
     assert [(r.query_id, r.unit_id, r["rank"]) for r in S.batch_lexical(u, q, 5).collect()] == [(1, 0, 1)]
 
