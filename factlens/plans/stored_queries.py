@@ -140,10 +140,10 @@ def validate_ocr_pages(spark, sf_dir):
     return V.row_outcomes(rows, _config(), (V.Rule("row", V.ocr),)).select("document_id", "rule_code", "status")
 
 
-@query("""WITH b AS (SELECT l_orderkey AS document_id, l_linenumber AS i, l_linestatus AS t, (l_partkey % 100) / 100.0 AS c FROM lineitem)
+@query("""WITH b AS (SELECT l_orderkey AS document_id, l_linenumber AS i, l_linestatus AS t, (l_partkey % 5) / 4.0 AS c FROM lineitem)
 SELECT document_id, round(avg(c::DOUBLE), 4) AS confidence, count(*) FILTER (c < 0.7)::INT AS low, bool_or(c < 0.7) OR round(avg(c::DOUBLE), 4) < 0.7 AS review_required, string_agg(t, chr(10) ORDER BY i, t, c) AS text, least(count(*), 3)::INT AS boxes FROM b GROUP BY 1""")
 def ocr_boxes(spark, sf_dir):
-    box = F.struct(F.col("l_linenumber").alias("i"), F.col("l_linestatus").alias("text"), ((F.col("l_partkey") % 100) / 100.0).alias("confidence"))
+    box = F.struct(F.col("l_linenumber").alias("i"), F.col("l_linestatus").alias("text"), ((F.col("l_partkey") % 5) / 4.0).alias("confidence"))
     grouped = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
     out = grouped.select("document_id", N.ocr_summary(F.col("boxes"), keep=3).alias("o"))
     return out.select("document_id", "o.confidence", "o.low", "o.review_required", "o.text", F.size("o.boxes").alias("boxes"))
