@@ -13,7 +13,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +121,7 @@ class _Tokenizer:
     texts are encoded. Strings of special tokens are read as that file has it.
     """
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 48) -> None:
+    def __init__(self, path: str, keep: int = 800_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -130,7 +133,11 @@ class _Tokenizer:
         self.model, self.known, self.keep, self.longest = Tokenizer.from_file(path), {}, keep, longest
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [array("I", e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_chunk:
@@ -138,9 +145,10 @@ class _Tokenizer:
         parts = [CHUNK.findall(t) if t else [] for t in texts]
         new = list(set().union(*parts).difference(self.known))
         now = dict(zip(new, self._ids(new)))
-        if len(self.known) + len(now) <= self.keep:
-            self.known.update((c, i) for c, i in now.items() if len(c) <= self.longest)
         known = self.known
+        room = self.keep - len(known)
+        if room > 0:
+            known.update(islice(((c, i) for c, i in now.items() if len(c) <= self.longest), room))
         return [b"".join([known[c] if c in known else now[c] for c in p]) for p in parts]
 
 
