@@ -59,6 +59,55 @@ def test_replacement_is_idempotent(spark, tmp_path):
     assert [x for x in read() if x[0] == 3 and x[2] == 2] and len(read()) == 59
     L.write_replace(spark, path, rows(1).limit(0), "d", keys=spark.createDataFrame([(5,)], "document_id long"), buckets=4)
     assert len(read()) == 56
+    gone = spark.range(20).selectExpr("id as document_id").where("document_id != 3")
+    L.write_replace(spark, path, rows(1).limit(0), "e", keys=gone)  # whole buckets lose all rows
+    assert {x[0] for x in read()} == {3}
+    L.write_replace(spark, path, rows(1).limit(0), "f", keys=spark.createDataFrame([(3,)], "document_id long"))
+    stored = lambda p: sorted((r.document_id, r.k, r.v) for r in L.read_stored(spark, p, rows(1).schema).collect())
+    assert stored(path) == []
+    L.write_replace(spark, path, rows(3).where("document_id < 2"), "g")
+    assert len(stored(path)) == 6
+
+
+def test_empty_first_write_keeps_the_schema(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([(1, "a")], "document_id long, k string")
+    L.write_replace(spark, path, one.limit(0), "a", buckets=4)
+    assert L.read_stored(spark, path, one.schema).count() == 0
+    L.write_replace(spark, path, one, "b", buckets=99)
+    assert [(r.document_id, r.k, r.bucket < 4) for r in L.read_stored(spark, path, one.schema).collect()] == [(1, "a", True)]
+
+
+def test_stream_whose_first_batch_has_no_outcomes(spark, tmp_path):
+    from datetime import date
+
+    from factlens.operators import validate as V
+    from factlens.streaming import ingest
+
+    schema = "page_id long, document_id long, page_number int, content_type string, section_reference string, extracted_text string, extraction_status string, version int"
+    documents = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, filename string")
+    config = V.Config(as_of=date(2025, 1, 1), required={}, numeric={"value_raw": V.Numeric()}, ranges={}, dates={})
+
+    def arrive(name, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        ingest.ingest(source, f"{tmp_path}/out", f"{tmp_path}/state", config, documents, buckets=4).awaitTermination()
+        return {t: spark.read.parquet(f"{tmp_path}/out/{t}").count() for t in ("records", "outcomes") if list((tmp_path / "out" / t).glob("bucket=*"))}
+
+    assert arrive("one", (1, 1, 1, "page", None, "12", "extracted", 1)) == {"records": 1}
+    assert arrive("two", (2, 2, 1, "page", None, "no number\n\n13", "extracted", 1)) == {"records": 3, "outcomes": 1}
+    assert arrive("three", (2, 2, 1, "page", None, "", "extracted", 2), (1, 1, 1, "page", None, None, "failed", 2)) == {}
+
+
+def test_stream_flags_no_record_without_a_key(spark, tmp_path):
+    from factlens.streaming import duplicates
+
+    rows = [(1, 1, None, None), (2, 1, "", " "), (3, 1, "a", "x"), (4, 2, "A ", "x"), (5, 2, "a", None)]
+    schema = "record_id long, document_id long, entity string, reporting_period string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    flagged = duplicates.flag_duplicates(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    flagged.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.record_id, r.first_record_id) for r in spark.read.schema(flagged.schema).parquet(f"{tmp_path}/out").collect()] == [(4, 3)]
 
 
 def test_delete_and_missing(spark):

@@ -100,3 +100,39 @@ def test_units_and_embedding(spark):
     assert {(r.embedding_status, r.embedding_error) for r in embed.run(u, broken).collect()} == {("failed", "ValueError: down")}
     assert {r.embedding_status for r in embed.attach(u, embed.run(u, load)).collect()} == {"embedded", "none"}
     assert U.embedding_inputs(u, 3).where("unit_id = 0").first().input_text == "A |"
+
+
+def test_answers_of_the_wrong_type(spark):
+    rows = [(1, '{"answer": "x", "citations": ["1"], "confidence": "high"}', None), (2, '{"answer": "x", "citations": ["1"], "confidence": ["high"]}', "types"), (3, '{"answer": "x", "citations": ["1"], "confidence": 0.9}', "types"),
+            (4, '{"answer": 5, "citations": ["1"], "confidence": "high"}', "types"), (5, '{"answer": "x", "citations": "1", "confidence": "high"}', "types"), (6, '{"answer": "x", "citations": [1], "confidence": "low"}', None), (7, "[1]", "not_json"),
+            (8, '{"answer": "x", "citations": [], "confidence": "low"}', None), (9, None, "not_json")]
+    evidence = spark.createDataFrame([(i, 1) for i in range(1, 10)], "query_id int, evidence_id int")
+    out = E.check_answers(spark.createDataFrame([r[:2] for r in rows], "query_id int, response string"), evidence).collect()
+    assert {r.query_id: r.error for r in out} == {r[0]: r[2] for r in rows}
+
+
+def test_batch_search_equals_each_query_alone(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    units = spark.createDataFrame([(i, 1, "page", text(3), text(rng.randrange(0, 40)), None, None) for i in range(60)] + [(99, 1, "record", None, None, None, None)], "unit_id long, document_id long, unit_type string, title string, content string, entity string, metric string")
+    asked = [(i, " ".join(text(rng.randrange(1, 5)) for _ in range(2)) if i % 4 else f'"{text(4)}"') for i in range(80)] + [(90, ""), (91, None), (92, "a")]
+    prepared = S.prepare(spark.createDataFrame(asked, "query_id long, text string"))
+    got = sorted((r.query_id, r.unit_id, r.score) for r in S.batch_lexical(units, prepared).collect())
+    rows = {r.unit_id: (f"{r.title or ''} {r.content or ''}".lower(), r.unit_type) for r in units.collect()}
+    want = []
+    for q in prepared.collect():
+        terms = [*q.phrases, *q.keywords]
+        for u, (t, kind) in rows.items():
+            if terms and all(x.lower() in t for x in terms):
+                score = 40 * len(q.phrases) + (15 if q.keywords else 0) + 6 * min(3, len(q.keywords)) + {"record": 3, "page": 2}[kind]
+                want.append((q.query_id, u, float(score)))
+    assert got == sorted(want) and len(got) > 30
+    assert {r.query_id: r.total for r in S.totals(S.batch_lexical(units, prepared)).collect()} == {q: sum(x[0] == q for x in want) for q in {x[0] for x in want}}
+
+
+def test_top_lists_only(spark, corpus):
+    many = spark.range(2000).selectExpr("cast(id as string) as term")
+    with pytest.raises(ValueError):
+        T.cooccurrence(corpus, many)
