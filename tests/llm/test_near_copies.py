@@ -174,3 +174,35 @@ def test_near_copies_by_similarity(spark):
     assert kept.columns == ["doc_id", "text", "fp", "anchor"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
     assert minhash.dedup(docs(spark, [])).count() == 0
+
+
+def test_a_large_group_costs_no_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):  # all near each other
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(12):  # each near the next only: a chain that leaders alone may not close
+        words = list(chain)
+        for k in range(i):
+            words[k * 5 : k * 5 + 2] = [f"y{k}a", f"y{k}b"]
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(50))) for i in range(20)]
+    sizes = {}
+    stored = minhash.materialize
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    kept = sorted(r.doc_id for r in minhash.dedup(docs(spark, rows)).collect())
+    sets = [sets_of(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert len(near) > 10_000
+    assert kept == sorted({rows[r][0] for r in brute_components(near, range(len(rows))).values()})
+    assert sum(sizes["candidates"]) < 3_500
