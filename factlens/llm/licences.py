@@ -184,11 +184,11 @@ def licence_files(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """(doc_id, text): for each document a licence file as works carry them, by its id: one of the known texts under a copyright line, in
     capitals or not, in British spelling or not, wrapped, commented out or not, and now and then with the document's text behind it."""
     n = known.count()
-    order = known.orderBy("license_id").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["text"]))
-    numbered = docs.sparkSession.createDataFrame(order, "k long, known string")
+    # As long as the list of known texts, in order of their ids.
+    numbered = known.agg(F.array_sort(F.collect_list(F.struct("license_id", "text"))).alias("all")).select(F.posexplode("all").alias("k", "one")).select("k", F.col("one.text").alias("known"))
     k = F.pmod(F.col(id_col), F.lit(n))
     turn = F.floor(F.col(id_col) / n)
-    rows = docs.where(F.col(id_col).isNotNull()).withColumn("k", k).join(F.broadcast(numbered), "k")  # as long as the list of known texts
+    rows = docs.where(F.col(id_col).isNotNull()).withColumn("k", k.cast("int")).join(F.broadcast(numbered), "k")
     text = F.regexp_replace("known", r"(\S+ \S+ \S+ \S+ \S+ \S+ \S+ \S+) ", "$1\n")
     text = F.when(F.pmod(turn, F.lit(3)) == 1, F.regexp_replace(F.regexp_replace(text, "sublicense", "sub-licence"), "License", "Licence")).otherwise(text)
     text = F.when(F.pmod(turn, F.lit(2)) == 1, F.upper(text)).otherwise(text)
