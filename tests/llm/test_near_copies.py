@@ -1,5 +1,6 @@
 """SimHash near-duplicates, substring deduplication and connected components against brute force."""
 
+import functools
 import hashlib
 import random
 
@@ -206,3 +207,35 @@ def test_a_large_group_costs_no_pairs(spark, monkeypatch):
     assert len(near) > 10_000
     assert kept == sorted({rows[r][0] for r in brute_components(near, range(len(rows))).values()})
     assert sum(sizes["candidates"]) < 3_500
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_what_stays_apart_in_a_group_is_compared(spark, monkeypatch, rounds):
+    """Copies of one text with many changes, some of them shared by three; without rounds of leaders all links are found by narrow bands."""
+    rng = random.Random(29)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(4, 14)):
+            words[at] = f"v{i}-{at}"
+        for _ in range(1 if i % 8 else 3):
+            more = list(words)
+            for at in rng.sample(range(150), rng.randrange(1, 4)):
+                more[at] = f"u{rng.random()}"
+            rows.append((len(rows), " ".join(more)))
+    sizes, stored = {}, minhash.materialize
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(minhash, "roots", functools.partial(minhash.roots, rounds=rounds))
+    kept = sorted(r.doc_id for r in minhash.dedup(docs(spark, rows)).collect())
+    sets = [sets_of(t) for _, t in rows]
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(rows)) for j in range(i + 1, len(rows))]
+    near = [(i, j) for i, j, s in pairs if s >= 0.8 - 1e-9]
+    assert kept == sorted({rows[r][0] for r in brute_components(near, range(len(rows))).values()})
+    assert sizes["narrow"][0] >= minhash.NARROW * 100
+    assert sizes["candidates"][-1] <= sum(s >= 0.6 for _, _, s in pairs)
