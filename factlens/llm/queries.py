@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hilbert, licences, mixing, packing, quality, simhash, substring, toxicity, warc
+from . import chat, hilbert, licences, mixing, packing, phrases, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_revisit_resolution": warc.op1_revisit_resolution,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licence_digests": licences.op8_licence_digests,
     "op9_seed_extend_substring_dedup": substring.op9_seed_extend_substring_dedup,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
+    "op11_debruijn_collocations": phrases.op11_debruijn_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_preference_formatting": chat.ORACLE,
     "op8_licence_digests": licences.ORACLE,
     "op10_curriculum_mix": mixing.ORACLE,
+    "op11_debruijn_collocations": phrases.ORACLE,
 }
