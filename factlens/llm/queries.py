@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, hilbert, licences, mixing, packing, phrases, quality, simhash, substring, toxicity, warc
+from . import chat, hilbert, language, licences, mixing, packing, phrases, quality, repair, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_revisit_resolution": warc.op1_revisit_resolution,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_seed_extend_substring_dedup": substring.op9_seed_extend_substring_dedup,
     "op10_curriculum_mix": mixing.op10_curriculum_mix,
     "op11_debruijn_collocations": phrases.op11_debruijn_collocations,
+    "op12_nearest_centroid_language": language.op12_nearest_centroid_language,
+    "op13_run_length_conversation_repair": repair.op13_run_length_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
