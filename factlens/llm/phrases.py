@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import discard, encode, materialize, mix
 
 #: Text is read in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Different grams that a task sums up before it hands them on.
+HELD = 400_000
 #: ASCII capitals to small letters, what ends a piece to a line end, the tab to a blank.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 SALTS = 8
@@ -85,10 +87,9 @@ def _filter(texts: DataFrame, least: int, bits: int) -> np.ndarray:
             here = chunk.code >= 0
             np.add.at(table, word[here], 1)
             np.add.at(table, pair[here & np.r_[here[1:], False]], 1)
-        used = np.flatnonzero(table)
-        for at in range(0, len(used), 100_000):
-            some = used[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some].astype(np.int64))], ["bucket", "n"])
+        for at in range(0, len(table), 100_000):
+            some = np.flatnonzero(table[at : at + 100_000]) + at
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some].astype(np.int64))], ["bucket", "n"])
 
     often = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     place = F.col("bucket") + 1  # blocks are numbered from 1, for positions from 1
@@ -108,6 +109,15 @@ def graph(docs: DataFrame, least: int = 100, words: int = 5, bits: int = 24, lan
 
     def grams(batches):
         often = np.unpackbits(keep.value, bitorder="little")[: 1 << bits].astype(bool)
+        held: dict[tuple[str, bytes], int] = {}
+
+        def handed():
+            rows = [(lang, gram.count(b" ") + 1 if gram else 0, gram, n) for (lang, gram), n in held.items()]
+            held.clear()
+            for at in range(0, len(rows), 50_000):
+                lang, k, gram, n = zip(*rows[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(gram, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "k", "gram", "n"])
+
         for chunk, names in _chunks(batches):
             word, pair = chunk.buckets(names, bits)
             code, lang, size = chunk.code, chunk.lang, len(chunk.vocabulary) + 1
@@ -124,19 +134,19 @@ def graph(docs: DataFrame, least: int = 100, words: int = 5, bits: int = 24, lan
                 step = np.where(going, code[np.minimum(at + j, len(code) - 1)] + 1, 0)
                 parts, number = np.unique(number * size + step, return_inverse=True)
                 known.append((parts // size, parts % size))
-            n = np.bincount(number, minlength=len(parts)).tolist()
             columns, row = [], np.arange(len(parts))
             for above, step in reversed(known):
                 columns.append(step[row].tolist())
                 row = above[row]
             vocabulary = [b"", *chunk.vocabulary]
-            grams = [b" ".join([vocabulary[c] for c in x if c]) for x in zip(*reversed(columns))]
-            k = [sum(c > 0 for c in x) for x in zip(*columns)]
-            of = row.tolist()
-            total = np.bincount(lang[here], minlength=len(names)).tolist()
-            out = [pa.array([names[x] for x in of] + names, pa.string()), pa.array(k + [0] * len(names), pa.int32()), pa.array(grams + [b""] * len(names), pa.binary()).cast(pa.string()), pa.array(n + total, pa.int64())]
-            for start in range(0, len(out[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([x.slice(start, 50_000) for x in out], ["lang", "k", "gram", "n"])
+            for of, n, gram in zip(row.tolist(), np.bincount(number, minlength=len(parts)).tolist(), zip(*reversed(columns))):
+                seen = names[of], b" ".join([vocabulary[c] for c in gram if c])
+                held[seen] = held.get(seen, 0) + n
+            for of, n in enumerate(np.bincount(lang[here], minlength=len(names)).tolist()):
+                held[names[of], b""] = held.get((names[of], b""), 0) + n
+            if len(held) > HELD:
+                yield from handed()
+        yield from handed()
 
     return materialize(texts.mapInArrow(grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")), "grams")
 
