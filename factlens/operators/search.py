@@ -1,7 +1,7 @@
 """Lexical, semantic and hybrid search for tables of queries.
 
-Lexical matching is by literal substring, as the score is defined on it. The query side is small and is broadcast as far as Spark's
-size check allows; units are never broadcast. Ranking is always over all matches, paging comes last.
+Lexical matching is by literal substring, as the score is defined on it; an inverted index of grams finds what may match. Nearest vectors are found exactly
+by blocks, or approximately by an index of sign sketches with exact reranking. Units are never broadcast. Ranking is always over all matches, paging comes last.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import UNIT_TYPES
 from .windows import minmax
@@ -89,32 +89,99 @@ def lexical(units: DataFrame, phrases: list[str], keywords: list[str], limit: in
     return shown.crossJoin(found.agg(F.count("*").alias("total"))) if total else shown  # one row
 
 
+#: Longest grams of the index; a shorter term is one gram.
 GRAM = 3
+#: Grams of a query that its candidates must hold before texts are read.
+ANCHORS = 8
+#: Share of the units that tells which grams are rare, where no stored index does.
+SAMPLE = 0.05
 
 
-def _anchor(phrases: Column, keywords: Column) -> Column:
-    """The middle three characters of the longest term, in lower case; NULL if no term has as many. What holds the term holds them."""
-    terms = F.transform(F.concat(phrases, keywords), lambda t: F.struct(F.length(t).alias("n"), F.lower(t).alias("t")))
-    longest = F.array_max(F.filter(terms, lambda x: F.length(x["t"]) >= GRAM))["t"]
-    return F.substring(longest, F.floor((F.length(longest) - GRAM) / 2).cast("int") + 1, F.lit(GRAM))
+def _grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """The distinct runs of so many characters. Each place of the text begins one; a lookahead reads them in one pass."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]))
 
 
-def batch_lexical(units: DataFrame, prepared: DataFrame, top: int | None = None) -> DataFrame:
+def postings(units: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(gram, unit_id): which units hold which runs of one to three characters, in lower case."""
+    return units.select("unit_id", F.explode_outer(_grams(_text("title", "content"), sizes)).alias("gram")).where("gram is not null").select("gram", "unit_id")
+
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(gram, df) of postings."""
+    return index.groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def write_postings(units: DataFrame, path: str, parts: int = 64) -> None:
+    """Store the index: postings by hash of the gram, sorted so that a scan skips to the grams it is asked for, and their frequencies."""
+    index = postings(units).withColumn("part", F.pmod(F.hash("gram"), F.lit(parts)))
+    # A gram that most units hold goes to as many tasks as its units' hashes say.
+    index.repartition("part", F.pmod(F.hash("unit_id"), F.lit(8))).sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    document_frequencies(index.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/frequencies")
+
+
+def read_postings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, frequencies) as write_postings stored them."""
+    return spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/frequencies")
+
+
+def _terms(asked: DataFrame) -> DataFrame:
+    """(query_id, term, gram): the grams of each query's terms. Terms shorter than a gram count only where a query has no longer one."""
+    terms = F.array_distinct(F.transform(F.concat("phrases", "keywords"), lambda t: F.lower(t)))
+    long = F.filter(terms, lambda t: F.length(t) >= GRAM)
+    each = asked.select("query_id", F.explode(F.when(F.size(long) > 0, long).otherwise(terms)).alias("term"))
+    return each.select("query_id", "term", F.explode(F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(F.col("term"), (GRAM,)))).alias("gram"))
+
+
+def _anchors(rated: DataFrame) -> DataFrame:
+    """(query_id, n, gram): the rarest grams of each query, one of each term first, then further ones, of terms (query_id, term, gram, df). A query with a
+    gram that no unit holds (df is null) has no match and is left out."""
+    each = rated.groupBy("query_id", "term").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"), F.count_if(F.col("df").isNull()).alias("absent"))
+    flat = each.select("query_id", "absent", F.posexplode_outer(F.slice("grams", 1, ANCHORS)).alias("place", "at")).groupBy("query_id")
+    order = F.array_sort(F.collect_list(F.struct("place", "at.df", "at.gram")))
+    chosen = flat.agg(F.sum("absent").alias("absent"), F.slice(F.array_distinct(F.transform(order, lambda x: x["gram"])), 1, ANCHORS).alias("grams")).where("absent = 0")
+    return chosen.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+
+
+def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(query_id, unit_id) of units that hold all anchors of a query: the postings of its rarest grams, intersected by counting. Only ids move."""
+    met = index.join(anchors, "gram").groupBy("query_id", "unit_id").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    return met.where("held = n").select("query_id", "unit_id")
+
+
+def term_rank(phrases: Column, keywords: Column, text: Column, typical: int = 100) -> Column:
+    """How densely a text speaks of the terms, 0 to 1: the mean over terms of n / (n + 1.2 (0.25 + 0.75 words / typical)), where n is the number of places
+    (words for keywords, occurrences for phrases) that hold the term. More places count less and less, longer texts dilute."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    length = 1.2 * (0.25 + 0.75 * F.size(words) / typical)
+    held = lambda n: n / (n + length)
+    inside = F.transform(keywords, lambda k: held(F.size(F.filter(words, lambda w: w.contains(F.lower(k))))))
+    spoken = F.transform(phrases, lambda p: held((F.length(text) - F.length(F.replace(text, F.lower(p), F.lit("")))) / F.length(p)))
+    ranks = F.concat(inside, spoken)
+    return F.when(F.size(ranks) > 0, F.aggregate(ranks, F.lit(0.0), lambda s, x: s + x) / F.size(ranks)).otherwise(0.0)
+
+
+def batch_lexical(units: DataFrame, prepared: DataFrame, top: int | None = None, index: tuple[DataFrame, DataFrame] | None = None, with_rank: bool = False) -> DataFrame:
     """Matches of every query of a prepared table: query_id, unit columns, score and, with `top`, rank.
 
-    A query meets only the units that hold three characters of its longest term: these are joined by equality, then every term is looked for. Queries
-    without so long a term meet all units.
+    An inverted index of grams (`index`, as read_postings gives it; else made here of the grams that are asked for) finds the units that hold the rarest
+    grams of a query. Texts are read once for each candidate, then every term is looked for. `with_rank` adds the term rank to the score.
     """
-    text = units.withColumn("__text", _text("title", "content"))
-    asked = prepared.select("query_id", "phrases", "keywords").where(F.size("phrases") + F.size("keywords") > 0).withColumn("__gram", _anchor(F.col("phrases"), F.col("keywords")))
-    long, short = asked.where("__gram is not null"), asked.where("__gram is null").drop("__gram")
-    # Each place of the text begins a run of three; a lookahead reads them in one pass.
-    runs = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
-    met = text.select("unit_id", F.explode(runs).alias("__gram")).join(long.select("query_id", "__gram"), "__gram").select("unit_id", "query_id")
+    asked = prepared.select("query_id", "phrases", "keywords").where(F.size("phrases") + F.size("keywords") > 0)
+    terms = _terms(asked)
+    if index is None:
+        # Which grams are rare decides only what work there is, so a sample of the units tells; then only the anchors' postings are made.
+        frequencies = document_frequencies(postings(units.sample(SAMPLE, seed=0), (GRAM,)))
+        anchors = _anchors(terms.join(frequencies, "gram", "left").fillna(0, ["df"]))
+        sizes = [r["n"] for r in terms.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()]  # of 1, 2, 3
+        met = candidates(postings(units, tuple(sizes) or (GRAM,)), anchors)
+    else:
+        met = candidates(index[0], _anchors(terms.join(index[1], "gram", "left")))
     match = text_match(F.col("phrases"), F.col("keywords"), F.col("__text"))
-    hits = met.join(text, "unit_id").join(long.drop("__gram"), "query_id").where(match).select("query_id", *text.columns, "phrases", "keywords")
-    hits = hits.unionByName(text.join(short, match).select("query_id", *text.columns, "phrases", "keywords"))
-    scored = hits.withColumn("score", lexical_score(F.col("phrases"), F.col("keywords"))).drop("__text", "phrases", "keywords")
+    # The text is a column of the join's side: in one projection with the match it would be put together again for every term.
+    hits = met.join(units.withColumn("__text", _text("title", "content")), "unit_id").join(asked, "query_id").where(match)
+    rank = term_rank(F.col("phrases"), F.col("keywords"), F.col("__text")) if with_rank else None
+    scored = hits.withColumn("score", lexical_score(F.col("phrases"), F.col("keywords"), rank)).select("query_id", *units.columns, "score")
     return ranked(scored, "score", top) if top else scored
 
 
@@ -195,6 +262,75 @@ def semantic(units: DataFrame, vectors: DataFrame, top: int = 10, block: int = 4
     return ranked(near.join(units.select(*keep), "unit_id"), "similarity", top)
 
 
+def sketches(units: DataFrame, bits: int = 512, seed: int = 0) -> DataFrame:
+    """(unit_id, dims, sketch): an index of embedded units by the signs of `bits` random projections, the same for the same length and seed. Two vectors differ in
+    a share of their bits that is their angle over pi, whatever the vectors look like. A sketch of 512 bits has 64 bytes where a vector of 1,024 dimensions has 4,096.
+    Store it with the units' embeddings; rows of new units are appended."""
+    ready = units.where(F.col("embedding_status") == "embedded").select("unit_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = ready.schema["unit_id"].dataType.simpleString()
+
+    def run(batches):
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            found, dims = _signs(b.column(1), planes, bits, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(found, pa.binary())], ["unit_id", "dims", "sketch"])
+
+    return ready.mapInArrow(run, f"unit_id {kind}, dims int, sketch binary").where("dims > 0")
+
+
+def _signs(vectors: pa.Array, planes: dict[int, np.ndarray], bits: int, seed: int) -> tuple[list[bytes], np.ndarray]:
+    dims = np.array([n or 0 for n in pc.list_value_length(vectors).to_pylist()], np.int32)
+    out = [b""] * len(dims)
+    for n in np.unique(dims[dims > 0]).tolist():
+        if n not in planes:
+            planes[n] = np.random.default_rng([seed, n]).standard_normal((n, bits))
+        at = np.flatnonzero(dims == n)
+        x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        packed = np.packbits(x @ planes[n] > 0, axis=1)
+        for i, row in zip(at.tolist(), packed):
+            out[i] = row.tobytes()
+    return out, dims
+
+
+def semantic_approximate(units: DataFrame, vectors: DataFrame, index: DataFrame, top: int = 10, candidates: int = 400, bits: int = 512, seed: int = 0, block: int = 1024, fan: int = 64) -> DataFrame:
+    """Like semantic, over an index of sketches(): each query's `candidates` units of fewest differing bits are compared by their vectors and ranked. What is
+    compared grows with queries times candidates, not with queries times units; only sketches of all units are read. The ranking is exact among
+    candidates; a true neighbour is missed where `candidates` sketches look nearer, so measure recall for data of your own."""
+    queries = vectors.select("query_id", F.col("query_vector").cast("array<double>").alias("embedding"), F.lit("embedded").alias("embedding_status"))
+    asked = sketches(queries.withColumnRenamed("query_id", "unit_id"), bits, seed).withColumnsRenamed({"unit_id": "query_id", "sketch": "wanted"})
+    query_kind, unit_kind = asked.schema["query_id"].dataType.simpleString(), index.schema["unit_id"].dataType.simpleString()
+    n, m = vectors.count(), index.count()
+    parts, copies = max(1, -(-n // block)), max(1, -(-m // (4096 * fan)))
+    # Blocks of queries by hash, each in as many copies as there are groups of units: a task holds one block of sketches and a stream of units.
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).groupBy("block", "dims").agg(F.collect_list(F.struct("query_id", "wanted")).alias("asked"))
+    packed = packed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    held = index.withColumn("copy", F.pmod(F.xxhash64("unit_id"), F.lit(copies)).cast("int")).groupBy("copy", "dims", F.pmod(F.xxhash64("unit_id", F.lit(1)), F.lit(fan)).alias("slice")).agg(F.collect_list(F.struct("unit_id", "sketch")).alias("held"))
+    faced = held.join(packed, ["copy", "dims"]).select("held", "asked")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                mine, theirs = row.column(0).flatten(), row.column(1).flatten()
+                x = np.frombuffer(b"".join(mine.field("sketch").to_pylist()), np.uint8).reshape(len(mine), -1)
+                q = np.frombuffer(b"".join(theirs.field("wanted").to_pylist()), np.uint8).reshape(len(theirs), -1)
+                far = np.stack([np.bitwise_count(x ^ one).sum(1, dtype=np.int32) for one in q])
+                if far.shape[1] > candidates:
+                    near = np.argpartition(far, candidates - 1, axis=1)[:, :candidates]
+                else:
+                    near = np.broadcast_to(np.arange(far.shape[1]), far.shape)
+                a = np.repeat(np.arange(len(q)), near.shape[1])
+                c = near.ravel()
+                yield pa.RecordBatch.from_arrays([theirs.field("query_id").take(pa.array(a)), mine.field("unit_id").take(pa.array(c)), pa.array(far[a, c])], ["query_id", "unit_id", "bits"])
+
+    seen = faced.mapInArrow(run, f"query_id {query_kind}, unit_id {unit_kind}, bits int")
+    order = W.partitionBy("query_id").orderBy("bits", "unit_id")
+    few = seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "unit_id")
+    met = few.join(units, "unit_id").join(vectors.select("query_id", "query_vector"), "query_id")
+    scored = met.withColumn("similarity", cosine(F.col("query_vector"), F.col("embedding"))).drop("query_vector", "embedding")
+    return ranked(scored, "similarity", top)
+
+
 def hybrid(lexical_hits: DataFrame, semantic_hits: DataFrame, top: int = 10, weights: tuple[float, float] = (LEXICAL_WEIGHT, SEMANTIC_WEIGHT)) -> DataFrame:
     """Union of both: weights on the min-max normalised score and on (1 + similarity) / 2; a side that is missing gives 0."""
     a = minmax(lexical_hits.select("query_id", "unit_id", "score"), ["query_id"], "score", "lexical")

@@ -45,15 +45,16 @@ def tokens(c: Column, unicode: bool = False) -> Column:
 
 def content_tokens(c: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Tokens that are neither stopwords nor all digits."""
-    drop = F.array(*map(F.lit, stopwords))
-    return F.filter(tokens(c), lambda t: ~F.array_contains(drop, t) & ~t.rlike("^[0-9]+$"))
+    return F.filter(tokens(c), lambda t: ~t.isin(stopwords) & ~t.rlike("^[0-9]+$"))
 
 
-def ngrams(c: Column, n_min: int = 2, n_max: int = 3) -> Column:
-    """Runs of n tokens, joined by a space. `c` should be a column, not an expression, which would be computed for every run."""
+def ngrams(c: Column, n_min: int = 2, n_max: int = 3, min_chars: int = 1) -> Column:
+    """Runs of n tokens of so many characters, joined by a space. `c` should be a column, not an expression, which would be computed for every run."""
 
     def runs(n: int) -> Column:
         start = F.sequence(F.lit(1), F.size(c) - n + 1)
+        if min_chars > 1:
+            start = F.filter(start, lambda i: F.forall(F.slice(c, i, n), lambda w: F.length(w) >= min_chars))
         return F.when(F.size(c) >= n, F.transform(start, lambda i: F.array_join(F.slice(c, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(*[runs(n) for n in range(n_min, n_max + 1)])
@@ -74,7 +75,7 @@ def _with(df: DataFrame, other: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def counts(units: DataFrame, terms: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """(term, freq, df): occurrences and documents. Occurrences by term and document come first, so no distinct count is expanded."""
     keys = list(dict.fromkeys([*by, "term", "document_id"]))
-    once = units.select(*dict.fromkeys([*by, "document_id"]), F.explode(terms).alias("term")).groupBy(*keys).agg(F.count("*").alias("n"))
+    once = units.select(*dict.fromkeys([*by, "document_id"]), F.explode_outer(terms).alias("term")).where("term is not null").groupBy(*keys).agg(F.count("*").alias("n"))
     return once.groupBy(*by, "term").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))
 
 
@@ -89,9 +90,10 @@ def term_stats(units: DataFrame, terms: Column | None = None, min_freq: int = 2,
     return cap_per_key(scored, list(by), order, top) if by else scored.orderBy(*order).limit(top)
 
 
-def phrases(units: DataFrame, top: int | None = 30, by: tuple[str, ...] = ()) -> DataFrame:
+def phrases(units: DataFrame, top: int | None = 30, by: tuple[str, ...] = (), min_chars: int = 3) -> DataFrame:
+    """Phrases of two and three content words; those with a short word are never counted, as term_stats would drop them."""
     split = units.withColumn("__tokens", content_tokens(F.col("content")))
-    return term_stats(split, ngrams(F.col("__tokens")), top=top, by=by)
+    return term_stats(split, ngrams(F.col("__tokens"), min_chars=min_chars), min_chars=min_chars, top=top, by=by)
 
 
 def keywords(units: DataFrame, top_terms: int | None = 60, top_phrases: int | None = 30, by: tuple[str, ...] = ()) -> DataFrame:
@@ -129,15 +131,17 @@ def _bounded(terms: DataFrame, most: int = 1000) -> list[str]:
 
 
 def _of(words: list[str]) -> Column:
-    """The content tokens of a unit that are among the words."""
-    return F.filter(content_tokens(F.col("content")), lambda t: F.array_contains(F.array(*map(F.lit, words)).cast("array<string>"), t))
+    """The tokens of a unit that are among the words, which are content tokens themselves."""
+    return F.filter(tokens(F.col("content")), lambda t: t.isin(words))
 
 
 def cooccurrence(units: DataFrame, terms: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, both, jaccard) of pairs a < b of the given terms, by the units in which they stand. `terms` is a top list, so
     pairs within a unit are bounded by its length squared, and one pass over the units counts terms (as a with a) and pairs."""
-    sets = units.select(F.array_sort(F.array_distinct(_of(_bounded(terms)))).alias("t")).where(F.size("t") > 0)
-    ends = sets.select(F.posexplode("t").alias("i", "a"), "t").select("a", F.explode(F.slice("t", F.col("i") + 1, F.size("t"))).alias("b"))
+    listed = F.array(*map(F.lit, _bounded(terms))).cast("array<string>")
+    sets = units.select(F.array_sort(F.array_intersect(tokens(F.col("content")), listed)).alias("t"))
+    # Outer explosions, since Spark puts a filter that computes the lists once more before the others.
+    ends = sets.select(F.posexplode_outer("t").alias("i", "a"), "t").select("a", F.explode_outer(F.slice("t", F.col("i") + 1, F.size("t"))).alias("b")).where("b is not null")
     counted = ends.groupBy("a", "b").agg(F.count("*").alias("both"))
     alone = F.when(F.col("a") == F.col("b"), F.col("both"))
     # As many rows as there are pairs of listed terms: their singles are spread over them as a map.

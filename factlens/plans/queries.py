@@ -461,6 +461,23 @@ def search_batch(spark, sf_dir):
     return S.batch_lexical(_page_units(spark, sf_dir), S.prepare(IN.queries(spark, sf_dir))).select("query_id", "document_id", "score")
 
 
+@query(f"""WITH q AS (SELECT DISTINCT source || '-' || lang AS query_id, source || '/' AS k1, lang AS k2 FROM documents),
+u AS (SELECT doc_id AS document_id, t, list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '') AS w FROM (SELECT doc_id, {PAGE_TEXT} AS t FROM documents)),
+l AS (SELECT *, 1.2 * (0.25 + 0.75 * len(w) / 100) AS size FROM u),
+m AS (SELECT query_id, document_id, size, len(list_filter(w, lambda x: contains(x, k1)))::DOUBLE AS n1, len(list_filter(w, lambda x: contains(x, k2)))::DOUBLE AS n2 FROM q JOIN l ON contains(t, k1) AND contains(t, k2)),
+s AS (SELECT query_id, document_id, 15 + 12 + (n1 / (n1 + size) + n2 / (n2 + size)) / 2 * 10 + 2 AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM s)
+SELECT query_id, document_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def search_ranked(spark, sf_dir):
+    # Every source and language asks for its name: what matches is told apart by the rank term alone. Candidates come from a stored index.
+    units, path = _page_units(spark, sf_dir), f"{_scratch(spark)}/index"
+    S.write_postings(units, path, 8)
+    docs = IN.documents(spark, sf_dir)
+    asked = docs.select(F.concat_ws("-", "source", "lang").alias("query_id"), F.concat(F.col("source"), F.lit("/ "), F.col("lang")).alias("text")).distinct()
+    hits = S.batch_lexical(units, S.prepare(asked), 10, S.read_postings(spark, path), with_rank=True)
+    return hits.select("query_id", "document_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT doc_id AS document_id, instr(lower(text), 'tion')::INT AS place, substr(text, greatest(instr(lower(text), 'tion') - 55, 1)::BIGINT, 220) AS inside FROM documents WHERE contains(lower(text), 'tion')""")
 def snippets(spark, sf_dir):
     rows = IN.pages(spark, sf_dir).where(F.lower("extracted_text").contains("tion"))
@@ -483,6 +500,14 @@ def cosine_topk(spark, sf_dir):
     return S.semantic(units, _asked(units), 10).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def cosine_approximate(spark, sf_dir):
+    units, path = IN.vector_units(spark, sf_dir), f"{_scratch(spark)}/sketches"
+    S.sketches(units).write.parquet(path)
+    found = S.semantic_approximate(units, _asked(units), spark.read.parquet(path), 10)
+    return found.select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS unit_id, {COS} AS c FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.label = 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, unit_id % 50, unit_id) AS rank FROM s) SELECT query_id, unit_id, round(c, 6) AS similarity, rank FROM r WHERE rank <= 5""")
 def semantic_filtered(spark, sf_dir):
@@ -490,17 +515,16 @@ def semantic_filtered(spark, sf_dir):
     return S.semantic(S.filter_units(units, label=3), _asked(units), 5).select("query_id", "unit_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-#: Units with a text and a vector, and what every twentieth of them asks: its first two words and its vector.
+#: Units with a text and a vector, and what every twentieth of them asks: its words and its vector.
 BOTH = """u AS (SELECT vec_id AS unit_id, vec_id % 50 AS document_id, label, embedding, text, lower(source || ' ' || text) AS t FROM embeddings JOIN documents ON doc_id = vec_id),
-q AS (SELECT unit_id AS query_id, embedding, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')[1:2] AS k FROM u WHERE unit_id % 20 = 0),
-lex AS (SELECT query_id, unit_id, (15 + 6 * len(k) + CASE label % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS score FROM q, u WHERE len(k) > 0 AND len(list_filter(k, lambda w: contains(t, lower(w)))) = len(k))"""
+q AS (SELECT unit_id AS query_id, embedding, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') AS k FROM u WHERE unit_id % 20 = 0),
+lex AS (SELECT query_id, unit_id, (15 + 6 * least(len(k), 3) + CASE label % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS score FROM q, u WHERE len(k) > 0 AND len(list_filter(k, lambda w: contains(t, lower(w)))) = len(k))"""
 
 
 def _text_units(spark, sf_dir):
     texts = IN.pages(spark, sf_dir).join(IN.documents(spark, sf_dir).select("document_id", "source"), "document_id").select(F.col("document_id").alias("unit_id"), F.col("source").alias("title"), F.col("extracted_text").alias("content"))
     units = IN.vector_units(spark, sf_dir).join(texts, "unit_id").withColumns({"entity": F.lit(None).cast("string"), "metric": F.lit(None).cast("string")})
-    words = F.slice(F.filter(F.split(F.trim("content"), r"\s+"), lambda w: w != ""), 1, 2)
-    asked = units.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.array_join(words, " ").alias("text"), F.col("embedding").alias("query_vector"))
+    asked = units.where("unit_id % 20 = 0").select(F.col("unit_id").alias("query_id"), F.col("content").alias("text"), F.col("embedding").alias("query_vector"))
     return units, asked
 
 
@@ -724,5 +748,28 @@ def stream_ingest(spark, sf_dir):
         F.col("doc_id").alias("page_id"), F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.lit("page").alias("content_type"),
         F.lit(None).cast("string").alias("section_reference"), F.col("text").alias("extracted_text"), F.lit("extracted").alias("extraction_status"), F.lit(1).alias("version"),
     )
-    ingest.ingest(pages, place, f"{place}/state", V.Config(as_of=AS_OF), IN.documents(spark, sf_dir)).awaitTermination()
-    return spark.read.parquet(f"{place}/records").groupBy("document_id").agg(F.count("*").alias("records"))
+    config, documents = V.Config(as_of=AS_OF), IN.documents(spark, sf_dir)
+    ingest.ingest(pages, place, f"{place}/state", config, documents).awaitTermination()
+    return ingest.tables(spark, place, pages, config, documents).read("records").groupBy("document_id").agg(F.count("*").alias("records"))
+
+
+@query("""SELECT user_id AS document_id, max(event_id) AS version, count(*)::BIGINT AS arrived, 2::BIGINT AS records, md5(max_by(event_type, event_id)) AS text_md5 FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def stream_versions(spark, sf_dir):
+    # Every event is a version of its user's document; four files bring them in an order that versions do not have.
+    place = _scratch(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").withColumn("file", F.pmod(F.hash("event_id"), F.lit(4)))
+    for number in range(4):
+        events.where(F.col("file") == number).drop("file").coalesce(1).write.parquet(f"{place}/in/{number}")
+    source = spark.readStream.schema(events.drop("file").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{place}/in")
+    pages = source.select(
+        F.col("user_id").alias("page_id"), F.col("user_id").alias("document_id"), F.lit(1).alias("page_number"), F.lit("page").alias("content_type"), F.lit(None).cast("string").alias("section_reference"),
+        F.concat_ws("\n\n", "event_type", F.col("event_id").cast("string")).alias("extracted_text"), F.lit("extracted").alias("extraction_status"), F.col("event_id").alias("version"),
+    )
+    config, documents = V.Config(as_of=AS_OF), IN.documents(spark, sf_dir)
+    ingest.ingest(pages, f"{place}/store", f"{place}/state", config, documents, buckets=8).awaitTermination()
+    store = ingest.tables(spark, f"{place}/store", pages, config, documents, buckets=8)
+    state = store.state()
+    stored = store.read("pages", state).select("document_id", "version", F.md5(F.substring_index("extracted_text", "\n\n", 1)).alias("text_md5"))
+    records = store.read("records", state).groupBy("document_id").agg(F.count("*").alias("records"))
+    arrived = events.groupBy(F.col("user_id").alias("document_id")).agg(F.count("*").alias("arrived"))
+    return stored.join(records, "document_id").join(arrived, "document_id").select("document_id", "version", "arrived", "records", "text_md5")

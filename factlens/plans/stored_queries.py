@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scalars as N
 from ..operators import analytics as A, conflicts as C, dashboard as D, embed, evidence as E, insights as I, records as R, report, search as S, text as T, units as U, validate as V
 from ..sources import adapters as IN, extract as X, lifecycle as L, tables
+from ..sources.store import Store
 from .queries import BASE, BINS, CONF, DEC, OUTCOMES, REC, SIDES, STATS, TOK, TREND, _classified, _config, _corpus, _d, _outcomes, _page_units, _scratch, query
 
 # --- stored tables -----------------------------------------------------------------------------------------------------
@@ -24,15 +25,20 @@ def stored_table(spark, sf_dir):
 UNION ALL SELECT record_id, document_id, 1 FROM rec WHERE document_id % 3 = 0 AND document_id % 7 <> 1 AND record_id % 4 = 0)
 SELECT document_id, count(*) AS n, sum(extra)::BIGINT AS replaced FROM kept GROUP BY document_id""")
 def stored_replace(spark, sf_dir):
-    # An empty first write, all records, a third of the documents by a part of their records, and a seventh of them by nothing.
-    path = f"{_scratch(spark)}/records"
+    # An empty first run, all records, a third of the documents by a part of their records, and a seventh of them by nothing; both tables by each run.
     rows = IN.records_from_orders(spark, sf_dir).select("record_id", "document_id", F.lit(0).alias("extra"))
-    L.write_replace(spark, path, rows.limit(0), "none", buckets=16)
-    L.write_replace(spark, path, rows, "all", buckets=16)
+    count = lambda df: df.groupBy("document_id").agg(F.count("*").alias("n"), F.sum("extra").alias("replaced"))
+    store = Store(spark, _scratch(spark), {"records": rows.schema, "totals": count(rows).schema}, buckets=16)
+    run = lambda name, df, keys=None: store.commit({"records": df, "totals": count(df)}, name, keys)
+    run("none", rows.limit(0))
+    run("all", rows)
     some = rows.where("document_id % 3 = 0")
-    L.write_replace(spark, path, some.where("record_id % 4 = 0").withColumn("extra", F.lit(1)), "some", some.select("document_id"))
-    L.write_replace(spark, path, rows.limit(0), "gone", rows.where("document_id % 7 = 1").select("document_id"))
-    return L.read_stored(spark, path, rows.schema).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("extra").alias("replaced"))
+    run("some", some.where("record_id % 4 = 0").withColumn("extra", F.lit(1)), some.select("document_id"))
+    run("gone", rows.limit(0), rows.where("document_id % 7 = 1").select("document_id"))
+    store.rebucket(4, "fewer")
+    store.vacuum()
+    state = store.state()
+    return count(store.read("records", state)).join(store.read("totals", state), ["document_id", "n", "replaced"], "full")
 
 
 @query("""SELECT event_type AS action, 'event' AS entity_type, '{"n":' || count(*) || ',"users":' || count(DISTINCT user_id) || '}' AS details FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY event_type""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import canonical_decimal
+from .tables import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +78,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Each document as its one page."""
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     docs = docs.where(F.col("lang") == lang) if lang else docs
     return docs.select(
         F.col("doc_id").alias("page_id"), F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.lit("page").alias("content_type"),

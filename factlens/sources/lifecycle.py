@@ -24,17 +24,22 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "document_id") ->
 def write_replace(spark: SparkSession, path: str, batch: DataFrame, run_id: str, keys: DataFrame | None = None, buckets: int = BUCKETS, key: str = "document_id") -> None:
     """Replace documents in a stored table. The new state of the touched buckets is written beside the table first and then swapped
     in by dynamic partition overwrite, so a lost executor repeats a task and never half a replacement; the same batch again
-    changes nothing. Buckets that have no row any more are dropped. Each table is swapped by itself: a run that fails between two tables is repeated,
-    which ends in the same state. `buckets` counts for the first write, later ones keep what the table has.
+    changes nothing. Buckets that have no row any more are dropped. `buckets` counts for the first write, later ones keep what the table has: the number is
+    written before the first rows, and a table with rows but without it is refused. Each table is swapped by itself; tables that must change together
+    belong in a `store.Store`.
     """
     batch = batch.withColumn("run_id", F.lit(run_id))
     schema = T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType())])
     known = _buckets(spark, path)
+    if known is None:
+        if _exists(spark, path):
+            raise ValueError(f"{path} has rows but no number of buckets in {path}.buckets")
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}.buckets")
     buckets = known or buckets
     new = bucketed(batch, buckets, key)
     touched = bucketed((batch if keys is None else keys.select(key).unionByName(batch.select(key))).select(key).distinct(), buckets, key)
     hit = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most `buckets` numbers
-    if known:
+    if _exists(spark, path):
         kept = read_stored(spark, path, schema).where(F.col("bucket").isin(hit)).join(touched.select(key), key, "left_anti")
         new = kept.unionByName(new, allowMissingColumns=True)
     staged = f"{path}.staged/{run_id}"
@@ -44,8 +49,6 @@ def write_replace(spark: SparkSession, path: str, batch: DataFrame, run_id: str,
     state.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for bucket in set(hit) - filled:  # dynamic overwrite leaves alone what gets no row
         _delete(spark, f"{path}/bucket={bucket}")
-    if not known:
-        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}.buckets")
     _delete(spark, staged)
 
 
@@ -56,7 +59,7 @@ def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def _buckets(spark: SparkSession, path: str) -> int | None:
-    return spark.read.schema("buckets int").parquet(f"{path}.buckets").first()["buckets"] if _exists(spark, f"{path}.buckets") and _exists(spark, path) else None
+    return spark.read.schema("buckets int").parquet(f"{path}.buckets").first()["buckets"] if _exists(spark, f"{path}.buckets/_SUCCESS") else None
 
 
 def _file(spark: SparkSession, path: str):

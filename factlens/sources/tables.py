@@ -16,3 +16,10 @@ def read(spark: SparkSession, root: str, name: str, columns: list[str] | None =
 
 def write(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(f"{root}/{name}")
+
+
+def spread(scan: DataFrame, few: int = 32) -> DataFrame:
+    """A scan of fewer splits than cores, and of few, is dealt out over the cores before costly expressions: files of one row group are read by one task
+    however long they are. Larger scans stay as they are. For plain scans: counting the splits of other plans would run a part of them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, few) else scan

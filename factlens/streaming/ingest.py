@@ -1,18 +1,31 @@
-"""Incremental ingest: arriving pages become records, outcomes and units, which replace what their documents had."""
+"""Incremental ingest: arriving pages become records, outcomes and units, which replace what their documents had, all tables in one commit.
+
+A document's state is all pages of its latest version, whichever batches brought them: late pages of an older version lose, pages of the version
+that is stored join it. So the same batches in any order end in the same tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import records as R, units as U, validate as V
 from ..sources import lifecycle
+from ..sources.store import Store
 
 
 def latest(batch: DataFrame, version: str) -> DataFrame:
-    """Rows of the latest version of each document in a batch."""
+    """Rows of the latest version of each document in a batch; null is before all versions."""
     newest = batch.groupBy("document_id").agg(F.max(version).alias("__v"))
-    return batch.join(newest, "document_id").where(F.col(version) == F.col("__v")).drop("__v")
+    return batch.join(newest, "document_id").where(F.col(version).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def merged(stored: DataFrame, batch: DataFrame, version: str) -> DataFrame:
+    """The pages of each document's latest version, of what is stored and what arrives. A page that differs between arrivals of one version
+    counts once, by the content of greater hash, so that the order does not matter."""
+    both = latest(stored.unionByName(batch.select(stored.columns)), version)
+    row = F.struct(*stored.columns)
+    return both.groupBy("document_id", "page_id").agg(F.max_by(row, F.xxhash64(*stored.columns)).alias("row")).select("row.*")
 
 
 def derive(pages: DataFrame, config: V.Config, max_per_page: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -21,22 +34,39 @@ def derive(pages: DataFrame, config: V.Config, max_per_page: int | None = None)
     return rows, V.row_outcomes(rows, config)
 
 
+def derived(pages: DataFrame, config: V.Config, documents: DataFrame, version: str = "version", max_per_page: int | None = None) -> dict[str, DataFrame]:
+    """All tables of pages, by name."""
+    plain = pages.drop(version)
+    rows, outcomes = derive(plain, config, max_per_page)
+    units = U.page_units(plain, documents).unionByName(U.record_units(rows)).unionByName(U.validation_units(outcomes))
+    return {"pages": pages, "records": rows, "outcomes": outcomes, "units": units}
+
+
+def tables(spark: SparkSession, root: str, pages: DataFrame, config: V.Config, documents: DataFrame, version: str = "version", buckets: int = lifecycle.BUCKETS, max_per_page: int | None = None) -> Store:
+    """The store that ingest keeps under root, for pages of this schema."""
+    none = spark.createDataFrame([], pages.schema)
+    return Store(spark, root, {name: df.schema for name, df in derived(none, config, documents, version, max_per_page).items()}, buckets)
+
+
 def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, documents: DataFrame, version: str = "version", buckets: int = lifecycle.BUCKETS, max_per_page: int | None = None) -> StreamingQuery:
-    """Start the stream of pages (with a version column). Each micro-batch replaces its documents under root; a batch that runs again
-    after a failure gives the same tables."""
+    """Start the stream of pages (with a version column). Each micro-batch is one commit of all tables under root; a batch that runs again
+    after a failure changes nothing."""
+
+    schemas = tables(source.sparkSession, root, source, config, documents, version, buckets, max_per_page).schemas
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        pages = latest(batch, version).drop(version).persist()
+        store = Store(spark, root, schemas, buckets)
+        stream = spark.read.text(f"{checkpoint}/metadata").first()[0]  # a new checkpoint has a new id, its batches are new runs
+        ids = batch.select("document_id").distinct()
+        pages = merged(store.rows_of("pages", ids), batch, version).persist()
+        new = derived(pages, config, documents, version, max_per_page)
+        for name in ("records", "outcomes"):  # units are made of them
+            new[name].persist()
         try:
-            rows, outcomes = derive(pages, config, max_per_page)
-            run = f"batch-{number}"
-            ids = pages.select("document_id").distinct()
-            lifecycle.write_replace(spark, f"{root}/records", rows, run, ids, buckets)
-            lifecycle.write_replace(spark, f"{root}/outcomes", outcomes, run, ids, buckets)
-            units = U.page_units(pages, documents).unionByName(U.record_units(rows)).unionByName(U.validation_units(outcomes))
-            lifecycle.write_replace(spark, f"{root}/units", units, run, ids, buckets)
+            store.commit(new, f"{stream} {number}", ids)
         finally:
-            pages.unpersist()
+            for name in ("outcomes", "records", "pages"):
+                new[name].unpersist()
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
