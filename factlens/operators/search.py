@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..schemas import UNIT_TYPES
-from .windows import minmax
+from .windows import minmax, page
 
 # Weights of the lexical score.
 PHRASE, ALL_KEYWORDS, HIT, HITS, PREFIX, RANK = 40, 15, 6, 3, 10, 10
@@ -84,8 +84,11 @@ def lexical(units: DataFrame, phrases: list[str], keywords: list[str], limit: in
     """Matches of one query with their score, best first; with `total`, a column that says how many there are in all."""
     p, k = (F.array(*map(F.lit, x)).cast("array<string>") for x in (phrases, keywords))
     found = units.withColumn("__text", _text("title", "content")).where(text_match(p, k, F.col("__text")))
-    scored = found.withColumn("score", lexical_score(p, k)).drop("__text").orderBy(F.desc("score"), _unit_order(), "document_id", "unit_id")
-    shown = scored.offset(offset).limit(limit) if limit else scored
+    scored = found.withColumn("score", lexical_score(p, k)).drop("__text")
+    order = [F.desc("score"), _unit_order(), "document_id", "unit_id"]
+    if limit:
+        return page(scored, order, limit, offset, total)
+    shown = scored.orderBy(*order)
     return shown.crossJoin(found.agg(F.count("*").alias("total"))) if total else shown  # one row
 
 
@@ -149,10 +152,10 @@ def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.where("held = n").select("query_id", "unit_id")
 
 
-def term_rank(phrases: Column, keywords: Column, text: Column, typical: int = 100) -> Column:
+def term_rank(phrases: Column, keywords: Column, text: Column, words: Column, typical: int = 100) -> Column:
     """How densely a text speaks of the terms, 0 to 1: the mean over terms of n / (n + 1.2 (0.25 + 0.75 words / typical)), where n is the number of places
-    (words for keywords, occurrences for phrases) that hold the term. More places count less and less, longer texts dilute."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    (words for keywords, occurrences for phrases) that hold the term. More places count less and less, longer texts dilute. `text` and its `words` should
+    be columns, not expressions, which would be computed for every term."""
     length = 1.2 * (0.25 + 0.75 * F.size(words) / typical)
     held = lambda n: n / (n + length)
     inside = F.transform(keywords, lambda k: held(F.size(F.filter(words, lambda w: w.contains(F.lower(k))))))
@@ -179,8 +182,11 @@ def batch_lexical(units: DataFrame, prepared: DataFrame, top: int | None = None,
         met = candidates(index[0], _anchors(terms.join(index[1], "gram", "left")))
     match = text_match(F.col("phrases"), F.col("keywords"), F.col("__text"))
     # The text is a column of the join's side: in one projection with the match it would be put together again for every term.
-    hits = met.join(units.withColumn("__text", _text("title", "content")), "unit_id").join(asked, "query_id").where(match)
-    rank = term_rank(F.col("phrases"), F.col("keywords"), F.col("__text")) if with_rank else None
+    text = units.withColumn("__text", _text("title", "content"))
+    if with_rank:
+        text = text.withColumn("__words", F.filter(F.split("__text", r"\s+"), lambda w: w != ""))
+    hits = met.join(text, "unit_id").join(asked, "query_id").where(match)
+    rank = term_rank(F.col("phrases"), F.col("keywords"), F.col("__text"), F.col("__words")) if with_rank else None
     scored = hits.withColumn("score", lexical_score(F.col("phrases"), F.col("keywords"), rank)).select("query_id", *units.columns, "score")
     return ranked(scored, "score", top) if top else scored
 

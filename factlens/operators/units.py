@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.scalars import blank_to_null, canonical_decimal
+from ..schemas import UNIT_TYPES
 
 COLUMNS = (
     "unit_id", "document_id", "page_id", "record_id", "validation_id", "unit_type", "title", "content", "source_reference", "entity", "metric",
@@ -65,6 +66,21 @@ def reindex(pages: DataFrame, records: DataFrame, results: DataFrame, documents:
     return units, units.groupBy("unit_type").agg(F.count("*").alias("units"), F.countDistinct("document_id").alias("documents"))
 
 
+def observed(units: DataFrame) -> tuple[DataFrame, Observation]:
+    """The units, and what the pass that writes them observes: how many there are, of each type, and of about how many documents. `get` of the
+    observation has the figures once an action has run."""
+    seen = Observation()
+    each = [F.count_if(F.col("unit_type") == kind).alias(kind) for kind in UNIT_TYPES]
+    return units.observe(seen, F.count(F.lit(1)).alias("units"), *each, F.approx_count_distinct("document_id", 0.02).alias("documents")), seen
+
+
+def write_index(pages: DataFrame, records: DataFrame, results: DataFrame, documents: DataFrame, path: str) -> dict[str, int]:
+    """Rebuild the stored units from all sources in one job and return the counts that it observed."""
+    units, seen = observed(union(pages, records, results, documents))
+    units.write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def embedding_inputs(units: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Adds input_text: the parts that exist, one line for records and validations, cut where the model has a bound."""
     line = lambda c: F.regexp_replace(c, r"\s*\n\s*", " ")

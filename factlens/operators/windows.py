@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 
 def cap_per_key(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -49,6 +51,22 @@ def top_sources(df: DataFrame, keys: list[str], source: list[str], n: int = 8) -
 
 
 def page(df: DataFrame, order: list[Column | str], size: int = 20, offset: int = 0, total: bool = True) -> DataFrame:
-    """A page of rows in order; with `total`, a column that says how many rows there are in all."""
-    rows = df.orderBy(*order).offset(max(0, offset)).limit(max(1, size))
-    return rows.crossJoin(df.agg(F.count("*").alias("total"))) if total else rows  # one row
+    """A page of rows in order; with `total`, a column that says how many rows there are in all, observed by the pass that finds the page. That
+    pass runs here, and the page's rows, `size` at most, come to the driver."""
+    if not total:
+        return df.orderBy(*order).offset(max(0, offset)).limit(max(1, size))
+    seen = Observation()
+    found = df.observe(seen, F.count(F.lit(1)).alias("total")).orderBy(*order).offset(max(0, offset)).limit(max(1, size))
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema).withColumn("total", F.lit(seen.get["total"]).cast("long"))
+
+
+def after(df: DataFrame, key: list[str], last: list | None, size: int = 20) -> DataFrame:
+    """The next page in ascending order of a key, behind the key that the last one ended with: rows before it are filtered out, not sorted again."""
+    if last is not None:
+        behind = F.lit(False)
+        for i, c in enumerate(key):
+            same = reduce(lambda x, j: x & (F.col(key[j]) == F.lit(last[j])), range(i), F.lit(True))
+            behind = behind | (same & (F.col(c) > F.lit(last[i])))
+        df = df.where((F.col(key[0]) >= F.lit(last[0])) & behind)
+    return df.orderBy(*key).limit(max(1, size))

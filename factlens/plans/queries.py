@@ -441,6 +441,16 @@ def units_union(spark, sf_dir):
     return units.groupBy("unit_type").agg(F.count("*").alias("units"), F.countDistinct("document_id").alias("documents"), F.sum(F.length("content")).alias("chars"))
 
 
+@query(f"""WITH {REC}, {DIRTY}, n AS (SELECT (SELECT count(*) FROM documents) AS page, (SELECT count(*) FROM rec) AS record, (SELECT count(*) FROM nums WHERE v < 0 OR v > 10000000) AS validation)
+SELECT page, record, validation, page + record + validation AS units, page + record + validation AS stored FROM n""")
+def reindex_counts(spark, sf_dir):
+    results = V.row_outcomes(IN.dirty_candidates(spark, sf_dir), _config(), (V.Rule("row", V.in_range),))
+    path = f"{_scratch(spark)}/units"
+    seen = U.write_index(IN.pages(spark, sf_dir), IN.records_from_orders(spark, sf_dir), results, IN.documents(spark, sf_dir), path)
+    counts = spark.createDataFrame([tuple(seen[k] for k in ("page", "record", "validation", "units"))], "page long, record long, validation long, units long")
+    return counts.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("stored")))  # one row each
+
+
 def _page_units(spark, sf_dir) -> DataFrame:
     return U.page_units(IN.pages(spark, sf_dir), IN.documents(spark, sf_dir))
 

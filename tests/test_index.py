@@ -72,3 +72,18 @@ def test_sketches_of_odd_vectors(spark):
     found = S.semantic_approximate(units, queries, index, 2).orderBy("rank").collect()
     assert [(r.query_id, r.unit_id) for r in found] == [(1, 1), (1, 2)]
     assert np.isclose(found[0].similarity, 1.0)
+
+
+def test_counts_are_observed_by_the_pass_itself(spark, tmp_path):
+    from factlens.operators import units as U, windows as WN
+
+    rows = spark.createDataFrame([(i, i % 7, ["page", "record"][i % 2]) for i in range(50)], "n long, document_id long, unit_type string")
+    watched, seen = U.observed(rows)
+    watched.write.parquet(str(tmp_path / "u"))
+    assert seen.get == {"units": 50, "record": 25, "page": 25, "validation": 0, "documents": 7}
+    shown = WN.page(rows, [F.desc("n")], 3, 4).collect()
+    assert [(r.n, r.total) for r in shown] == [(45, 50), (44, 50), (43, 50)]
+    assert WN.page(rows.limit(0), ["n"]).collect() == []
+    first = WN.after(rows, ["document_id", "n"], None, 10).collect()
+    second = WN.after(rows, ["document_id", "n"], [first[-1].document_id, first[-1].n], 40).collect()
+    assert [(r.document_id, r.n) for r in first + second] == sorted((i % 7, i) for i in range(50))
