@@ -113,3 +113,59 @@ def test_batches_in_any_order_end_in_one_state(spark, tmp_path):
         found.append({name: sorted(map(str, store.read(name, state).collect())) for name in store.schemas})
     assert found[0] == found[1]
     assert any("new two" in r for r in found[0]["records"]) and not any("old" in r for rows in found[0].values() for r in rows)
+
+
+RECORDS = "record_id long, document_id long, entity string, reporting_period string"
+
+
+def flagged(spark, root, batches, name="state", **how):
+    """What the stream under root emits for each of these batches of records, arriving one after the other."""
+    from factlens.streaming import duplicates
+
+    out = []
+    for rows in batches:
+        spark.createDataFrame(rows, RECORDS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = duplicates.flag_duplicates(spark.readStream.schema(RECORDS).parquet(f"{root}/in"), **how)
+        stream.writeStream.format("parquet").option("path", f"{root}/{name}-out").option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start().awaitTermination()
+        now = {(r["record_id"], r["first_record_id"]) for r in spark.read.schema(stream.schema).parquet(f"{root}/{name}-out").collect()}
+        out.append(now)
+    return out
+
+
+def test_flags_know_stored_records_after_a_new_checkpoint(spark, tmp_path):
+    stored = spark.createDataFrame([(1, 1, "A", "2024"), (5, 1, " a", "2024"), (2, 1, "b", "2024"), (9, 1, None, None)], RECORDS)
+    batches = [[(20, 2, "a ", "2024"), (21, 2, "c", "2024"), (1, 1, "A", "2024"), (22, 2, None, None)], [(30, 3, "C", "2024"), (31, 3, "b", "2024")]]
+    first, second = flagged(spark, str(tmp_path), batches, known=stored)
+    assert first == {(20, 1)} and second == {(20, 1), (30, 21), (31, 2)}
+    # Without the stored records a new checkpoint would take what arrives first for the first.
+    assert flagged(spark, str(tmp_path / "x"), batches[:1]) == [{(20, 1)}]
+    assert flagged(spark, str(tmp_path / "y"), batches[1:], known=stored) == [{(31, 2)}]
+
+
+@pytest.mark.parametrize("ttl, want", [("600000", {(2, 1)}), ("500", set())])
+def test_keys_are_forgotten_after_their_time(spark, tmp_path, ttl, want):
+    import time
+
+    from factlens.streaming import duplicates
+
+    root = str(tmp_path)
+    write = lambda rows: spark.createDataFrame(rows, RECORDS).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    write([(1, 1, "a", "2024")])
+    stream = duplicates.flag_duplicates(spark.readStream.schema(RECORDS).parquet(f"{root}/in"), ttl=ttl)
+    job = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(processingTime="1 second").start()
+
+    def consumed(n):
+        for _ in range(120):
+            if sum(p["numInputRows"] for p in job.recentProgress) >= n:
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert consumed(1)
+        time.sleep(3)
+        write([(2, 1, "a", "2024")])
+        assert consumed(2)
+    finally:
+        job.stop()
+    assert {(r["record_id"], r["first_record_id"]) for r in spark.read.schema(stream.schema).parquet(f"{root}/out").collect()} == want
