@@ -8,7 +8,8 @@ Training is multiple-instance: a labelled text is the bag, the tokens of its sen
 of them make it toxic. On a bounded sample of labelled rows Spark counts in how many toxic and clean texts each token stands; tokens
 bound to toxic texts (likelihood ratio, hardly any clean text) are the first positive instances, tokens of clean texts the negative ones.
 Each further round looks at what decides the texts of the sample: a token that decides clean texts too becomes a negative instance, a positive one
-included, and a toxic text without a token that speaks for it gives the one most bound to toxic texts as a new positive instance. A phrase of
+included, and a toxic text without a token that speaks for it gives the one most bound to toxic texts as a new positive instance. The surest
+instances also stand there in spellings with one and two inserted letters, weighed apart, so that the machine keeps the mass that such spellings share. A phrase of
 ordinary words is not learnt, since instances are single tokens. Landmarks span the Nyström feature space, in which
 a linear machine with squared hinge is fitted. The sum over landmarks is linear in the subsequences of a token, so it is
 folded, without loss, into one weight per subsequence before the corpus is scored.
@@ -37,6 +38,8 @@ THRESHOLD = 0.3
 SPEAKS = 0.5
 #: Beyond this margin a token hardly needs company.
 SURE = 1.25
+#: Share of a word's margin that its spellings with inserted letters are to have.
+DISGUISED = 0.9
 #: Letters spelt out one by one ("a b c d"), which are read as one token as well.
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]\S(?!\S)){2,}")
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -193,9 +196,11 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reach: np.ndarray,
     return w
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, cost: float = 1.0, pool: int = 3000, reach: dict[str, float] | None = None) -> Model:
+def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, cost: float = 1.0, pool: int = 3000, reach: dict[str, float] | None = None, spelt: list[str] | None = None) -> Model:
     """The machine for given instances: landmarks (two thirds positive, the others from the first `pool` negative ones), Nyström map,
-    weights folded into subsequences. All instances are fitted; reach: margins that positive ones are to have, 1 where none is given."""
+    weights folded into subsequences. All instances are fitted; reach: margins that positive ones are to have, 1 where none is given;
+    spelt: disguised spellings of positive ones."""
+    plain, positive = len(positive), positive + (spelt or [])
     n = landmarks * 2 // 3
     marks = _landmarks(positive, n)
     marks += [w for w in _landmarks(negative[:pool], landmarks - n) if w not in set(marks)]
@@ -207,7 +212,9 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, co
     words = positive + negative
     x = np.vstack([(_features(words[i : i + 1000], numbers) @ z.T) @ whiten for i in range(0, len(words), 1000)])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    each = np.r_[np.full(len(positive), cost * len(words) / 2 / len(positive)), np.full(len(negative), cost * len(words) / 2 / max(1, len(negative)) * 2)]
+    # Disguised spellings weigh together what the words themselves do, however many they are.
+    weight = cost * (plain + len(negative)) / 2
+    each = np.r_[np.full(plain, weight / plain), np.full(len(positive) - plain, weight / max(1, len(positive) - plain)), np.full(len(negative), weight / max(1, len(negative)) * 2)]
     wanted = np.r_[[(reach or {}).get(p, 1.0) for p in positive], np.ones(len(negative))]
     w = _fit_svm(x, y, each, wanted)
     table = np.zeros(SYMBOLS**3)
@@ -319,7 +326,22 @@ def _strongest(sample: DataFrame, rows: list[int], rated: DataFrame) -> dict[str
     return {r["token"]: _reach(r["toxic"], r["clean"]) for r in best.orderBy("token").collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_positive: int = 1500, max_negative: int = 8000, rounds: int = 4, purity: float = 4.0) -> Model:
+def disguises(word: str, each: int = 16) -> list[str]:
+    """Spellings of a word with one and with two inserted letters, `each` of both where it has the places: the letters and places go by its hash, so that
+    reruns give the same. Insertions stand between letters, as those before and behind the word keep it whole."""
+    out: dict[str, None] = {}
+    places = list(range(1, len(word)))
+    for k in range(2 * each):
+        h = xxhash.xxh64_intdigest(f"{word} {k}")
+        spelt = word
+        for i in sorted({places[(h >> 8 * j) % len(places)] for j in range(1 + k % 2)}, reverse=True):
+            spelt = spelt[:i] + chr(97 + (h >> (32 + i)) % 26) + spelt[i:]
+        if len(spelt) <= LENGTH:
+            out[spelt] = None
+    return list(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 3000, max_clean: int = 6000, max_positive: int = 1500, max_negative: int = 8000, rounds: int = 4, purity: float = 4.0, max_disguised: int = 150) -> Model:
     """Fit on at most `max_toxic` and `max_clean` labelled texts, those of least hashed id; repeated labels of an id count once, the toxic one first.
 
     A positive instance stands for `purity` toxic texts to one clean text at least. What reaches the driver is bounded by these parameters: tokens, and
@@ -353,7 +375,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     others = [r["token"] for r in plain.orderBy(F.xxhash64("token"), "token").limit(half).collect()]
     negative = list(dict.fromkeys(frequent + others))
     for last in range(rounds):
-        model = fit_words(positive, negative, reach=reach)
+        # The surest instances stand there with inserted letters too, unless a clean text uses such a spelling as a word.
+        known = set(negative)
+        sure = sorted((w for w in positive if reach.get(w, 0) >= SURE and 4 <= len(w) <= LENGTH - 2), key=lambda w: (-reach[w], w))[:max_disguised]
+        spelt = {v: DISGUISED * reach[w] for w in sure for v in disguises(w) if v not in known}
+        model = fit_words(positive, negative, landmarks=256, reach=spelt | reach, spelt=[v for v in spelt if v not in set(positive)])
         seen = score(sample.select(F.col("row").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row").join(sample.select("row", "label"), "row").select("row", "label", "margin", "speaking", "tokens", "token").toPandas()
         if last == rounds - 1:
             break

@@ -65,6 +65,29 @@ def test_held_out_accuracy_and_gaps(spark):
     assert kept.schema == docs.schema and 0.7 * 240 <= kept.count() <= 0.8 * 240
 
 
+def test_inserted_characters_are_tolerated(spark):
+    """Nine in ten of the known insults are flagged with one and with two characters put between their letters, in short texts; clean words
+    that are spelt the same way are not."""
+    docs, labels = corpus(spark)
+    model = X.train(docs, labels)
+    pick, rows = random.Random(5), []
+
+    def spelt(word, n):
+        for _ in range(n):
+            i = pick.randrange(1, len(word))
+            word = word[:i] + pick.choice("abcdefghijklmnopqrstuvwxyz") + word[i:]
+        return word
+
+    for n in (1, 2):
+        for i in range(100):
+            rows.append((1000 * n + i, f"la me {spelt(pick.choice(INSULTS), n)} ti or an"))
+            rows.append((3000 * n + i, f"la me {spelt(pick.choice(['lametior', 'orortime', 'anesmela']), n)} ti or an"))
+    flagged = {r.doc_id for r in X.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r.score >= X.THRESHOLD}
+    for n in (1, 2):
+        assert sum(1000 * n <= i < 1000 * n + 100 for i in flagged) >= 90
+        assert sum(3000 * n <= i < 3000 * n + 100 for i in flagged) <= 3
+
+
 def test_copies_do_not_make_words_toxic(spark):
     docs, labels = corpus(spark)
     copies = spark.range(1000, 1060).select(F.col("id").alias("doc_id"), F.lit("lamelame orororan titiesti wuzzok anesanes").alias("text"), F.lit("").alias("score"))
