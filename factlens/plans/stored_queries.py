@@ -51,6 +51,21 @@ def audit_trail(spark, sf_dir):
     return L.audit_view(spark.read.parquet(path), actions[0]).select("action", "entity_type", "details")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, event_id % 16 AS bucket FROM events), kept AS (SELECT * FROM e WHERE bucket % 4 <> 0 OR event_id % 3 = 0)
+SELECT count(*) AS n, count(*) > 0 AS events_close, count(DISTINCT user_id) > 0 AS users_close, count(DISTINCT event_type) AS types FROM kept""")
+def sketched_counts(spark, sf_dir):
+    # A quarter of the buckets is replaced by a third of its events; estimates are held against exact counts.
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("bucket", F.col("event_id") % 16)
+    columns, touched = ["event_id", "user_id", "event_type"], spark.range(0, 16, 4).select(F.col("id").alias("bucket"))
+    changed = events.where("bucket % 4 = 0 and event_id % 3 = 0")
+    path = f"{_scratch(spark)}/sketches"
+    D.distinct_sketches(events, "bucket", columns).write.parquet(path)
+    total = D.distinct_totals(D.refreshed(spark.read.parquet(path), D.distinct_sketches(changed, "bucket", columns), touched, "bucket"), columns)
+    exact = events.where("bucket % 4 <> 0 or event_id % 3 = 0").agg(F.countDistinct("event_id").alias("a"), F.countDistinct("user_id").alias("b"))
+    close = lambda c, x: F.abs(F.col(c) - F.col(x)) <= 0.04 * F.col(x)
+    return total.crossJoin(exact).select(F.col("rows").alias("n"), close("event_id", "a").alias("events_close"), close("user_id", "b").alias("users_close"), F.col("event_type").alias("types"))  # one row each
+
+
 @query("""SELECT event_type AS action, max(event_id) AS audit_id FROM events GROUP BY event_type, event_id QUALIFY row_number() OVER (ORDER BY max(ts) DESC, event_id DESC) <= 8""")
 def recent_activity(spark, sf_dir):
     trail = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("action"), F.col("event_id").alias("audit_id"), F.col("ts").alias("created_at"))

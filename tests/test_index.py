@@ -87,3 +87,21 @@ def test_counts_are_observed_by_the_pass_itself(spark, tmp_path):
     first = WN.after(rows, ["document_id", "n"], None, 10).collect()
     second = WN.after(rows, ["document_id", "n"], [first[-1].document_id, first[-1].n], 40).collect()
     assert [(r.document_id, r.n) for r in first + second] == sorted((i % 7, i) for i in range(50))
+
+
+def test_sketches_of_untouched_buckets_are_not_made_again(spark):
+    from factlens.operators import dashboard as D
+
+    rows = spark.range(20000).selectExpr("id % 8 as bucket", "id % 5000 as document_id", "concat('m', id % 3) as model")
+    columns = ["document_id", "model"]
+    sketches = D.distinct_sketches(rows, "bucket", columns)
+    one = D.distinct_totals(sketches, columns).first()
+    assert one.rows == 20000 and abs(one.document_id - 5000) <= 150 and one.model == 3
+    touched = spark.createDataFrame([(0,), (1,)], "bucket long")
+    new = D.distinct_sketches(rows.where("bucket = 0").limit(0).unionByName(spark.createDataFrame([(1, 7, "new")], "bucket long, document_id long, model string")), "bucket", columns)
+    after = D.distinct_totals(D.refreshed(sketches, new, touched, "bucket"), columns).first()
+    assert after.rows == 15001 and after.model == 4
+    want = rows.where("bucket > 1").select("document_id").distinct().count() + 1
+    assert abs(after.document_id - want) <= 0.03 * want
+    none = D.distinct_totals(D.distinct_sketches(rows.limit(0), "bucket", columns), columns).first()
+    assert (none.rows, none.document_id, none.model) == (0, 0, 0)
