@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import blank_to_null, canonical_decimal, normalize_period, parse_date, parse_number
 from ..schemas import ERROR, FAILED, PASS, REVIEW_REQUIRED, VALID, WARNING
+from .skew import join_key
 
 KEY = ("entity", "reporting_period")
 OUTCOME = "rule_code string, status string, severity string, message string, original_value string, expected_value string"
@@ -121,11 +122,11 @@ def _keyed(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def duplicates(candidates: DataFrame, config: Config) -> DataFrame:
     """Second and later records of a key, naming the first. The first is an aggregate with map-side combining, so a key that holds
-    a third of all records costs a row a task."""
+    a third of all records costs a row a task; the records of such a key find it by a broadcast and spread over the join's tasks."""
     keys = [f"__k{i}" for i in range(len(config.duplicate_key))]
     rows = _keyed(candidates, config.duplicate_key)
     first = rows.groupBy(*keys).agg(F.min(F.struct("record_id", "document_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = rows.join(first, keys).where("record_id != first.record_id")
+    late = join_key(rows, first, keys).where("record_id != first.record_id")
     said = F.concat(F.lit("same key as record "), F.col("first.record_id").cast("string"), F.lit(" of document "), F.col("first.document_id").cast("string"))
     return late.select("record_id", "document_id", outcome("DUPLICATE_DETECTED", WARNING, WARNING, said, F.col("value_raw"), F.col("first.record_id")).alias("o")).select("record_id", "document_id", "o.*")
 
@@ -134,8 +135,8 @@ def conflicts(candidates: DataFrame, config: Config) -> DataFrame:
     """Keys with two or more numbers: the first record against every later one, both values kept."""
     keys = [f"__k{i}" for i in range(len(config.consistency_key))]
     rows = _keyed(candidates, config.consistency_key).withColumn("__v", parse_number(F.col("value_raw"))).where("__v is not null")
-    anchor = rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.min(F.struct("document_id", "record_id", F.col("value_raw").alias("raw"), F.col("__v").alias("v"))).alias("anchor")).where("lo < hi")
-    met = rows.join(anchor, keys).where("record_id != anchor.record_id")
+    anchor = rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.min(F.struct("document_id", "record_id", F.col("value_raw").alias("raw"), F.col("__v").alias("v"))).alias("anchor"), F.count("*").alias("n")).where("lo < hi")
+    met = join_key(rows, anchor.drop("lo", "hi"), keys).where("record_id != anchor.record_id")
     said = F.concat(F.lit("record "), F.col("anchor.record_id").cast("string"), F.lit(" has "), canonical_decimal(F.col("anchor.v")), F.lit(", this one "), canonical_decimal(F.col("__v")))
     return met.select("record_id", "document_id", outcome("CROSS_DOCUMENT_CONFLICT", REVIEW_REQUIRED, WARNING, said, F.col("value_raw"), F.col("anchor.raw")).alias("o")).select("record_id", "document_id", "o.*")
 

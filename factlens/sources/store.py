@@ -138,4 +138,6 @@ class Store:
                 if (int(bucket), run) not in live:
                     _delete(self.spark, folder.toString())
                     gone += 1
+                    if not len(system.listStatus(folder.getParent())):
+                        system.delete(folder.getParent(), False)
         return gone

@@ -48,9 +48,10 @@ def tables(spark: SparkSession, root: str, pages: DataFrame, config: V.Config, d
     return Store(spark, root, {name: df.schema for name, df in derived(none, config, documents, version, max_per_page).items()}, buckets)
 
 
-def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, documents: DataFrame, version: str = "version", buckets: int = lifecycle.BUCKETS, max_per_page: int | None = None) -> StreamingQuery:
+def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, documents: DataFrame, version: str = "version", buckets: int = lifecycle.BUCKETS, max_per_page: int | None = None, keep: int = 1) -> StreamingQuery:
     """Start the stream of pages (with a version column). Each micro-batch is one commit of all tables under root; a batch that runs again
-    after a failure changes nothing."""
+    after a failure changes nothing. Folders of the last `keep` states stay: with 1 the tables' folders hold what is current and nothing else, and a reader
+    that is under way when a batch commits may have to begin again; with more it can end."""
 
     schemas = tables(source.sparkSession, root, source, config, documents, version, buckets, max_per_page).schemas
 
@@ -65,6 +66,7 @@ def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, docu
             new[name].persist()
         try:
             store.commit(new, f"{stream} {number}", ids)
+            store.vacuum(keep)
         finally:
             for name in ("outcomes", "records", "pages"):
                 new[name].unpersist()

@@ -70,3 +70,26 @@ def test_ocr_page(spark):
     pages = spark.createDataFrame([(5, 1, 2, "page", "1O5", "ocr_extracted", (0.42, True)), (6, 1, 3, "page", "ok", "extracted", (None, None))], "page_id long, document_id long, page_number int, content_type string, extracted_text string, extraction_status string, ocr struct<confidence:double,review_required:boolean>")
     out = V.run(frame(spark, {}), V.Config(as_of=AS_OF), pages).collect()
     assert [(r.rule_code, r.original_value, r.record_id) for r in out] == [("OCR_LOW_CONFIDENCE", "1O5", None)]
+
+
+def test_a_key_with_a_third_of_all_rows_spreads_without_adaptive_plans(spark):
+    from pyspark.sql import functions as F
+
+    from factlens.operators.skew import join_key
+
+    rows = spark.range(30_000).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 5000).cast("string"))).alias("k"), F.lit("x").alias("extra"))
+    per_key = rows.groupBy("k").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        met = join_key(rows, per_key, ["k"], least=1000)
+        assert met.columns == ["record_id", "k", "extra", "first"]
+        sizes = [r["c"] for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 30_000 / 16
+        want = rows.join(per_key.drop("n"), "k").select(met.columns)
+        assert met.exceptAll(want).isEmpty() and want.exceptAll(met).isEmpty()
+    finally:
+        for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
