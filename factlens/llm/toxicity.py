@@ -146,16 +146,17 @@ def _signs(shown: np.ndarray) -> np.ndarray:
     return np.c_[shown[:, 0], np.maximum(0, shown[:, 0] - SURE), np.log1p(shown[:, 1]), np.log1p(shown[:, 2]), np.ones(len(shown))]
 
 
-def _features(words: list[str], numbers: np.ndarray) -> np.ndarray:
+def _features(words: list[str], numbers: np.ndarray, kind: type = np.float64) -> np.ndarray:
     """Dense kernel features of words, over the given subsequences only (sorted numbers)."""
     place = np.full(SYMBOLS**3, -1, np.int64)
     place[numbers] = np.arange(len(numbers))
-    rows, out = codes(words), np.zeros((len(words), len(numbers)))
+    rows, out = codes(words), np.zeros((len(words), len(numbers)), kind)
     for alive, number, weight in subsequences(rows):
         at = place[number]
         ok = at >= 0
         out[alive[ok], at[ok]] += weight  # a row has one placement in each step
-    return out / NORMS[(rows > 0).sum(1)][:, None]
+    out /= NORMS[(rows > 0).sum(1)][:, None].astype(kind)
+    return out
 
 
 def _numbers(words: list[str]) -> np.ndarray:
@@ -167,8 +168,8 @@ def _landmarks(words: list[str], count: int) -> list[str]:
     """Greedy farthest-first choice in kernel space."""
     if len(words) <= count:
         return list(words)
-    x = _features(words, _numbers(words))
-    square = (x * x).sum(1)
+    x = _features(words, _numbers(words), np.float32)
+    square = np.einsum("ij,ij->i", x, x)
     chosen, far = [0], np.full(len(words), np.inf)
     while len(chosen) < count:
         c = chosen[-1]
@@ -202,7 +203,7 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, co
     spelt: disguised spellings of positive ones."""
     plain, positive = len(positive), positive + (spelt or [])
     n = landmarks * 2 // 3
-    marks = _landmarks(positive, n)
+    marks = _landmarks(positive[: plain + 300], n)  # the first disguised ones are of the surest words
     marks += [w for w in _landmarks(negative[:pool], landmarks - n) if w not in set(marks)]
     numbers = _numbers(marks)
     z = _features(marks, numbers)
@@ -210,7 +211,7 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, co
     good = values > 1e-9 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     words = positive + negative
-    x = np.vstack([(_features(words[i : i + 1000], numbers) @ z.T) @ whiten for i in range(0, len(words), 1000)])
+    x = np.vstack([(_features(words[i : i + 250], numbers) @ z.T) @ whiten for i in range(0, len(words), 250)])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     # Disguised spellings weigh together what the words themselves do, however many they are.
     weight = cost * (plain + len(negative)) / 2
