@@ -90,8 +90,68 @@ def term_stats(units: DataFrame, terms: Column | None = None, min_freq: int = 2,
     return cap_per_key(scored, list(by), order, top) if by else scored.orderBy(*order).limit(top)
 
 
+#: Hash slots of a filter of frequent terms: 2^20 bits, 128 KB, whatever the size of the corpus.
+SLOTS = 1 << 20
+
+
+def frequent_filter(frequent: DataFrame) -> DataFrame:
+    """One row with the hash slots of `term`, as an array of 64-bit words. It may let rare terms pass, and never keeps a given one out."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS))
+    words = frequent.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    every = frequent.sparkSession.range(SLOTS // 64).join(words, F.col("id") == F.col("w"), "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("slots"))
+
+
+def _may_be_frequent(slots: Column, term: Column) -> Column:
+    slot = F.pmod(F.xxhash64(term), F.lit(SLOTS))
+    return F.getbit(F.get(slots, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _pairs(words: Column) -> Column:
+    """Each word with the next; null where either is null, and at the end."""
+    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _pass(units: DataFrame, array: str, frequent: DataFrame) -> DataFrame:
+    """The array of terms with those nulled that a filter of frequent ones leaves out."""
+    met = units.crossJoin(F.broadcast(frequent_filter(frequent)))
+    return met.withColumn(array, F.transform(array, lambda t: F.when(_may_be_frequent(F.col("slots"), t), t))).drop("slots")
+
+
+def phrase_candidates(units: DataFrame, top: int | None = None, min_freq: int = 2, min_chars: int = 3, probe: int = 1000) -> DataFrame:
+    """Units with `__phrases`: every occurrence of each phrase of two or three content words that may be frequent enough, a priori.
+
+    No phrase is more frequent than a part of it. Words are counted first, then pairs of frequent words, without their documents. With `top`, pairs
+    of the `probe` commonest words suffice: as many of them as are listed give a bound that every listed phrase reaches, and phrases are built of words
+    that reach it. Without, they are built of frequent pairs. What was found frequent is passed on as a hashed filter of fixed size; nothing that
+    reaches the bound is left out, so counts of what does are whole.
+    """
+    split = units.withColumn("__words", F.transform(content_tokens(F.col("content")), lambda w: F.when(F.length(w) >= min_chars, w)))
+
+    def counted(df: DataFrame, terms: Column) -> DataFrame:
+        return df.select(F.explode_outer(terms).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("freq")).where(F.col("freq") >= min_freq)
+
+    words = counted(split, F.col("__words"))
+    common = words.orderBy(F.desc("freq"), "term").limit(max(top, probe)) if top else words
+    pairs = counted(_pass(split.select("__words"), "__words", common), _pairs(F.col("__words")))
+    if top:
+        bound = pairs.orderBy(F.desc("freq")).limit(top).agg(F.when(F.count("*") == top, F.min("freq")).otherwise(min_freq).alias("bound"))
+        split = _pass(split, "__words", words.crossJoin(F.broadcast(bound)).where("freq >= bound"))
+    paired = split.withColumn("__pairs", _pairs(F.col("__words")))
+    if not top:
+        paired = _pass(paired, "__pairs", pairs)
+    rest = F.greatest(F.size("__words"), F.lit(1))
+    third = F.zip_with(F.slice("__pairs", 2, rest), F.slice("__words", 3, rest), lambda p, w: F.when(p.isNotNull(), w))
+    triples = F.zip_with("__pairs", third, lambda p, w: F.concat(p, F.lit(" "), w))
+    return paired.withColumn("__phrases", F.concat("__pairs", triples)).drop("__pairs", "__words")
+
+
 def phrases(units: DataFrame, top: int | None = 30, by: tuple[str, ...] = (), min_chars: int = 3) -> DataFrame:
-    """Phrases of two and three content words; those with a short word are never counted, as term_stats would drop them."""
+    """Phrases of two and three content words; those with a short word are never counted, as term_stats would drop them. Over a whole corpus
+    only what may be frequent is counted by document (`phrase_candidates`); a single document's phrases are few."""
+    if not by:
+        return term_stats(phrase_candidates(units, top, min_chars=min_chars), F.col("__phrases"), min_chars=min_chars, top=top)
     split = units.withColumn("__tokens", content_tokens(F.col("content")))
     return term_stats(split, ngrams(F.col("__tokens"), min_chars=min_chars), min_chars=min_chars, top=top, by=by)
 

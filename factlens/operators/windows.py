@@ -1,10 +1,10 @@
-"""Row caps, running budgets and normalisation by key. No window here is without a partition."""
+"""Row caps, running budgets and normalisation by key. No window over data is without a partition."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
 
 
 def cap_per_key(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -12,27 +12,46 @@ def cap_per_key(df: DataFrame, keys: list[str], order: list[Column | str], n: in
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-def running_budget(df: DataFrame, keys: list[str], order: list[Column | str], amount: Column, cap: int) -> DataFrame:
-    """Rows as long as the running sum of their key stays in the budget; adds `used`."""
-    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("used", F.sum(amount).over(frame)).where(F.col("used") <= cap)
+def split_points(df: DataFrame, cols: list[str], parts: int = 256) -> Column:
+    """Up to parts - 1 rows of (cols) in order, as an array of structs, between which about as many rows of df lie. They are read off a sample by hash
+    of at most 64 a part; a poor one makes parts uneven, and nothing else."""
+    every = max(1, df.count() // (16 * parts))
+    seen = df.select(*cols).where(F.pmod(F.xxhash64(*cols), F.lit(every)) == 0).distinct().limit(64 * parts)
+    rows = seen.orderBy(*cols).select(F.to_json(F.struct(*cols))).collect()
+    places = dict.fromkeys(len(rows) * i // parts for i in range(1, parts)) if rows else ()
+    return F.from_json(F.lit(f"[{','.join(rows[i][0] for i in places)}]"), T.ArrayType(seen.schema))  # Spark folds it to a literal
 
 
-def global_budget(df: DataFrame, key: str, order: list[Column | str], amount: Column, cap: int, buckets: int = 256) -> DataFrame:
-    """A running budget over all rows in order of key (a number) and order; adds `used`.
+def part_of(cols: list[str], points: Column, step: int = 16) -> Column:
+    """The number of split points below a row: every 16th is compared first, then those between two of them."""
+    row = F.struct(*cols)
+    coarse = F.filter(points, lambda p, i: (i % step == 0) & (p < row))
+    start = F.greatest(F.size(coarse) - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(points, start + 1, F.lit(step)), lambda p: p < row))
 
-    Rows are dealt by approximate quantiles of the key into buckets in order; the sums of these are added up in one window of
-    `buckets` rows, the rows of each bucket in a window of its own. Rows without a key come first, in a bucket of their own.
+
+def running_budget(df: DataFrame, keys: list[str], order: list[str], amount: Column, cap: int, parts: int = 256) -> DataFrame:
+    """Rows as long as the running sum of their key, in ascending order of columns, stays in the budget; adds `used`.
+
+    A prefix sum in two steps, since one key may hold a third of all rows: rows are dealt by split points of (keys, order) into parts in order; what
+    lies before a part in a key whose rows are in several comes from the sums of these parts, fewer than `parts` rows in all, and each window is
+    over one key's rows in one part. Only rows that are equal in keys and order are never parted. Nulls are first, as a key and in the order.
     """
-    edges = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    edges = sorted(set(edges))
-    bucket = F.when(F.col(key).isNull(), -1).otherwise(sum(((F.col(key) > e).cast("int") for e in edges), start=F.lit(0)))
-    dealt = df.withColumn("__bucket", bucket)
-    sums = dealt.groupBy("__bucket").agg(F.sum(amount).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("__before") <= cap).drop("__sum")
-    frame = W.partitionBy("__bucket").orderBy(key, *order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = dealt.join(F.broadcast(before), "__bucket").withColumn("used", F.col("__before") + F.sum(amount).over(frame))
-    return running.where(F.col("used") <= cap).drop("__bucket", "__before")
+    cols = [*keys, *order]
+    dealt = df.withColumns({"__part": part_of(cols, split_points(df, cols, parts)), "__amount": amount})
+    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__amount").alias("__sum"))
+    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn("__before", F.sum("__sum").over(earlier)).where("__before is not null")
+    renamed = before.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__later"), "__before")
+    same = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.col("__part") == F.col("__later"))
+    frame = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = dealt.join(F.broadcast(renamed), same, "left").withColumn("used", F.coalesce("__before", F.lit(0)) + F.sum("__amount").over(frame))
+    return running.where(F.col("used") <= cap).select(*df.columns, "used")
+
+
+def global_budget(df: DataFrame, key: str, order: list[str], amount: Column, cap: int, parts: int = 256) -> DataFrame:
+    """A running budget over all rows in order of key and order; adds `used`. The one window over all parts has `parts` rows."""
+    return running_budget(df, [], [key, *order], amount, cap, parts)
 
 
 def minmax(df: DataFrame, by: list[str], c: str, out: str) -> DataFrame:

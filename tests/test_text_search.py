@@ -1,7 +1,7 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from factlens.operators import embed, evidence as E, search as S, text as T, units as U
+from factlens.operators import embed, evidence as E, search as S, text as T, units as U, windows as WN
 
 CORPUS = [
     (0, 1, "Coal production report coal production output tonnes output"),
@@ -29,6 +29,20 @@ def test_terms_and_phrases(corpus):
     assert T.cloud(T.term_stats(corpus)).first().weight == 1.0
 
 
+def test_phrases_a_priori(spark):
+    """What may be frequent holds every occurrence of what is; ties at the bound, gaps by short words, few phrases and no rows."""
+    texts = [(i, i % 7, " ".join(f"w{'xyz'[(i * k) % 3]}{(i * k * k) % (11 + k % 5)}x" if k % 9 else "ab" for k in range(40)) + "".join(f" once{i}q{k}" for k in range(40))) for i in range(60)] + [(60, 8, None), (61, 8, ""), (62, 8, "one two")]
+    units = T.corpus(spark.createDataFrame(texts, "unit_id long, document_id long, content string"))
+    split = units.withColumn("__tokens", T.content_tokens(F.col("content")))
+    for top, probe in ((30, 30), (5, 1000), (100_000, 1000), (None, 1000)):
+        plain = T.term_stats(split, T.ngrams(F.col("__tokens"), min_chars=3), top=top)
+        kept = T.term_stats(T.phrase_candidates(units, top, probe=probe), F.col("__phrases"), top=top)
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, plain.collect())), (top, probe)
+    occurrences = T.phrase_candidates(units, 5).select(F.sum(F.size(F.filter("__phrases", lambda p: p.isNotNull())))).first()[0]
+    assert occurrences * 2 < split.select(F.sum(F.size(T.ngrams(F.col("__tokens"), min_chars=3)))).first()[0]
+    assert T.phrases(units.limit(0)).count() == 0
+
+
 def test_topics(corpus):
     found = T.topics(corpus)
     rows = found.orderBy("topic").collect()
@@ -45,6 +59,24 @@ def test_budget(spark):
     assert T.corpus(units, per_document=1).count() == 2
 
 
+def test_budget_of_hot_document(spark):
+    """A document with most rows is several windows, whose sums go on from one another; null documents and ties too."""
+    rows = [(None if i % 10 == 1 else 7 if i % 3 else i % 40, i // 2, i % 5) for i in range(6000)]
+    df = spark.createDataFrame(rows, "document_id long, unit_id long, n long")
+    amount = F.col("n") + 1
+    dealt = df.withColumn("part", WN.part_of(["document_id", "unit_id"], WN.split_points(df, ["document_id", "unit_id"], 40)))
+    assert dealt.groupBy("document_id", "part").count().agg(F.max("count")).first()[0] < 600  # document 7 has over 3,000
+    ends = dealt.groupBy("part").agg(F.min(F.struct("document_id", "unit_id")).alias("a"), F.max(F.struct("document_id", "unit_id")).alias("b")).orderBy("part").collect()
+    low = lambda s: tuple(-1 if x is None else x for x in s)
+    assert all(low(x.b) < low(y.a) for x, y in zip(ends, ends[1:]))
+    plain = df.withColumn("used", F.sum(amount).over(Window.partitionBy("document_id").orderBy("unit_id", "n").rowsBetween(Window.unboundedPreceding, 0))).where("used <= 5000")
+    got = WN.running_budget(df, ["document_id"], ["unit_id", "n"], amount, 5000, 40)
+    assert got.columns == plain.columns and sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+    everything = df.withColumn("used", F.sum(amount).over(Window.partitionBy(F.lit(1)).orderBy("document_id", "unit_id", "n").rowsBetween(Window.unboundedPreceding, 0))).where("used <= 9000")
+    assert sorted(WN.global_budget(df, "document_id", ["unit_id", "n"], amount, 9000, 40).collect(), key=str) == sorted(everything.collect(), key=str)
+    assert WN.running_budget(df.limit(0), ["document_id"], ["unit_id"], amount, 9).count() == 0
+
+
 def unit(spark, *rows):
     return spark.createDataFrame([(i, 1, *r) for i, r in enumerate(rows)], "unit_id long, document_id long, unit_type string, title string, content string, entity string, metric string")
 
