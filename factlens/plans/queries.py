@@ -643,12 +643,26 @@ def term_cooccurrence(spark, sf_dir):
     return T.cooccurrence(units, T.term_stats(units)).select("a", "b", F.col("both").alias("together"), _d("jaccard"))
 
 
-@query()
+#: The greedy pass as a recursion: the most frequent term that is left leads, and takes those left that stand with it often enough.
+LEAD = f"""{TOK}, {STATS.format('c')}, k AS (SELECT *, row_number() OVER (ORDER BY freq DESC, term) AS place FROM sc ORDER BY freq DESC, term LIMIT 60),
+d AS (SELECT DISTINCT doc_id, term FROM one WHERE term IN (SELECT term FROM k)), n AS (SELECT term, count(*) AS n FROM d GROUP BY term),
+p AS (SELECT x.term AS a, y.term AS b, count(*) AS together FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.term <> y.term GROUP BY ALL),
+near AS (SELECT k.term, coalesce(list(p.b) FILTER (together / (na.n + nb.n - together) >= 0.3), []) AS terms FROM k LEFT JOIN p ON p.a = k.term LEFT JOIN n na ON na.term = p.a LEFT JOIN n nb ON nb.term = p.b GROUP BY k.term),
+lead AS (SELECT 0 AS topic, (SELECT list(term ORDER BY place) FROM k) AS rest, []::VARCHAR[] AS members
+  UNION ALL SELECT topic + 1, list_filter(rest, lambda t: t <> rest[1] AND NOT list_contains(near.terms, t)), list_filter(rest, lambda t: t = rest[1] OR list_contains(near.terms, t))
+  FROM lead JOIN near ON near.term = rest[1] WHERE topic < 12 AND len(rest) > 0),
+member AS (SELECT topic, unnest(members) AS term FROM lead), placed AS (SELECT topic, term, score, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS r FROM member JOIN k USING (term)),
+topic AS (SELECT topic, string_agg(CASE WHEN r <= 2 THEN upper(left(term, 1)) || lower(substr(term, 2)) END, ' / ' ORDER BY r) AS label, sum(score) AS score, list(term ORDER BY r) AS terms FROM placed WHERE r <= 6 GROUP BY topic HAVING sum(score) >= 1)"""
+SUPPORT = """about AS (SELECT topic, unnest(terms) AS term FROM topic), hits AS (SELECT DISTINCT doc_id, term FROM one WHERE term IN (SELECT term FROM about)),
+support AS (SELECT topic, doc_id AS document_id, string_agg(term, ',' ORDER BY term) AS terms, sum(freq)::BIGINT AS score FROM hits JOIN about USING (term) JOIN k USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {LEAD} SELECT topic, label, round(score, 6) AS score, array_to_string(terms, ',') AS terms FROM topic")
 def topics(spark, sf_dir):
     return T.topics(_corpus(spark, sf_dir)).select("topic", "label", _d("score"), F.array_join("terms", ",").alias("terms"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LEAD}, {SUPPORT} SELECT topic, document_id, terms, score FROM support")
 def topic_docs(spark, sf_dir):
     units = _corpus(spark, sf_dir)
     return T.topic_documents(T.topics(units), units).select("topic", "document_id", F.array_join("terms", ",").alias("terms"), "score")
@@ -669,7 +683,16 @@ def keywords_per_document(spark, sf_dir):
     return T.term_stats(_corpus(spark, sf_dir), top=5, by=("document_id",)).select("document_id", "term", "freq")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LEAD}, {SUPPORT}, {REC}, {CONF},
+own AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS r FROM (SELECT doc_id, term, count(*) AS n FROM one WHERE length(term) >= 3 GROUP BY ALL)),
+main AS (SELECT doc_id, string_agg(term, ', ' ORDER BY r) AS terms FROM own WHERE r <= 5 GROUP BY doc_id),
+best AS (SELECT document_id, label, row_number() OVER (PARTITION BY document_id ORDER BY support.score DESC, topic) AS r FROM support JOIN topic USING (topic)),
+spoken AS (SELECT document_id, string_agg(label, ', ' ORDER BY label) AS topics FROM best WHERE r <= 3 GROUP BY document_id),
+rows AS (SELECT document_id, count(*) AS records, count(*) FILTER (validation_status = 'warning') AS flagged, count(*) FILTER (validation_status = 'pending') AS pending FROM rec GROUP BY document_id),
+open AS (SELECT document_id, count(DISTINCT (r.entity, r.metric, r.reporting_period, r.unit)) AS conflicts FROM rec r JOIN conf USING (entity, metric, reporting_period, unit) GROUP BY document_id)
+SELECT d.doc_id AS document_id, concat_ws(' ', source || '/' || d.doc_id || ' has 1 pages and ' || coalesce(records, 0) || ' records.', CASE WHEN flagged > 0 THEN flagged || ' records need review.' END,
+  CASE WHEN pending > 0 THEN pending || ' records are pending.' END, CASE WHEN conflicts > 0 THEN conflicts || ' conflicts are open.' END, 'Main terms: ' || main.terms || '.', 'Topics: ' || spoken.topics || '.') AS summary
+FROM documents d LEFT JOIN rows ON rows.document_id = d.doc_id LEFT JOIN open ON open.document_id = d.doc_id LEFT JOIN main ON main.doc_id = d.doc_id LEFT JOIN spoken ON spoken.document_id = d.doc_id""")
 def document_summaries(spark, sf_dir):
     units = _corpus(spark, sf_dir)
     docs = IN.documents(spark, sf_dir)
