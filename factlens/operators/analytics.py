@@ -71,25 +71,38 @@ def exclusions(classified: DataFrame, cell: DataFrame | None = None, repeated: b
     return marked.withColumn("reason", F.coalesce("reason", F.when(F.col("bad"), INCONSISTENT))).where("reason is not null").select(*columns).transform(lambda d: d.dropDuplicates(["record_id", "reason"]) if repeated else d)
 
 
-def aggregates(classified: DataFrame, cell: DataFrame | None = None, max_groups: int | None = None, max_periods: int | None = None) -> DataFrame:
-    """With max_groups and max_periods the first metrics and units, and the first periods of each. Total, average, min, max over entities by (metric, unit, period); review_required if the metric and unit have a conflict or
-    the period an inconsistent cell. Periods that are NULL are no period. Record ids are of agreeing cells, documents of all."""
-    cell = cells(classified) if cell is None else cell
+def first_ids(df: DataFrame, keys: tuple[str, ...], c: str, max_ids: int) -> DataFrame:
+    """(keys, c): the first different ids of each key, of a column of lists. Spark cuts to so many a key before the shuffle."""
+    ids = df.select(*keys, F.explode(c).alias("__id")).distinct()
+    return cap_per_key(ids, list(keys), ["__id"], max_ids).groupBy(*keys).agg(F.sort_array(F.collect_list("__id")).alias(c))
+
+
+def aggregates(classified: DataFrame, cell: DataFrame | None = None, max_groups: int | None = None, max_periods: int | None = None, max_ids: int | None = None) -> DataFrame:
+    """Total, average, min, max over entities by (metric, unit, period); review_required if the metric and unit have a conflict or the period an
+    inconsistent cell. Periods that are NULL are no period. Record ids are of agreeing cells, documents of all: all of them, or the first max_ids
+    records and the first max_ids documents of the cells' first records. With max_groups and max_periods the first metrics and units, and the first periods of each."""
+    cell = cells(classified, max_ids) if cell is None else cell
     key = ("metric", "unit", "reporting_period")
-    grouped = cell.where("reporting_period is not null").groupBy(*key).agg(
-        F.try_sum("value").alias("total"), F.try_avg("value").cast("decimal(38,6)").alias("average"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.count("value").alias("cells"), F.bool_or(~F.col("agree")).alias("inconsistent"),
+    timed = cell.where("reporting_period is not null")
+    ids = () if max_ids else (
         F.sort_array(F.flatten(F.collect_list(F.when(F.col("agree"), F.col("record_ids"))))).alias("record_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("document_ids")))).alias("document_ids"),
     )
+    grouped = timed.groupBy(*key).agg(
+        F.try_sum("value").alias("total"), F.try_avg("value").cast("decimal(38,6)").alias("average"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count("value").alias("cells"), F.bool_or(~F.col("agree")).alias("inconsistent"), *ids,
+    )
+    if max_ids:
+        for c, of in (("record_ids", timed.where("agree")), ("document_ids", timed)):
+            grouped = null_safe(grouped, first_ids(of, key, c, max_ids), key)
     hit = classified.where(F.col("reason") == CONFLICTING).select("metric", "unit").distinct().withColumn("conflicted", F.lit(True))
     marked = null_safe(cap_groups(grouped.where("cells > 0"), ("metric", "unit"), ("reporting_period",), max_groups, max_periods), hit, ("metric", "unit"))
     return marked.withColumn("review_required", F.col("inconsistent") | F.coalesce("conflicted", F.lit(False))).drop("inconsistent", "conflicted")
 
 
-def kpis(classified: DataFrame, top: int | None = None) -> DataFrame:
+def kpis(classified: DataFrame, top: int | None = None, max_ids: int | None = None) -> DataFrame:
     """Aggregates in long form: (metric, unit, reporting_period, kpi, value, ...), or the first ones in order."""
-    return kpis_of(aggregates(classified), top)
+    return kpis_of(aggregates(classified, max_ids=max_ids), top)
 
 
 def kpis_of(wide: DataFrame, top: int | None = None) -> DataFrame:
@@ -106,13 +119,13 @@ def count_sources(records: DataFrame) -> DataFrame:
     return records.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kpi"), "record_id", "document_id")
 
 
-def trends(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None) -> DataFrame:
+def trends(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None) -> DataFrame:
     """One row a series (entity, metric, unit) with agreeing points: first and last, changes, direction, missing periods.
 
     percent_change only from a base other than 0. Gaps are looked for if all points are years, or all months. review_required
-    if any record of the series is excluded. NULL periods are no points, entities that are NULL no series.
+    if any record of the series is excluded. NULL periods are no points, entities that are NULL no series. With max_ids a point has its first records.
     """
-    cell = cells(classified) if cell is None else cell
+    cell = cells(classified, max_ids) if cell is None else cell
     series = ("entity", "metric", "unit")
     points = cell.where("agree and reporting_period is not null and entity is not null")
     kind = period_kind(F.col("reporting_period"))
@@ -136,17 +149,22 @@ def trends(classified: DataFrame, cell: DataFrame | None = None, top: int | None
     return flagged.orderBy(*series).limit(top) if top else flagged
 
 
-def comparisons(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None) -> DataFrame:
-    """Entities side by side by (metric, unit, period), those with only excluded records with a NULL value; two entities at least."""
-    cell = cells(classified) if cell is None else cell
+def comparisons(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None, max_sides: int | None = None) -> DataFrame:
+    """Entities side by side by (metric, unit, period), those with only excluded records with a NULL value; two entities at least. With max_ids a
+    side has its first records, with max_sides only the first entities are listed; counts and the difference are of all."""
+    cell = cells(classified, max_ids) if cell is None else cell
     key = ("metric", "unit", "reporting_period")
-    everyone = classified.where("entity is not null").groupBy("entity", *key).agg(F.sort_array(F.collect_set("record_id")).alias("record_ids"))
+    named = classified.where("entity is not null")
+    listed = cap_per_key(named, ["entity", *key], ["record_id"], max_ids) if max_ids else named
+    everyone = listed.groupBy("entity", *key).agg(F.sort_array(F.collect_set("record_id")).alias("record_ids"))
     valued = cell.select(*CELL, "value")
     side = null_safe(everyone, valued, ("entity", *key))
+    sides = F.array_sort(F.collect_list(F.struct("entity", "value", "record_ids"))).alias("sides")
     grouped = side.groupBy(*key).agg(
-        F.count("*").alias("n_entities"), F.count("value").alias("n_valued"), F.max("value").alias("hi"), F.min("value").alias("lo"),
-        F.array_sort(F.collect_list(F.struct("entity", "value", "record_ids"))).alias("sides"),
+        F.count("*").alias("n_entities"), F.count("value").alias("n_valued"), F.max("value").alias("hi"), F.min("value").alias("lo"), *([] if max_sides else [sides]),
     )
+    if max_sides:
+        grouped = null_safe(grouped, cap_per_key(side, list(key), ["entity"], max_sides).groupBy(*key).agg(sides), key)
     out = grouped.where("n_entities >= 2").withColumn("difference", F.when(F.col("n_valued") >= 2, F.col("hi") - F.col("lo"))).drop("hi", "lo")
     return out.orderBy(*key).limit(top) if top else out
 

@@ -40,6 +40,30 @@ def test_equal_values_count_once_and_keep_sources(spark):
     assert (float(k.total), k.record_ids, k.document_ids) == (1200, [1, 2], [1, 2])
 
 
+def test_bounded_lists(spark):
+    """With bounds the lists are the first ones of those without, and every number stays."""
+    rows = [{"entity": f"Mine {i % 5}" if i % 11 else None, "document_id": 90 - i % 7, "value_raw": str(10 * (i % 5)), "reporting_period": str(2020 + i % 3) if i % 13 else None} for i in range(90)]
+    rows += [{"entity": "Mine 9", "value_raw": v, "reporting_period": "2020"} for v in ("1", "1", "2", "2", "2")]
+    c = A.classify(records(spark, *rows))
+    lists = {"record_ids", "document_ids", "points", "sides"}
+
+    def by_key(df, *key):
+        return {tuple(r[k] for k in key): r for r in df.collect()}
+
+    whole = [by_key(A.aggregates(c), "metric", "unit", "reporting_period"), by_key(A.trends(c), "entity"), by_key(A.comparisons(c), "reporting_period")]
+    cut = [by_key(A.aggregates(c, max_ids=3), "metric", "unit", "reporting_period"), by_key(A.trends(c, max_ids=3), "entity"), by_key(A.comparisons(c, max_ids=3, max_sides=2), "reporting_period")]
+    for a, b in zip(whole, cut):
+        assert a.keys() == b.keys() and a
+        for k in a:
+            assert {x: v for x, v in a[k].asDict().items() if x not in lists} == {x: v for x, v in b[k].asDict().items() if x not in lists}
+    for k, r in whole[0].items():
+        assert cut[0][k].record_ids == r.record_ids[:3] and len(cut[0][k].document_ids) <= 3 and set(cut[0][k].document_ids) <= set(r.document_ids)
+    for k, r in whole[1].items():
+        assert [(p.value, p.record_ids) for p in cut[1][k].points] == [(p.value, p.record_ids[:3]) for p in r.points]
+    for k, r in whole[2].items():
+        assert [(s.entity, s.value, s.record_ids) for s in cut[2][k].sides] == [(s.entity, s.value, s.record_ids[:3]) for s in r.sides[:2]]
+
+
 def test_exclusions(spark):
     r = records(spark, {"entity": "Mine B", "value_raw": "1O5", "normalized_value": None}, {"value_raw": "100"}, {"entity": "C", "validation_status": "error"}, {"entity": "D", "validation_status": "review_required"})
     assert {(x.record_id, x.reason) for x in A.exclusions(A.classify(r)).collect()} == {(1, A.NOT_NUMERIC), (3, A.STATUS), (4, A.STATUS)}
