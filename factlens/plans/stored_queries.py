@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as N
 from ..operators import analytics as A, conflicts as C, dashboard as D, embed, evidence as E, insights as I, records as R, report, search as S, text as T, units as U, validate as V
 from ..sources import adapters as IN, extract as X, lifecycle as L, tables
 from ..sources.store import Store
-from .queries import BASE, BINS, CONF, DEC, OUTCOMES, REC, SIDES, STATS, TOK, TREND, _classified, _config, _corpus, _d, _outcomes, _page_units, _scratch, query
+from . import analysis
+from .queries import BASE, BINS, CONF, DEC, OUTCOMES, REC, SAID, SIDES, STATS, TOK, TREND, _classified, _config, _corpus, _d, _outcomes, _page_units, _scratch, query
 
 # --- stored tables -----------------------------------------------------------------------------------------------------
 
@@ -285,19 +288,44 @@ flag AS (SELECT *, bad OR EXISTS (SELECT 1 FROM conf c WHERE c.metric = agg.metr
 out_ AS (SELECT DISTINCT entity, metric, unit FROM cls LEFT JOIN cell USING (entity, metric, unit, reporting_period) WHERE reason IS NOT NULL OR lo <> hi)"""
 
 
-@query(f"""WITH x AS ({ANALYSIS}
-SELECT 'kpi_summary' AS section, status, count(*) * 4 AS n FROM (SELECT CASE WHEN review THEN 'REVIEW REQUIRED' ELSE 'OK' END AS status FROM flag) GROUP BY status
-UNION ALL SELECT 'trends', status, count(*) FROM (SELECT CASE WHEN o.entity IS NOT NULL THEN 'REVIEW REQUIRED' ELSE 'OK' END AS status FROM t LEFT JOIN out_ o ON o.entity = t.entity AND o.metric = t.metric AND o.unit = t.unit) GROUP BY status
-UNION ALL SELECT 'comparisons', status, sum(k) FROM (SELECT CASE WHEN n_valued < n_entities THEN 'REVIEW REQUIRED' ELSE 'OK' END AS status, n_entities + (difference IS NOT NULL)::INT AS k FROM comp) GROUP BY status)
-SELECT section, status, n::BIGINT AS n FROM x""")
+SCALED = "({} * 10000000000)::HUGEINT"
+#: A quotient of whole numbers with six decimals, half away from zero, as plain text.
+SIX = DEC.format("(sign({0}) * ((2 * abs({0}) + abs({1})) // (2 * abs({1}))))::DECIMAL(28,0) * 0.000001::DECIMAL(7,6)")
+SECTION_STATUS = "CASE WHEN {} THEN 'REVIEW REQUIRED' ELSE 'OK' END AS status"
+
+
+@query(f"""{ANALYSIS}, {SAID},
+value AS (SELECT metric, unit, reporting_period, review, unnest(['Total', 'Average', 'Min', 'Max']) AS kpi,
+  unnest([{DEC.format("total")}, {SIX.format(SCALED.format("total") + " // 10000", "cells")}, {DEC.format("lowest")}, {DEC.format("highest")}]) AS v FROM flag),
+said_of AS (SELECT entity, metric, unit, reporting_period || ': ' || {DEC.format("lo")} AS line FROM cell WHERE lo = hi UNION ALL SELECT entity, metric, unit, gap || ': no record' FROM gaps),
+lines AS (SELECT entity, metric, unit, string_agg(line, chr(10) ORDER BY line) AS body FROM said_of GROUP BY ALL),
+moved AS (SELECT *, CASE WHEN n < 2 THEN 'n/a' WHEN a = 0 THEN {DEC.format("b - a")} || ' (no percentage from a base of 0)'
+  ELSE {DEC.format("b - a")} || ' (' || {SIX.format("(" + SCALED.format("(b - a)") + " * 100000000)", SCALED.format("a"))} || '%)' END AS change FROM t),
+drawn AS (SELECT 'line/' || metric || '/' || unit AS chart, entity AS series, lo::DOUBLE AS y FROM cell WHERE lo = hi UNION ALL SELECT 'line/' || metric || '/' || unit, entity, NULL FROM gaps
+  UNION ALL SELECT 'bins/' || metric || '/' || unit, 'count', n::DOUBLE FROM bars UNION ALL SELECT 'compare/' || metric || '/' || unit, reporting_period, v::DOUBLE FROM sides JOIN comp USING (metric, unit, reporting_period))
+SELECT 'kpi_summary' AS section, kpi || ' ' || metric || ' ' || reporting_period AS head, v AS body, unit, {SECTION_STATUS.format("review")} FROM value
+UNION ALL (SELECT 'insights', kind, message, NULL, NULL FROM named ORDER BY kind_rank, message LIMIT 60)
+UNION ALL SELECT 'trends', m.entity || ' — ' || m.metric || ' — ' || m.unit, l.body || chr(10) || 'change: ' || change, NULL, {SECTION_STATUS.format("o.entity IS NOT NULL")}
+  FROM moved m JOIN lines l ON l.entity = m.entity AND l.metric = m.metric AND l.unit = m.unit LEFT JOIN out_ o ON o.entity = m.entity AND o.metric = m.metric AND o.unit = m.unit
+UNION ALL SELECT 'comparisons', metric || ' ' || reporting_period || ' ' || entity, coalesce({DEC.format("v")}, 'no verified value'), unit, {SECTION_STATUS.format("n_valued < n_entities")} FROM sides JOIN comp USING (metric, unit, reporting_period)
+UNION ALL SELECT 'comparisons', metric || ' ' || reporting_period || ' difference of verified values', {DEC.format("difference")}, unit, {SECTION_STATUS.format("n_valued < n_entities")} FROM comp WHERE difference IS NOT NULL
+UNION ALL SELECT 'charts', chart || ' ' || series, count(*) || ' points, ' || count(*) FILTER (y IS NULL) || ' gaps', NULL, NULL FROM drawn GROUP BY chart, series""")
 def analytic_sections(spark, sf_dir):
+    """The whole contents of the five sections."""
     rows = IN.records_from_orders(spark, sf_dir)
-    tables_ = report.analytic_sections(report.analysis(rows, A.classify(rows)))
-    out = None
-    for name in ("kpi_summary", "trends", "comparisons"):
-        part = tables_[name].groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "status", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    with analysis.analyze(rows) as tables_:
+        made = report.analytic_sections(tables_)
+        none = F.lit(None).cast("string")
+        parts = [
+            made["kpi_summary"].select(F.lit("kpi_summary").alias("section"), F.col("indicator").alias("head"), F.col("value").alias("body"), "unit", "status"),
+            made["insights"].select(F.lit("insights").alias("section"), F.col("kind").alias("head"), F.col("message").alias("body"), none.alias("unit"), none.alias("status")),
+            made["trends"].select(F.lit("trends").alias("section"), F.col("headline").alias("head"), F.array_join("lines", "\n").alias("body"), none.alias("unit"), "status"),
+            made["comparisons"].select(F.lit("comparisons").alias("section"), F.concat_ws(" ", "metric", "reporting_period", "entity").alias("head"), F.col("value").alias("body"), "unit", "status"),
+            made["charts"].select(F.lit("charts").alias("section"), F.concat_ws(" ", "chart", "series").alias("head"), F.format_string("%d points, %d gaps", "points", "gaps").alias("body"), none.alias("unit"), none.alias("status")),
+        ]
+        place = f"{_scratch(spark)}/sections"
+        reduce(DataFrame.unionByName, parts).write.parquet(place)
+    return spark.read.parquet(place)
 
 
 @query(f"""{ANALYSIS} SELECT 'line/' || metric || '/' || unit AS chart, entity AS series, CASE WHEN o.entity IS NOT NULL THEN 'review_required' ELSE 'ok' END AS status, CASE WHEN o.entity IS NOT NULL THEN 'excluded values are not drawn' END AS note
