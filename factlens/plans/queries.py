@@ -182,12 +182,11 @@ def insights_top60(spark, sf_dir):
     return I.build(rows, C.detect(rows), A.trends(classified), A.comparisons(classified))
 
 
-@query(f"{BASE}, {TREND}, {SIDES}, {SAID} SELECT kind, count(*) AS n, md5(string_agg(message, chr(10) ORDER BY message)) AS said FROM named GROUP BY kind")
+@query(f"{BASE}, {TREND}, {SIDES}, {SAID} SELECT kind, message FROM named")
 def insights_all(spark, sf_dir):
     rows = IN.records_from_orders(spark, sf_dir)
     classified = A.classify(rows)
-    out = I.build(rows, C.detect(rows), A.trends(classified), A.comparisons(classified), top=None)
-    return out.groupBy("kind").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("message")), "\n")).alias("said"))
+    return I.build(rows, C.detect(rows), A.trends(classified), A.comparisons(classified), top=None).select("kind", "message")
 
 
 BINS = """b AS (SELECT metric, unit, min(value) AS lo, max(value) AS hi, ((max(value) - min(value)) / 5)::DECIMAL(38,10) AS w FROM cls WHERE reason IS NULL GROUP BY ALL),
