@@ -75,14 +75,31 @@ def recent_activity(spark, sf_dir):
     return D.recent_activity(trail).select("action", "audit_id")
 
 
-@query(f"""WITH {REC}, {CONF} SELECT 'detail' AS section, count(*) AS n FROM rec UNION ALL SELECT 'key_figures', count(*) FROM (SELECT DISTINCT entity, metric, reporting_period, unit FROM rec)
-UNION ALL SELECT 'sources', count(DISTINCT document_id) FROM rec UNION ALL SELECT 'validation_notes', count(DISTINCT validation_status) FROM rec UNION ALL SELECT 'summary', 1
-UNION ALL SELECT 'conflicts', count(*) FROM (SELECT DISTINCT entity, metric, reporting_period, unit, value_raw FROM rec JOIN conf USING (entity, metric, reporting_period, unit))""")
+SUMMARY_LINES = """c AS (SELECT count(*) AS n, count(DISTINCT document_id) AS d, count(*) FILTER (validation_status = 'warning') AS w, count(*) FILTER (validation_status = 'pending') AS p FROM rec),
+e AS (SELECT string_agg(entity, ', ' ORDER BY entity) AS names FROM (SELECT DISTINCT entity FROM rec ORDER BY entity LIMIT 20)),
+l AS (SELECT [n || ' records of ' || d || ' documents are selected; ' || n || ' have a value.', 'Entities: ' || names || '.', 'Metrics: order_total, priority_rank.',
+  'REVIEW REQUIRED: ' || (SELECT count(*) FROM conf) || ' keys have different values; all are listed, none was chosen.', w || ' records have a warning, an error or await review.',
+  p || ' records are not validated yet.', 'The listing is PARTIAL: it shows the first 100 records in order.'] AS l FROM c, e)"""
+
+
+@query(f"""WITH {REC}, {CONF}, {SUMMARY_LINES}, named AS (SELECT *, entity || '|' || metric || '|' || reporting_period || '|' || unit AS key FROM rec)
+SELECT 'detail' AS section, record_id::VARCHAR AS key, value_raw || ' ' || unit AS said FROM rec
+UNION ALL SELECT 'key_figures', key, count(*)::VARCHAR FROM named GROUP BY key
+UNION ALL SELECT 'sources', document_id::VARCHAR, count(*)::VARCHAR FROM rec GROUP BY document_id
+UNION ALL SELECT 'validation_notes', validation_status, count(*)::VARCHAR FROM rec GROUP BY validation_status
+UNION ALL SELECT 'summary', 'records', count(*)::VARCHAR FROM rec
+UNION ALL SELECT 'conflicts', key || '|' || value_raw, min(record_id)::VARCHAR FROM named JOIN conf USING (entity, metric, reporting_period, unit) GROUP BY key, value_raw
+UNION ALL SELECT 'executive_summary', i::VARCHAR, l[i + 1] FROM l, generate_series(0, 5) AS g(i)""")
 def json_sink(spark, sf_dir):
+    # Every line of every section is read again from the JSON that was written.
     path = f"{_scratch(spark)}/report"
-    sections = report.sections(IN.records_from_orders(spark, sf_dir), IN.documents(spark, sf_dir))
-    report.write_json({k: v for k, v in sections.items() if k != "executive_summary"}, path)
-    return spark.read.text(path).groupBy("section").agg(F.count("*").alias("n"))
+    report.write_json(report.sections(IN.records_from_orders(spark, sf_dir), IN.documents(spark, sf_dir)), path)
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    named = F.concat_ws("|", *[field(c) for c in ("entity", "metric", "reporting_period", "unit", "value_raw")])
+    keys = {"detail": field("record_id"), "sources": field("document_id"), "validation_notes": field("validation_status"), "summary": F.lit("records"), "executive_summary": field("n")}
+    said = {"detail": field("value_text"), "key_figures": field("n"), "sources": field("n_records"), "validation_notes": field("n"), "summary": field("records"), "conflicts": field("first_record_id"), "executive_summary": field("line")}
+    of = lambda parts: F.coalesce(*[F.when(F.col("section") == name, c) for name, c in parts.items()])
+    return spark.read.text(path).select("section", F.coalesce(of(keys), named).alias("key"), of(said).alias("said"))
 
 
 # --- extraction --------------------------------------------------------------------------------------------------------
@@ -272,11 +289,7 @@ def distinct_values(spark, sf_dir):
     return report.distinct_values(IN.records_from_orders(spark, sf_dir))
 
 
-@query(f"""WITH {REC}, {CONF}, c AS (SELECT count(*) AS n, count(DISTINCT document_id) AS d, count(*) FILTER (validation_status = 'warning') AS w, count(*) FILTER (validation_status = 'pending') AS p FROM rec),
-e AS (SELECT string_agg(entity, ', ' ORDER BY entity) AS names FROM (SELECT DISTINCT entity FROM rec ORDER BY entity LIMIT 20)),
-l AS (SELECT [n || ' records of ' || d || ' documents are selected; ' || n || ' have a value.', 'Entities: ' || names || '.', 'Metrics: order_total, priority_rank.',
-  'REVIEW REQUIRED: ' || (SELECT count(*) FROM conf) || ' keys have different values; all are listed, none was chosen.', w || ' records have a warning, an error or await review.',
-  p || ' records are not validated yet.', 'The listing is PARTIAL: it shows the first 100 records in order.'] AS l FROM c, e)
+@query(f"""WITH {REC}, {CONF}, {SUMMARY_LINES}
 SELECT unnest(generate_series(0, 6))::INT AS n, unnest(l) AS line FROM l""")
 def executive_summary(spark, sf_dir):
     return report.executive_summary(IN.records_from_orders(spark, sf_dir), 100)
