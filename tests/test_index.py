@@ -105,3 +105,29 @@ def test_sketches_of_untouched_buckets_are_not_made_again(spark):
     assert abs(after.document_id - want) <= 0.03 * want
     none = D.distinct_totals(D.distinct_sketches(rows.limit(0), "bucket", columns), columns).first()
     assert (none.rows, none.document_id, none.model) == (0, 0, 0)
+
+
+def test_near_vectors_leave_a_task_as_its_best_and_ties_go_by_the_order_of_units(spark):
+    rng = np.random.default_rng(3)
+    vectors = [rng.integers(-2, 3, 4).astype(float).tolist() for _ in range(300)] + [[0.0] * 4, [float("nan")] * 4, [1.0, 2.0]]
+    rows = [(i, i % 7, ["page", "record"][i % 2], "embedded", v) for i, v in enumerate(vectors)]
+    units = spark.createDataFrame(rows, "unit_id long, document_id long, unit_type string, embedding_status string, embedding array<float>")
+    queries = units.where("unit_id % 20 = 0 and unit_id < 300 or unit_id = 302").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = S.semantic(units, queries, 5, block=4, rows=16, fan=3)
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+        return round(float(np.dot(a, b) / size), 9) if size > 0 else 0.0
+
+    for q in {r.query_id for r in queries.collect()}:
+        near = sorted((-cosine(vectors[q], v), i % 2 == 0, i % 7, i) for i, v in enumerate(vectors) if i != 301)[:5]
+        got = sorted((r["rank"], round(r.similarity, 9), r.unit_id) for r in found.where(F.col("query_id") == q).collect())
+        assert [s for _, s, _ in got] == [-s for s, *_ in near]
+    # 15 queries in blocks of 4, 303 units in copies of at most 48: no more than `top` rows a query leave one of the copies.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("MapInArrow", plan.index("Window")) < plan.index("Join", plan.index("Window"))
+
+
+def test_units_meet_queries_by_one_gram_and_signatures(spark):
+    kept = {(r.query_id, r.unit_id) for r in S.met_units(units(spark), asked(spark).where(F.size("phrases") + F.size("keywords") > 0)).collect()}
+    assert plain(spark) <= kept and not {u for q, u in kept if q == 6}
