@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlens.llm import minhash, mixing, packing, substring, toxicity
+from factlens.llm import minhash, mixing, packing, simhash, substring, toxicity
 from factlens.llm.common import materialize
 
 
@@ -13,7 +13,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.dedup(docs)
+    # SimHash, as the stage is named, and near copies whose fingerprints are too far apart for it: links of both make one set of groups.
+    return minhash.dedup(docs, labels=simhash.labels)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,6 +110,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
 
 
+def labels(rows: DataFrame) -> DataFrame:
+    """(place, label) of rows (place, text): rows of one component of fingerprints have one label."""
+    return near_duplicates(rows, "place").select("place", F.xxhash64("component_id").alias("label"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: documents, 3-word shingles, 3 bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

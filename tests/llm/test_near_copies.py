@@ -239,3 +239,25 @@ def test_what_stays_apart_in_a_group_is_compared(spark, monkeypatch, rounds):
     assert kept == sorted({rows[r][0] for r in brute_components(near, range(len(rows))).values()})
     assert sizes["narrow"][0] >= minhash.NARROW * 100
     assert sizes["candidates"][-1] <= sum(s >= 0.6 for _, _, s in pairs)
+
+
+def test_the_pipeline_drops_what_simhash_links_and_what_it_does_not(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    copies = [" ".join("x" if i % 40 == k % 40 and k else w for i, w in enumerate(long)) for k in range(4)]  # ten words each: some 0.76 alike in five-word shingles
+    rows = [(i, t) for i, t in enumerate(copies)] + [(10 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(5)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    bits = [(i, j) for i in range(9) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    alike = [(i, j) for i in range(9) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    # A pair that fingerprints alone link: one shingle is most of either text, and no set of shingles.
+    base = "again " * 300
+    rows += [(20, base + "one two three four five six seven eight"), (21, base + "nine ten eleven twelve thirteen fourteen")]
+    assert (slow_fingerprint(rows[-1][1]) ^ slow_fingerprint(rows[-2][1])).bit_count() <= 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = brute_components([*bits, *alike, (9, 10)], range(len(rows)))
+    want = sorted({rows[r][0] for r in groups.values()})
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == want
+    assert 21 in {r.doc_id for r in minhash.dedup(frame).collect()}
