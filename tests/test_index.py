@@ -131,3 +131,14 @@ def test_near_vectors_leave_a_task_as_its_best_and_ties_go_by_the_order_of_units
 def test_units_meet_queries_by_one_gram_and_signatures(spark):
     kept = {(r.query_id, r.unit_id) for r in S.met_units(units(spark), asked(spark).where(F.size("phrases") + F.size("keywords") > 0)).collect()}
     assert plain(spark) <= kept and not {u for q, u in kept if q == 6}
+
+
+def test_slices_of_sketches_are_keys_of_their_own(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 7, "page", "embedded", rng.standard_normal(8).tolist()) for i in range(200)]
+    units = spark.createDataFrame(rows, "unit_id long, document_id long, unit_type string, embedding_status string, embedding array<double>")
+    queries = units.where("unit_id < 20").select(F.col("unit_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = S.semantic_approximate(units, queries, S.sketches(units), 5, candidates=200, block=7, share=30)
+    exact = S.semantic(units, queries, 5)
+    pairs = lambda df: sorted((r.query_id, r["rank"], r.unit_id) for r in df.collect())
+    assert pairs(found) == pairs(exact)
