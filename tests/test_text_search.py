@@ -168,3 +168,16 @@ def test_top_lists_only(spark, corpus):
     many = spark.range(2000).selectExpr("cast(id as string) as term")
     with pytest.raises(ValueError):
         T.cooccurrence(corpus, many)
+
+
+def test_counts_sum_up_no_table_of_a_split(spark):
+    rows = [(1, 1, "b a b"), (2, 1, "b c"), (3, 2, "a a"), (4, None, "a"), (5, None, "c"), (6, 3, ""), (7, 3, None)]
+    units = spark.createDataFrame(rows, "unit_id int, document_id int, content string").withColumn("words", F.filter(F.split("content", " "), lambda w: w != ""))
+    got = T.counts(units, F.col("words"))
+    assert sorted(map(tuple, got.collect())) == [("a", 4, 3), ("b", 3, 1), ("c", 2, 2)]
+    by = T.counts(units, F.col("words"), by=("document_id",)).where("document_id = 1")
+    assert sorted(map(tuple, by.collect())) == [(1, "a", 1, 1), (1, "b", 3, 1), (1, "c", 1, 1)]
+    # What is read and split goes to the exchange as it comes: an aggregate before it would hold all terms of all documents of its split.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.rindex("Exchange hashpartitioning(term") :]
+    assert "Generate" in before and "HashAggregate" not in before
