@@ -109,16 +109,24 @@ def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int,
 _TOKENIZERS: dict = {}
 #: What the pre-tokenizer may take for white space; every run of it starts a new chunk of a text.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: Marks before which a word ends: the pre-tokenizer never makes a token of a letter or digit and one of these.
+MARKS = ".,;:!?"
+#: Letters and digits of which any version of Unicode says so.
+WORD_CHARS = r"A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+CHUNK = re.compile(f"[{SPACES}]*+(?:[{WORD_CHARS}]++(?:(?=[{MARKS}])|[^{SPACES}]*+)|[^{SPACES}]++)|[{SPACES}]++")
+#: Chunks of which one string is made to encode them.
+JOINED = 256
 
 
 class _Tokenizer:
     """Token ids of whole texts by the tokenizers library, as bytes of little-endian unsigned 32-bit numbers.
 
-    A byte-level pre-tokenizer never makes a token of something and white space behind it, so the ids of a text are those of its
-    chunks: white space and what follows up to the next one. The ids of short chunks are kept up to a bound, since words repeat,
-    and tokenizers encodes what is new of a batch at once. With another pre-tokenizer, or one that sees more than a chunk, whole
-    texts are encoded. Strings of special tokens are read as that file has it.
+    A byte-level pre-tokenizer never makes a token of something and white space behind it, nor of a word and a mark behind it, so the
+    ids of a text are those of its chunks: white space and what follows up to the next one, without a word's marks, which are a chunk
+    with what is behind them. The ids of short chunks are kept up to a bound, since words repeat, and tokenizers encodes what is new of
+    a batch at once: in strings of many chunks where each begins with white space, whose ids are told apart by the bytes that they stand
+    for. With another pre-tokenizer, or one that sees more than a chunk, whole texts are encoded. Strings of special tokens are read as
+    that file has it.
     """
 
     def __init__(self, path: str, keep: int = 800_000, longest: int = 48) -> None:
@@ -128,9 +136,9 @@ class _Tokenizer:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
-        special = [t for t in spec.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or t["single_word"] or CHUNK.fullmatch(t["content"]) is None or t["content"][:1].isspace()]
-        self.by_chunk = plain and not special
-        self.model, self.known, self.keep, self.longest = Tokenizer.from_file(path), {}, keep, longest
+        special = [t for t in spec.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or t["single_word"] or CHUNK.fullmatch(t["content"]) is None or t["content"][:1].isspace() or set(MARKS) & set(t["content"])]
+        self.by_chunk = plain and not special and not spec.get("truncation") and not spec.get("padding")
+        self.model, self.known, self.keep, self.longest, self.lengths = Tokenizer.from_file(path), {}, keep, longest, None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         ids = [array("I", e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -139,17 +147,48 @@ class _Tokenizer:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
+    def _lengths(self) -> np.ndarray:
+        """How many bytes each id stands for: a byte-level token has a character for each of its bytes, an added one is written as it is."""
+        if self.lengths is None:
+            vocabulary, added = self.model.get_vocab(with_added_tokens=True), self.model.get_added_tokens_decoder()
+            self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.lengths[i] = len(token.encode()) if i in added else len(token)
+        return self.lengths
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk."""
+        joint = [c for c in chunks if c[0].isspace() and not c[-1].isspace()]
+        found: dict[str, bytes] = {}
+        groups = [joint[i : i + JOINED] for i in range(0, len(joint), JOINED)]
+        lengths = self._lengths()
+        for group, ids in zip(groups, self._ids(["".join(g) for g in groups])):
+            ends = np.cumsum(lengths[np.frombuffer(ids, "<u4")])
+            want = np.cumsum([len(c.encode()) for c in group])
+            at = np.searchsorted(ends, want)
+            # Where the ids do not part as the chunks do, the chunks are encoded one by one.
+            if at[-1] == len(ends) - 1 and (ends[at] == want).all():
+                cuts = [0, *(4 * (at + 1)).tolist()]
+                found.update(zip(group, (ids[x:y] for x, y in zip(cuts, cuts[1:]))))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._ids(rest)))
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_chunk:
             return self._ids([t or "" for t in texts])
         parts = [CHUNK.findall(t) if t else [] for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        now = dict(zip(new, self._ids(new)))
         known = self.known
-        room = self.keep - len(known)
-        if room > 0:
-            known.update(islice(((c, i) for c, i in now.items() if len(c) <= self.longest), room))
-        return [b"".join([known[c] if c in known else now[c] for c in p]) for p in parts]
+        now = self._new(list(set().union(*parts).difference(known)))
+        room = max(0, self.keep - len(known))
+        stays = set(islice((c for c in now if len(c) <= self.longest), room)) if room < len(now) else None
+        known.update(now)
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        # What there is no room for goes again.
+        for c in now:
+            if len(c) > self.longest or (stays is not None and c not in stays):
+                del known[c]
+        return out
 
 
 def _batches(texts: list[str | None], rows: int = 1000, chars: int = 4_000_000):

@@ -334,3 +334,16 @@ def test_a_time_that_spans_ranges(spark, first, monkeypatch):
     out = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(tagged, RECORDS)).collect()}
     assert seen == ["records"]
     assert {out[i].response_id for i in (20, 21, 22)} == {len(first) - 1} and out[30].response_id == 31
+
+
+def test_words_share_their_ids_whatever_mark_is_behind_them():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    model, ours = Tokenizer.from_file(path), packing._Tokenizer(path)
+    texts = ["Erin, saw Erin. But erin; saw  Erin!", "a.b don't, can't. 12,000.5: x2? Été, łódź. 中文, é. _a. a_, .., ,a ². ¹,", "\n\nErin,\n Erin  .x\t,", None, "", " ", "Erin.\n", "<|endoftext|>. a<|endoftext|>, \U0001f600. \u0000,"]
+    words = " ".join(f"{w}{m}" for i, m in enumerate(packing.MARKS) for w in ("Alpha", f"beta{i}", "über", "αβ", "'s", "x's"))
+    texts += [words, words.replace(" ", "\n"), words.replace(" ", "  ")]
+    for _ in range(2):
+        assert ours.encode(texts) == [np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert " Erin" in ours.known and " Erin." not in ours.known
