@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,26 @@ def _path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: What materialize() has written in each open passing().
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing():
+    """Within it materialize() writes what only passes: at its end all of it goes but the frames that were put into the list it gives."""
+    kept: list[DataFrame] = []
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield kept
+    finally:
+        _OPEN.remove(made)
+        stay = {getattr(df, "_llm_path", None) for df in kept}
+        for df in made:
+            if df._llm_path not in stay:
+                discard(df)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors. What discard() does not
     delete before goes when the driver ends."""
@@ -48,6 +69,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._llm_path = path
+    for made in _OPEN:
+        made.append(back)
     return back
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, encode, materialize, mix
+from .common import Rolling, encode, materialize, mix, passing
 from .components import components
 from .substring import _Words
 
@@ -205,26 +205,28 @@ def roots(frame: DataFrame, classes: DataFrame, words: int, similarity: float, r
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, labels: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents with one row kept of each group: the one of least id. A group is what links of the similarity connect;
     texts equal but for case and white space are in one group, and so are all texts without words. `labels` may link more: of the
-    rows (place, text) it gives (place, label), and rows of one label are linked as well."""
+    rows (place, text) it gives (place, label), and rows of one label are linked as well. What is written on the way goes before this returns."""
     frame = _rows(docs, id_col, text_col)
-    drawn = materialize(sketches(frame, words, bands, rows), "sketches")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")
-    classes = materialize(drawn.groupBy("key").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
-    rooted = classes.join(roots(frame, classes, words, similarity), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "least")
-    if labels is not None:
-        place = F.struct("id", "row_key").alias("place")
-        told = labels(frame.select(place, "text"))
-        known = drawn.select(place, "key").join(rooted.select("key", "root"), "key").join(told, "place").select("root", "label").distinct()
-        # Each label's roots as a star around the least of them.
-        known = materialize(known, "labels")
-        star = known.join(known.groupBy("label").agg(F.min("root").alias("hub")), "label").where("root != hub").select(F.col("root").alias("u"), F.col("hub").alias("v"))
-        joined = components(star).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        rooted = rooted.join(joined, "root", "left").select("key", F.coalesce("joined", "root").alias("root"), "least")
-    heads = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.row_key").alias("__row"))
-    heads = materialize(heads, "heads")
+    with passing() as kept:
+        drawn = materialize(sketches(frame, words, bands, rows), "sketches")
+        order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")
+        classes = materialize(drawn.groupBy("key").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+        rooted = classes.join(roots(frame, classes, words, similarity), "key", "left").select("key", F.coalesce("root", "key").alias("root"), "least")
+        if labels is not None:
+            place = F.struct("id", "row_key").alias("place")
+            told = labels(frame.select(place, "text"))
+            known = drawn.select(place, "key").join(rooted.select("key", "root"), "key").join(told, "place").select("root", "label").distinct()
+            # Each label's roots as a star around the least of them.
+            known = materialize(known, "labels")
+            star = known.join(known.groupBy("label").agg(F.min("root").alias("hub")), "label").where("root != hub").select(F.col("root").alias("u"), F.col("hub").alias("v"))
+            joined = components(star).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+            rooted = rooted.join(joined, "root", "left").select("key", F.coalesce("joined", "root").alias("root"), "least")
+        heads = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.row_key").alias("__row"))
+        heads = materialize(heads, "heads")
+        copies = drawn.groupBy("id", "row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("row_key").alias("__row"))
+        copies = materialize(copies, "copies")
+        kept += [heads, copies]
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__row"))
-    copies = drawn.groupBy("id", "row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("row_key").alias("__row"))
-    copies = materialize(copies, "copies")
     if copies.isEmpty():
         return docs.join(heads, same, "left_semi")
     # Rows that are equal in id and text: one of each stays, and only they are moved.

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from factlens.llm import minhash, simhash, substring
+from factlens.llm.common import shared_dir
 from factlens.llm.components import components
 
 DOCS = "doc_id long, text string, fp string, anchor int"  # extra columns whose names the operators use themselves
@@ -261,3 +263,12 @@ def test_the_pipeline_drops_what_simhash_links_and_what_it_does_not(spark):
     want = sorted({rows[r][0] for r in groups.values()})
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == want
     assert 21 in {r.doc_id for r in minhash.dedup(frame).collect()}
+
+
+def test_near_copies_leave_on_disk_only_what_their_result_reads(spark):
+    place = f"{shared_dir(spark)}/llm"
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "x y z")], "doc_id long, text string")
+    kept = minhash.dedup(docs, labels=simhash.labels)
+    assert {name.split("-")[0] for name in set(os.listdir(place)) - before} == {"heads", "copies"}
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
