@@ -6,7 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 DECIMAL = "decimal(38,10)"
 # Accepted date formats, tried in this order.
@@ -61,11 +61,24 @@ def normalize_value(c: Column) -> Column:
     return F.when(collapsed != "", F.when(collapsed.rlike(r"[^\x00-\x7F]"), _nfc(collapsed)).otherwise(collapsed))
 
 
+def normalize_values(c: Column) -> Column:
+    """normalize_value of each text of an array. One column goes to Python for all of them, and only those arrays that hold a text that is not ASCII;
+    `c` should be a column, which is used more than once."""
+    collapsed = F.transform(c, lambda v: F.nullif(F.trim(F.regexp_replace(v, r"(?U)\s+", " ")), F.lit("")))
+    foreign = F.exists(c, lambda v: F.coalesce(v.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return F.coalesce(_nfc_all(F.when(foreign, collapsed)), collapsed)
+
+
 @F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_all(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [None if t is None else unicodedata.normalize("NFC", t) for t in ts])
+
+
 def normalize_page_text(c: Column) -> Column:
     """NULs out, CRLF to LF, blanks collapsed, line ends stripped, one empty line at most."""
     out = F.regexp_replace(F.regexp_replace(c, "\x00", ""), "\r\n?", "\n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalars import blank_to_null, normalize_number, normalize_period, normalize_value, parse_number, record_type, slug
+from ..functions.scalars import blank_to_null, normalize_number, normalize_period, normalize_values, parse_number, record_type, slug
 
 # Header names by which a column is recognised, the first that is present wins.
 ALIASES = {
@@ -37,7 +37,11 @@ def from_rows(df: DataFrame, headers: Column, rows: Column, reference: Column, m
     for field, names in aliases.items():
         named = named.withColumn(f"__{field}", _column(F.col("__h"), names))
     cells = named.select(*[c for c in named.columns if c != "__h"], F.posexplode(rows).alias("__i", "__row"))
-    cell = lambda field: normalize_value(F.try_element_at("__row", F.col(f"__{field}").cast("int")))
+    cells = cells.withColumn("__cells", F.array(*[F.try_element_at("__row", F.col(f"__{field}").cast("int")) for field in aliases]))
+    # Rows without a value go first, by what is native: a filter on normalised cells would send them to Python twice. NFC leaves no text blank.
+    value = F.regexp_replace(F.get("__cells", list(aliases).index("value")), r"(?U)\s+", " ")
+    cells = cells.where(blank_to_null(value).isNotNull()).withColumn("__cells", normalize_values(F.col("__cells")))
+    cell = lambda field: F.get("__cells", list(aliases).index(field))
     out = cells.withColumns(
         {
             "entity": F.coalesce(cell("entity"), F.lit("UNKNOWN_ENTITY")), "value_raw": cell("value"), "unit": cell("unit"), "reporting_period": F.coalesce(normalize_period(cell("period")), cell("period")),
@@ -45,7 +49,7 @@ def from_rows(df: DataFrame, headers: Column, rows: Column, reference: Column, m
             "source_reference": F.concat("__reference", F.lit(", row "), (F.col("__i") + first_row).cast("string")),
         }
     )
-    return _finish(out.where(blank_to_null(F.col("value_raw")).isNotNull()))
+    return _finish(out)
 
 
 def from_grid(grids: DataFrame, prefix: str = "demo_", aliases: dict = ALIASES) -> DataFrame:

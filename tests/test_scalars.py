@@ -44,3 +44,15 @@ def test_ocr_summary(spark):
     a, b = [r[0] for r in boxes.select(S.ocr_summary(F.col("b"))).collect()]
     assert (a.confidence, a.low, a.review_required, a.text) == (0.7, 1, True, "a\nb")
     assert (b.confidence, b.review_required) == (None, True)
+
+
+def test_cells_go_to_python_in_one_column(spark):
+    from factlens.operators import records as R
+
+    rows = [[" Café  x ", "1 0", None, "2025"], ["Mine", " ", "t", "2025"], [" ", "5", "", "31/12/2024"], ["Pit", "7"]]
+    sections = spark.createDataFrame([(1, 2, [(1, ["Entity", "Quantity", "UOM", "Date"], rows)])], "document_id long, section_index int, tables array<struct<table_index: int, headers: array<string>, rows: array<array<string>>>>")
+    found = R.from_tables(sections)
+    got = sorted((r.entity, r.value_raw, r.unit, r.reporting_period) for r in found.collect())
+    assert got == [("Café x", "1 0", None, "2025"), ("Pit", "7", None, None), ("UNKNOWN_ENTITY", "5", None, "2024-12-31")]
+    python = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+    assert len(python) == 1 and python[0].split("], [")[0].count("_nfc") == 1
