@@ -1,13 +1,14 @@
 """Phrase collocations from a weighted de Bruijn graph of words.
 
 An edge is a run of `words` words (five) within a piece, its weight the number of its occurrences; its nodes are its first and its last
-four words. Where a piece ends, or goes on with a pair of words that cannot be frequent, the shorter runs that are left are kept as
+four words. Where a piece ends, or goes on to a run of words that cannot be frequent, the shorter runs that are left are kept as
 corrections. So every place of the corpus adds one row, an edge or a correction, and the count of a shorter phrase is the flow through its
 node: the weights of all edges that begin with it, and its corrections. Counts are derived from the longest runs down, a length at a time.
 
-Which pairs cannot be frequent is known from one table of hashed counts of fixed size: words and pairs of neighbours are counted by bucket,
-and a bucket below the least count holds no frequent one. The filter saves rows and never changes a count: a phrase that occurs often has no
-rare pair inside. Only its bits reach the driver (2 MB for 2**24 buckets, whatever the corpus holds).
+Which runs cannot be frequent is known from two tables of hashed counts of fixed size: words and pairs are counted by bucket, then the longer runs
+whose pairs may be frequent, and a bucket below the least count holds no frequent one. The filter saves rows and never changes a count: a phrase
+that occurs often has no rare run inside. Each task hands on its table in blocks of counts, which are summed block by block. Only its bits
+reach the driver (2 MB for 2**24 buckets, whatever the corpus holds).
 
 A phrase whose whole flow goes through one extension stands inside a unary path: paths are compacted, and it is dropped for the longer one.
 `paths` follows unary nodes over any distance and returns the passages that they spell.
@@ -18,7 +19,9 @@ table gives an empty result. Columns other than text and language are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import discard, encode, materialize, mix
 
 #: Text is read in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK = 2 << 20
-#: Different grams that a task sums up before it hands them on.
-HELD = 400_000
+CHUNK = 1 << 20
+#: Different grams that a task sums up before it hands them on; a chunk may add as many as it has places.
+HELD = 300_000
 #: ASCII capitals to small letters, what ends a piece to a line end, the tab to a blank.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 SALTS = 8
+#: Buckets of a block of a filter's table.
+BLOCK = 4096
 
 
 class _Chunk:
@@ -52,14 +57,28 @@ class _Chunk:
         some = kind[code] != 0
         self.lang, self.code = lang[some], np.where(kind[code] < 0, -1, code)[some]
 
-    def buckets(self, names: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place the bucket of its word and that of its word and the next one; of no meaning where a piece ends."""
+    def buckets(self, names: list[str], bits: int, words: int) -> list[np.ndarray]:
+        """For each place the buckets of its word, of its word and the next one, and so on; of no meaning where a piece ends."""
         shift = np.uint64(64 - bits)
         own = np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary] + [0], np.uint64)[self.code]
         seed = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in names], np.uint64)[self.lang]
-        word = mix(own ^ seed)
-        pair = mix(word * np.uint64(3) + np.r_[own[1:], own[:1]])
-        return (word >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+        runs = [mix(own ^ seed)]
+        for k in range(1, words):
+            runs.append(mix(runs[-1] * np.uint64(3) + np.r_[own[k:], own[:k]]))
+        return [(run >> shift).astype(np.int64) for run in runs]
+
+
+def _both(at: np.ndarray) -> np.ndarray:
+    """Places that are marked as the next one is."""
+    return at & np.r_[at[1:], False]
+
+
+def _alive(chunk: _Chunk, buckets: list[np.ndarray], often: list[np.ndarray]) -> list[np.ndarray]:
+    """For 1, 2, ... words the places where a run of so many begins that may be frequent, as all runs inside it may."""
+    out: list[np.ndarray] = []
+    for bucket, table in zip(buckets, often):
+        out.append((_both(out[-1]) if out else chunk.code >= 0) & table[bucket])
+    return out
 
 
 def _chunks(batches):
@@ -77,26 +96,44 @@ def _chunks(batches):
             yield _Chunk(texts, langs), list(names)
 
 
-def _filter(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """One bit a bucket: whether it holds `least` words and pairs."""
+def _often(filters: list, words: int, bits: int) -> list[np.ndarray]:
+    """The tables of the runs of 1, 2, ... words, as marks: the first filter is that of words and pairs, the second that of longer runs."""
+    tables = [np.unpackbits(f.value, bitorder="little")[: 1 << bits].view(bool) for f in filters]
+    return [tables[k > 2] for k in range(1, words + 1)]
+
+
+def _filter(texts: DataFrame, least: int, bits: int, lengths: range, before: list) -> np.ndarray:
+    """One bit a bucket: whether it holds `least` runs of the lengths. With the filter of words and pairs before it, runs without a rare one are counted."""
+    kind = np.min_scalar_type(least)
 
     def count(batches):
         table = np.zeros(1 << bits, np.int32)
+        often = _often(before, lengths[0] - 1, bits)
         for chunk, names in _chunks(batches):
-            word, pair = chunk.buckets(names, bits)
-            here = chunk.code >= 0
-            np.add.at(table, word[here], 1)
-            np.add.at(table, pair[here & np.r_[here[1:], False]], 1)
-        for at in range(0, len(table), 100_000):
-            some = np.flatnonzero(table[at : at + 100_000]) + at
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(table[some].astype(np.int64))], ["bucket", "n"])
-
-    often = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("bucket") + 1  # blocks are numbered from 1, for positions from 1
-    blocks = often.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros(max(1, (1 << bits) >> 15) << 12, np.uint8)
-    for block, held in blocks.collect():
-        out[(block - 1) << 12 : block << 12] = np.frombuffer(bytes(held), np.uint8)
+            buckets = chunk.buckets(names, bits, lengths[-1])
+            at = _alive(chunk, buckets, often)[-1] if often else chunk.code >= 0
+            for k in lengths:
+                at = _both(at) if k > 1 else at
+                np.add.at(table, buckets[k - 1][at], 1)
+        counts = np.minimum(table, least).astype(kind).reshape(-1, min(BLOCK, len(table)))  # more than `least` in a task is enough
+        some = np.flatnonzero(counts.any(1))
+        for start in range(0, len(some), 256):
+            part = some[start : start + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([counts[i].tobytes() for i in part], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(min(BLOCK, 1 << bits), np.int64)
+        for b in batches:
+            block = b.column("block")[0].as_py()
+            for counts in b.column("counts").to_pylist():
+                total += np.frombuffer(counts, kind)
+        held = np.packbits(total >= least, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([held], pa.binary())], ["block", "bits"])
+
+    size = min(BLOCK, 1 << bits) // 8 or 1
+    out = np.zeros(max(1, (1 << bits) // BLOCK) * size, np.uint8)
+    for block, held in texts.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, bits binary").collect():
+        out[block * size : (block + 1) * size] = np.frombuffer(bytes(held), np.uint8)
     return out
 
 
@@ -105,46 +142,47 @@ def graph(docs: DataFrame, least: int = 100, words: int = 5, bits: int = 24, lan
     phrases that occur `least` times; what holds a word or a pair that cannot is left out. Stored in the shared folder."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     texts = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where("text is not null")
-    keep = texts.sparkSession.sparkContext.broadcast(_filter(texts, least, bits))  # 2**bits bits
+    filters: list = []
+    for lengths in (range(1, min(words, 2) + 1), range(3, words + 1)):
+        if lengths:
+            filters.append(texts.sparkSession.sparkContext.broadcast(_filter(texts, least, bits, lengths, list(filters))))  # 2**bits bits
 
     def grams(batches):
-        often = np.unpackbits(keep.value, bitorder="little")[: 1 << bits].astype(bool)
-        held: dict[tuple[str, bytes], int] = {}
+        often = _often(filters, words, bits)
+        held: dict[str, dict[bytes, int]] = {}
 
         def handed():
-            rows = [(lang, gram.count(b" ") + 1 if gram else 0, gram, n) for (lang, gram), n in held.items()]
+            for lang, sums in held.items():
+                rows = iter(sums.items())
+                while some := list(islice(rows, 50_000)):
+                    gram, n = zip(*some)
+                    k = [g.count(b" ") + 1 if g else 0 for g in gram]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(gram, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "k", "gram", "n"])
             held.clear()
-            for at in range(0, len(rows), 50_000):
-                lang, k, gram, n = zip(*rows[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(k, pa.int32()), pa.array(gram, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "k", "gram", "n"])
 
         for chunk, names in _chunks(batches):
-            word, pair = chunk.buckets(names, bits)
             code, lang, size = chunk.code, chunk.lang, len(chunk.vocabulary) + 1
-            here = code >= 0
-            alive = here & often[word]
-            on = alive & np.r_[alive[1:], False] & often[pair]
-            at = np.flatnonzero(alive)
-            key, going = lang[at] * size + code[at] + 1, np.ones(len(at), bool)
+            alive = _alive(chunk, chunk.buckets(names, bits, words), often)
+            at = np.flatnonzero(alive[0])
+            key = lang[at] * size + code[at] + 1
             # A run and its beginnings get numbers, one word after the other.
             parts, number = np.unique(key, return_inverse=True)
             known = [(parts // size, parts % size)]
             for j in range(1, words):
-                going = going & on[np.minimum(at + j - 1, len(on) - 1)]
-                step = np.where(going, code[np.minimum(at + j, len(code) - 1)] + 1, 0)
+                step = np.where(alive[j][at], code[np.minimum(at + j, len(code) - 1)] + 1, 0)
                 parts, number = np.unique(number * size + step, return_inverse=True)
                 known.append((parts // size, parts % size))
             columns, row = [], np.arange(len(parts))
             for above, step in reversed(known):
                 columns.append(step[row].tolist())
                 row = above[row]
-            vocabulary = [b"", *chunk.vocabulary]
+            vocabulary, sums = [b"", *chunk.vocabulary], [held.setdefault(name, {}) for name in names]
             for of, n, gram in zip(row.tolist(), np.bincount(number, minlength=len(parts)).tolist(), zip(*reversed(columns))):
-                seen = names[of], b" ".join([vocabulary[c] for c in gram if c])
-                held[seen] = held.get(seen, 0) + n
-            for of, n in enumerate(np.bincount(lang[here], minlength=len(names)).tolist()):
-                held[names[of], b""] = held.get((names[of], b""), 0) + n
-            if len(held) > HELD:
+                seen = b" ".join([vocabulary[c] for c in gram if c])
+                sums[of][seen] = sums[of].get(seen, 0) + n
+            for of, n in enumerate(np.bincount(lang[code >= 0], minlength=len(names)).tolist()):
+                sums[of][b""] = sums[of].get(b"", 0) + n
+            if sum(map(len, held.values())) > HELD:
                 yield from handed()
         yield from handed()
 

@@ -65,6 +65,19 @@ def test_a_small_filter_and_a_hot_phrase_change_nothing(spark, monkeypatch):
     assert want
 
 
+def test_runs_of_frequent_pairs_that_are_rare_themselves_are_no_rows_of_their_own(spark):
+    # Every pair of neighbours occurs often, hardly any triple: what is handed on is cut where a run can't be frequent.
+    rows = [(" ".join(f"w{(i * 7 + j * j * (i + 3)) % 11}" for j in range(40)), "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    pairs = Counter(p for text, _ in rows for p in zip(text.split(), text.split()[1:]))
+    longer = {k: Counter(p for text, _ in rows for p in zip(*[text.split()[i:] for i in range(k)])) for k in (3, 4, 5)}
+    least = min(pairs.values())
+    made = [(r["k"], tuple(r["gram"].split())) for r in phrases.graph(docs, least, bits=20).where("k > 2").collect()]
+    assert least >= 20 and sum(n < least for n in longer[5].values()) > 50
+    assert all(longer[k][gram] >= least for k, gram in made)
+    assert run(spark, rows, least=least, bits=20) == plain(rows, least)
+
+
 def test_empty_tables_have_no_phrases(spark):
     assert run(spark, [], bits=8) == []
     assert run(spark, [(None, None), ("...", "en")], bits=8) == []
