@@ -40,6 +40,8 @@ TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abc
 SALTS = 8
 #: Buckets of a block of a filter's table.
 BLOCK = 4096
+#: Tasks for each core that read the texts; one reads several splits, one after the other, in the same memory.
+TASKS = 2
 
 
 class _Chunk:
@@ -137,11 +139,18 @@ def _filter(texts: DataFrame, least: int, bits: int, lengths: range, before: lis
     return out
 
 
+def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """(text, lang), read by few tasks: each hands on every frequent run once and a table of counts, so with a task a split both would grow with
+    the splits times the frequent runs."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where("text is not null")
+    return texts.coalesce(TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def graph(docs: DataFrame, least: int = 100, words: int = 5, bits: int = 24, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, k, gram, n): edges (k = words) and corrections (k below) with their weights, and at k = 0 all words of a language. Exact for
     phrases that occur `least` times; what holds a word or a pair that cannot is left out. Stored in the shared folder."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where("text is not null")
+    texts = _texts(docs, lang_col, text_col)
     filters: list = []
     for lengths in (range(1, min(words, 2) + 1), range(3, words + 1)):
         if lengths:

@@ -78,6 +78,15 @@ def test_runs_of_frequent_pairs_that_are_rare_themselves_are_no_rows_of_their_ow
     assert run(spark, rows, least=least, bits=20) == plain(rows, least)
 
 
+def test_more_splits_hand_on_no_more_rows(spark):
+    # What a task hands on is summed over all its splits, so partial sums don't grow with splits times frequent runs.
+    rows = [(f"the same few words go on w{i % 3}", "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(60)
+    assert phrases._texts(docs, "lang", "text").rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    found = sorted(tuple(r) for r in phrases.collocations(docs, 20, bits=16).collect())
+    assert found == plain(rows, 20) and found
+
+
 def test_empty_tables_have_no_phrases(spark):
     assert run(spark, [], bits=8) == []
     assert run(spark, [(None, None), ("...", "en")], bits=8) == []
