@@ -59,6 +59,32 @@ def cells(classified: DataFrame, max_ids: int | None = None) -> DataFrame:
     return grouped.withColumn("agree", agree).withColumn("value", F.when(agree, F.col("lo"))).drop("lo", "hi")
 
 
+def cell_states(records: DataFrame, statuses: tuple[str, ...] = ELIGIBLE_STATUSES) -> DataFrame:
+    """(entity, metric, unit, reporting_period, n_values, n, agree, value): every cell of the records with the number of its raw values, as in conflicts,
+    and of its eligible records; agree is NULL where none is. What trends, comparisons and most of a histogram need, of one pass over the records without
+    classifying each: a conflict's key is a cell. Sums of numbers only, which Spark hashes, where least texts would be sorted."""
+    raw = F.when(F.trim("value_raw") != "", F.col("value_raw")).alias("raw")
+    value = F.when(F.col("validation_status").isin(*statuses), parse_numeric(F.col("normalized_value"))).alias("value")
+    each = records.select(*CELL, raw, value).groupBy(*CELL, "raw").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"))
+    cell = each.groupBy(*CELL).agg(F.count("raw").alias("n_values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    free = F.col("n_values") < 2
+    agree = F.when(free, F.col("lo") == F.col("hi"))
+    return cell.select(*CELL, "n_values", F.when(free, F.col("n")).otherwise(0).alias("n"), agree.alias("agree"), F.when(agree, F.col("lo")).alias("value"))
+
+
+def eligible_rows(records: DataFrame, cell: DataFrame, statuses: tuple[str, ...] = ELIGIBLE_STATUSES) -> DataFrame:
+    """(metric, unit, value, n, reason) of all eligible records, for `histogram`: agreeing cells with their number, and the records of the others. `cell` is
+    the stored result of cell_states; records are read again only if some cell does not agree."""
+    none = F.lit(None).cast("string").alias("reason")
+    out = cell.where("agree").select("metric", "unit", "value", "n", none)
+    apart = cell.where("not agree").select(*CELL)
+    if apart.isEmpty():
+        return out
+    value = F.when(F.col("validation_status").isin(*statuses), parse_numeric(F.col("normalized_value")))
+    rows = null_safe(records.select(*CELL, value.alias("value")).where("value is not null"), apart, CELL, "left_semi")
+    return out.unionByName(rows.select("metric", "unit", "value", F.lit(1).cast("long").alias("n"), none))
+
+
 def exclusions(classified: DataFrame, cell: DataFrame | None = None, repeated: bool = False) -> DataFrame:
     """(record_id, document_id, entity, metric, unit, reporting_period, reason), one row a record and reason. Record ids are taken to be
     unique; where they are not, `repeated` leaves one row of each id and reason, which shuffles all of them."""
@@ -119,47 +145,54 @@ def count_sources(records: DataFrame) -> DataFrame:
     return records.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kpi"), "record_id", "document_id")
 
 
-def trends(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None) -> DataFrame:
+def trends(classified: DataFrame | None, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None) -> DataFrame:
     """One row a series (entity, metric, unit) with agreeing points: first and last, changes, direction, missing periods.
 
     percent_change only from a base other than 0. Gaps are looked for if all points are years, or all months. review_required
     if any record of the series is excluded. NULL periods are no points, entities that are NULL no series. With max_ids a point has its first records.
+    Of cell_states alone (classified is None) there are no record ids and no review_required.
     """
     cell = cells(classified, max_ids) if cell is None else cell
     series = ("entity", "metric", "unit")
     points = cell.where("agree and reporting_period is not null and entity is not null")
-    kind = period_kind(F.col("reporting_period"))
-    grouped = points.groupBy(*series).agg(
-        F.min("reporting_period").alias("first_period"), F.max("reporting_period").alias("last_period"),
-        F.min_by("value", "reporting_period").alias("first_value"), F.max_by("value", "reporting_period").alias("last_value"), F.count("*").alias("n_points"),
-        F.array_sort(F.collect_list(F.struct("reporting_period", "value", "record_ids"))).alias("points"),
-        F.min(F.coalesce(kind, F.lit(""))).alias("k0"), F.max(F.coalesce(kind, F.lit(""))).alias("k1"),
+    held = [c for c in ("reporting_period", "value", "record_ids") if c in cell.columns]
+    # All is read from the sorted points: a period has one point.
+    grouped = points.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("points"))
+    first, last = F.get("points", F.lit(0)), F.element_at("points", -1)
+    kinds = F.array_distinct(F.transform("points", lambda p: F.coalesce(period_kind(p["reporting_period"]), F.lit(""))))
+    grouped = grouped.select(
+        *series, first["reporting_period"].alias("first_period"), last["reporting_period"].alias("last_period"),
+        first["value"].alias("first_value"), last["value"].alias("last_value"), F.size("points").cast("long").alias("n_points"), "points", kinds.alias("kinds"),
     )
     change = F.col("last_value") - F.col("first_value")
     wanted = period_sequence(F.col("first_period"), F.col("last_period"))
-    same = (F.col("k0") == F.col("k1")) & (F.col("k0") != "")
+    same = (F.size("kinds") == 1) & (F.get("kinds", F.lit(0)) != "")
     gaps = F.when(same, F.array_except(wanted, F.transform("points", lambda p: p["reporting_period"]))).otherwise(F.array().cast("array<string>"))
     out = grouped.withColumn("absolute_change", change)
     out = out.withColumn("percent_change", F.when(F.col("first_value") != 0, F.try_divide(change * 100, F.col("first_value")).cast("decimal(38,6)")))
-    out = out.withColumn("direction", F.when(F.col("n_points") < 2, "insufficient").when(change > 0, "increasing").when(change < 0, "decreasing").otherwise("unchanged")).withColumn("gaps", gaps)
-    # A record is excluded by its own reason or because its cell does not agree.
-    own = classified.where("reason is not null").select(*series)
-    excluded = own.unionByName(cell.where("not agree").select(*series)).distinct().withColumn("review_required", F.lit(True))
-    flagged = null_safe(out.drop("k0", "k1"), excluded, series).withColumn("review_required", F.coalesce("review_required", F.lit(False)))
-    return flagged.orderBy(*series).limit(top) if top else flagged
+    out = out.withColumn("direction", F.when(F.col("n_points") < 2, "insufficient").when(change > 0, "increasing").when(change < 0, "decreasing").otherwise("unchanged")).withColumn("gaps", gaps).drop("kinds")
+    if classified is not None:
+        # A record is excluded by its own reason or because its cell does not agree.
+        own = classified.where("reason is not null").select(*series)
+        excluded = own.unionByName(cell.where("not agree").select(*series)).distinct().withColumn("review_required", F.lit(True))
+        out = null_safe(out, excluded, series).withColumn("review_required", F.coalesce("review_required", F.lit(False)))
+    return out.orderBy(*series).limit(top) if top else out
 
 
-def comparisons(classified: DataFrame, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None, max_sides: int | None = None) -> DataFrame:
+def comparisons(classified: DataFrame | None, cell: DataFrame | None = None, top: int | None = None, max_ids: int | None = None, max_sides: int | None = None) -> DataFrame:
     """Entities side by side by (metric, unit, period), those with only excluded records with a NULL value; two entities at least. With max_ids a
-    side has its first records, with max_sides only the first entities are listed; counts and the difference are of all."""
+    side has its first records, with max_sides only the first entities are listed; counts and the difference are of all. Of cell_states alone
+    (classified is None) sides have no record ids."""
     cell = cells(classified, max_ids) if cell is None else cell
     key = ("metric", "unit", "reporting_period")
-    named = classified.where("entity is not null")
-    listed = cap_per_key(named, ["entity", *key], ["record_id"], max_ids) if max_ids else named
-    everyone = listed.groupBy("entity", *key).agg(F.sort_array(F.collect_set("record_id")).alias("record_ids"))
-    valued = cell.select(*CELL, "value")
-    side = null_safe(everyone, valued, ("entity", *key))
-    sides = F.array_sort(F.collect_list(F.struct("entity", "value", "record_ids"))).alias("sides")
+    if classified is None:
+        side = cell.where("entity is not null").select(*CELL, "value")
+    else:
+        named = classified.where("entity is not null")
+        listed = cap_per_key(named, ["entity", *key], ["record_id"], max_ids) if max_ids else named
+        everyone = listed.groupBy("entity", *key).agg(F.sort_array(F.collect_set("record_id")).alias("record_ids"))
+        side = null_safe(everyone, cell.select(*CELL, "value"), ("entity", *key))
+    sides = F.array_sort(F.collect_list(F.struct(*[c for c in ("entity", "value", "record_ids") if c in side.columns]))).alias("sides")
     grouped = side.groupBy(*key).agg(
         F.count("*").alias("n_entities"), F.count("value").alias("n_valued"), F.max("value").alias("hi"), F.min("value").alias("lo"), *([] if max_sides else [sides]),
     )
@@ -170,13 +203,14 @@ def comparisons(classified: DataFrame, cell: DataFrame | None = None, top: int |
 
 
 def histogram(classified: DataFrame, bins: int = 5, max_groups: int | None = None) -> DataFrame:
-    """(metric, unit, bin, low, high, n): equal-width bins over all eligible records, the last one closed, one bin if all are equal."""
-    rows = classified.where("reason is null").select("metric", "unit", "value")
+    """(metric, unit, bin, low, high, n): equal-width bins over all eligible records, the last one closed, one bin if all are equal. Where the rows
+    have an `n` they stand for so many records."""
+    rows = classified.where("reason is null").select("metric", "unit", "value", F.col("n") if "n" in classified.columns else F.lit(1).alias("n"))
     bounds = cap_groups(rows.groupBy("metric", "unit").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), ("metric", "unit"), (), max_groups)
     width = ((F.col("hi") - F.col("lo")) / bins).cast("decimal(38,10)")
     bounds = bounds.withColumn("width", width).withColumn("last", F.when(F.col("hi") > F.col("lo"), bins - 1).otherwise(0))
     place = F.when(F.col("last") == 0, 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / F.col("width")).cast("int"), F.col("last")))
-    counted = null_safe(rows, bounds, ("metric", "unit"), "inner").withColumn("bin", place).groupBy("metric", "unit", "bin").agg(F.count("*").alias("n"))
+    counted = null_safe(rows, bounds, ("metric", "unit"), "inner").withColumn("bin", place).groupBy("metric", "unit", "bin").agg(F.sum("n").alias("n"))
     frame = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("last"))))
     edge = lambda k: (F.col("lo") + F.col("width") * k).cast("decimal(38,10)")
     out = null_safe(frame, counted, ("metric", "unit", "bin"))

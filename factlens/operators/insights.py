@@ -50,8 +50,9 @@ def build(records: DataFrame, conflicts: DataFrame, trends: DataFrame, compariso
     return out.limit(top) if top else out
 
 
-def chart_points(trends: DataFrame, comparisons: DataFrame, histogram: DataFrame) -> DataFrame:
-    """One tidy table (chart, series, x, y): lines with NULL at gaps, bars of bins, bars of compared entities."""
+def chart_points(trends: DataFrame, comparisons: DataFrame, histogram: DataFrame, cell: DataFrame | None = None) -> DataFrame:
+    """One tidy table (chart, series, x, y): lines with NULL at gaps, bars of bins, bars of compared entities. With the cells of all records
+    (cell_states) the compared entities are read from them, so no row holds all entities of a period."""
     cast = lambda c: c.cast("decimal(38,10)")
     line = trends.select(
         F.concat_ws("/", F.lit("line"), "metric", "unit").alias("chart"), F.col("entity").alias("series"),
@@ -61,8 +62,13 @@ def chart_points(trends: DataFrame, comparisons: DataFrame, histogram: DataFrame
         )),
     )
     bars = histogram.select(F.concat_ws("/", F.lit("bins"), "metric", "unit").alias("chart"), F.lit("count").alias("series"), F.col("bin").cast("string").alias("x"), cast(F.col("n")).alias("y"))
+    chart, series = F.concat_ws("/", F.lit("compare"), "metric", "unit").alias("chart"), F.coalesce("reporting_period", F.lit("")).alias("series")
+    if cell is not None:
+        key = ("metric", "unit", "reporting_period")
+        sides = null_safe(cell.where("entity is not null"), comparisons.select(*key), key, "left_semi").select(chart, series, F.col("entity").alias("x"), cast(F.col("value")).alias("y"))
+        return line.unionByName(bars).unionByName(sides)
     sides = comparisons.select(
-        F.concat_ws("/", F.lit("compare"), "metric", "unit").alias("chart"), F.coalesce("reporting_period", F.lit("")).alias("series"),
+        chart, series,
         F.inline(F.transform("sides", lambda s: F.struct(s["entity"].alias("x"), cast(s["value"]).alias("y")))),
     )
     return line.unionByName(bars).unionByName(sides)

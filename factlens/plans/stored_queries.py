@@ -11,7 +11,7 @@ from ..operators import analytics as A, conflicts as C, dashboard as D, embed, e
 from ..sources import adapters as IN, extract as X, lifecycle as L, tables
 from ..sources.store import Store
 from . import analysis
-from .queries import BASE, BINS, CONF, DEC, OUTCOMES, REC, SAID, SIDES, STATS, TOK, TREND, _classified, _config, _corpus, _d, _outcomes, _page_units, _scratch, query
+from .queries import BASE, BINS, CONF, DEC, OUTCOMES, REC, SAID, SIDES, STATS, TOK, TREND, _cells, _classified, _config, _corpus, _d, _outcomes, _page_units, _scratch, query
 
 # --- stored tables -----------------------------------------------------------------------------------------------------
 
@@ -356,8 +356,9 @@ SELECT (SELECT count(*) FROM rec) || ' records, ' || (SELECT count(*) FROM rec W
        (SELECT string_agg(m, '. ' ORDER BY m) FROM (SELECT m FROM s ORDER BY m LIMIT 5)) AS narrative""")
 def narrative(spark, sf_dir):
     rows = IN.records_from_orders(spark, sf_dir)
-    c, found = A.classify(rows), C.detect(rows)
-    return I.narrative(A.totals(rows, found), I.build(rows, found, A.trends(c), A.comparisons(c)))
+    cell = _cells(spark, sf_dir)
+    found = cell.where("n_values > 1")
+    return I.narrative(A.totals(rows, found), I.build(rows, found, A.trends(None, cell), A.comparisons(None, cell)))
 
 
 @query(f"""WITH {REC} SELECT kpi, count(*) AS n, sum(record_id)::BIGINT AS ids FROM (SELECT record_id, unnest(['records', CASE validation_status WHEN 'pass' THEN 'validated' WHEN 'pending' THEN 'pending' ELSE 'requires_review' END]) AS kpi FROM rec) GROUP BY kpi""")

@@ -144,3 +144,30 @@ def test_plans_have_no_cartesian_product_on_records(spark):
     r = records(spark, {}, {"entity": "B"})
     plan = A.trends(A.classify(r))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Exchange SinglePartition" not in plan
+
+
+def test_cells_of_one_pass_tell_what_classified_records_do(spark):
+    # Conflicts, blanks, texts that are no numbers, NULL keys, statuses, and cells of one raw value with several numbers.
+    rows = [
+        {"record_id": i, "entity": e, "reporting_period": p, "value_raw": raw, "normalized_value": n, "validation_status": s}
+        for i, (e, p, raw, n, s) in enumerate([
+            ("A", "2024-01", "1", "1", "pass"), ("A", "2024-03", "3", "3", "pass"), ("A", "2024-03", "3", "3", "valid"), ("A", "2024-04", "4", "4", "pass"), ("A", "2024-04", "5", "5", "pass"),
+            ("B", "2024-01", "7", "7", "pass"), ("B", "2024-01", "7", "8", "pass"), ("B", "2024-03", "", "9", "pass"), ("B", "2024-03", None, "9", "pass"), ("B", "2024-04", " ", "2", "warning"),
+            (None, "2024-01", "6", "6", "pass"), ("C", None, "2", "2", "pass"), ("C", None, "2", "x", "pass"), ("D", "2024-03", "3", "3", None), ("D", "2024-04", "x", "x", "pass"), ("D", "2024-01", "1", "1.0", "pass"),
+        ])
+    ]
+    r = records(spark, *rows).localCheckpoint()
+    c, cell = A.classify(r), A.cell_states(r).localCheckpoint()
+    same = lambda a, b, *columns: assert_same(a.select(*columns), b.select(*columns))
+    same(A.trends(None, cell), A.trends(c), "entity", "metric", "unit", "first_period", "last_period", "first_value", "last_value", "n_points", "absolute_change", "percent_change", "direction", "gaps")
+    same(A.comparisons(None, cell), A.comparisons(c), "metric", "unit", "reporting_period", "n_entities", "n_valued", "difference")
+    same(cell.where("n_values > 1"), C.detect(r), "entity", "metric", "reporting_period", "unit", "n_values")
+    bins = A.histogram(A.eligible_rows(r, cell))
+    same(bins, A.histogram(c), "metric", "unit", "bin", "low", "high", "n")
+    same(I.chart_points(A.trends(None, cell), A.comparisons(None, cell), bins, cell), I.chart_points(A.trends(c), A.comparisons(c), A.histogram(c)), "chart", "series", "x", "y")
+    # One stored table is read, where least texts were sorted in a pass for each part.
+    assert "SortAggregate" not in A.cell_states(r)._jdf.queryExecution().executedPlan().toString()
+
+
+def assert_same(a, b):
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
