@@ -68,7 +68,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     # The distinct fingerprints are few megabytes, which would be left in a task or two, and each becomes 64 rows.
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.select("fp").distinct().repartition(tasks, "fp").select("fp", F.inline(F.array(*variants)))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    # Merged by sort: Spark takes the size of a scan or a shuffle of fingerprints for that of their 64 keys and would send all keys to the driver.
+    a, b = keyed.alias("a").hint("merge"), keyed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.col("a.slot").cast("int")
     # A pair may meet under many keys; one is its own: the first segment that differs by a bit at most, without that bit.

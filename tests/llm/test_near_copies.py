@@ -272,3 +272,14 @@ def test_near_copies_leave_on_disk_only_what_their_result_reads(spark):
     kept = minhash.dedup(docs, labels=simhash.labels)
     assert {name.split("-")[0] for name in set(os.listdir(place)) - before} == {"heads", "copies"}
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_keys_of_fingerprints_never_go_to_the_driver(spark):
+    # A table of fingerprints is far below the size that Spark broadcasts, and its 64 keys a row are not.
+    fps = [7, 7 ^ 1 << 63, 7 ^ 0b111, 1 << 40, 99, 98 ^ 1 << 40]
+    frame = spark.createDataFrame([((f ^ 1 << 63) - (1 << 63),) for f in fps], "fp long")
+    found = simhash.links(frame)
+    pairs = {frozenset((r.u % 2**64, r.v % 2**64)) for r in found.collect()}
+    assert pairs == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 3}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
