@@ -146,16 +146,16 @@ def _signs(shown: np.ndarray) -> np.ndarray:
     return np.c_[shown[:, 0], np.maximum(0, shown[:, 0] - SURE), np.log1p(shown[:, 1]), np.log1p(shown[:, 2]), np.ones(len(shown))]
 
 
-def _features(words: list[str], numbers: np.ndarray, kind: type = np.float64) -> np.ndarray:
+def _features(words: list[str], numbers: np.ndarray) -> np.ndarray:
     """Dense kernel features of words, over the given subsequences only (sorted numbers)."""
     place = np.full(SYMBOLS**3, -1, np.int64)
     place[numbers] = np.arange(len(numbers))
-    rows, out = codes(words), np.zeros((len(words), len(numbers)), kind)
+    rows, out = codes(words), np.zeros((len(words), len(numbers)))
     for alive, number, weight in subsequences(rows):
         at = place[number]
         ok = at >= 0
         out[alive[ok], at[ok]] += weight  # a row has one placement in each step
-    out /= NORMS[(rows > 0).sum(1)][:, None].astype(kind)
+    out /= NORMS[(rows > 0).sum(1)][:, None]
     return out
 
 
@@ -164,32 +164,51 @@ def _numbers(words: list[str]) -> np.ndarray:
     return found[found > 0]
 
 
+def _placed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel features of words as (row, number, value), without zeros: a word has some hundred of SYMBOLS**3."""
+    rows = codes(words)
+    keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for alive, number, weight in subsequences(rows):
+        ok = number > 0
+        keys.append(alive[ok] * SYMBOLS**3 + number[ok])
+        weights.append(np.full(len(keys[-1]), weight))
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    row = keys // SYMBOLS**3
+    return row, keys % SYMBOLS**3, np.bincount(at, np.concatenate(weights), len(keys)) / NORMS[(rows > 0).sum(1)][row]
+
+
 def _landmarks(words: list[str], count: int) -> list[str]:
     """Greedy farthest-first choice in kernel space."""
     if len(words) <= count:
         return list(words)
-    x = _features(words, _numbers(words), np.float32)
-    square = np.einsum("ij,ij->i", x, x)
-    chosen, far = [0], np.full(len(words), np.inf)
+    row, number, value = _placed(words)
+    start = np.searchsorted(row, np.arange(len(words) + 1))
+    square = np.bincount(row, value * value, len(words))
+    chosen, far, one = [0], np.full(len(words), np.inf), np.zeros(SYMBOLS**3)
     while len(chosen) < count:
         c = chosen[-1]
-        far = np.minimum(far, square + square[c] - 2 * x @ x[c])
+        own = slice(start[c], start[c + 1])
+        one[number[own]] = value[own]
+        far = np.minimum(far, square + square[c] - 2 * np.bincount(row, value * one[number], len(words)))
+        one[number[own]] = 0
         chosen.append(int(far.argmax()))
     return [words[i] for i in dict.fromkeys(chosen)]
 
 
 def _fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, reach: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps, each instance to its own margin; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Linear machine with squared hinge loss by Newton steps, each instance to its own margin; the last column of x is 1, the last weight the bias."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         slack = reach - y * (x @ w)
         on = slack > 0
-        xs, cs = x[on], cost[on]
-        gradient = penalty * w - 2 * xs.T @ (cs * y[on] * slack[on])
-        hessian = np.diag(penalty) + 2 * (xs * cs[:, None]).T @ xs
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 1000):  # no second copy of all instances
+            part = at + np.flatnonzero(on[at : at + 1000])
+            xs, cs = x[part], cost[part]
+            gradient -= 2 * xs.T @ (cs * y[part] * slack[part])
+            hessian += 2 * (xs * cs[:, None]).T @ xs
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -211,7 +230,9 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = 192, co
     good = values > 1e-9 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     words = positive + negative
-    x = np.vstack([(_features(words[i : i + 250], numbers) @ z.T) @ whiten for i in range(0, len(words), 250)])
+    x = np.ones((len(words), whiten.shape[1] + 1))
+    for i in range(0, len(words), 250):
+        x[i : i + 250, :-1] = (_features(words[i : i + 250], numbers) @ z.T) @ whiten
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     # Disguised spellings weigh together what the words themselves do, however many they are.
     weight = cost * (plain + len(negative)) / 2

@@ -1,6 +1,7 @@
 """Toxicity, quality, neighbours."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -243,3 +244,18 @@ def test_neighbours_are_exact(spark, monkeypatch):
     assert hilbert.nearest(few, F.col("vec_id") == 0).count() == 2 and hilbert.nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
     loose = hilbert.nearest(frame, F.col("vec_id") % 20 == 0, exact=False)
     assert loose.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_fitting_holds_no_dense_features_of_all_words():
+    rng = random.Random(3)
+    words = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 14))) for _ in range(3000)))
+    numbers = X._numbers(words[:40])
+    dense, (row, number, value) = X._features(words[:40], numbers), X._placed(words[:40])
+    sparse = np.zeros_like(dense)
+    sparse[row, np.searchsorted(numbers, number)] = value
+    assert np.allclose(dense, sparse) and len(value) == np.count_nonzero(dense)
+    tracemalloc.start()
+    marks = X._landmarks(words, 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(marks)) == 20 and most < 60e6  # 3,000 rows of some 17,000 subsequences are 200 MB in single precision
