@@ -142,3 +142,45 @@ def test_slices_of_sketches_are_keys_of_their_own(spark):
     exact = S.semantic(units, queries, 5)
     pairs = lambda df: sorted((r.query_id, r["rank"], r.unit_id) for r in df.collect())
     assert pairs(found) == pairs(exact)
+
+
+def test_stored_postings_are_lists_that_no_shuffle_moves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "POSTINGS", 40)  # many blocks
+    path, want = str(tmp_path / "index"), plain(spark)
+    S.write_postings(units(spark).repartition(2), path, 3)
+    blocks, frequencies = S.read_postings(spark, path)
+    held = S.postings(units(spark))
+    assert blocks.where("gram is null").count() > 3 and blocks.where("gram is not null").count() < held.count()
+    assert {(r.gram, r.df) for r in frequencies.collect()} == {(r.gram, r.df) for r in S.document_frequencies(held).collect()}
+    assert {(r.query_id, r.unit_id) for r in S.batch_lexical(units(spark), asked(spark), index=(blocks, frequencies)).collect()} == want
+    met = S.candidates(blocks, S._anchors(S._terms(asked(spark)).join(frequencies, "gram", "left")))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    names = [x for x in plan.splitlines() if "Join" in x and "[block" in x and "place" in x]
+    assert names and all("SortMergeJoin" in x for x in names)
+
+
+def test_places_are_numbers_or_bits():
+    for of, places in ((1, [0]), (1000, [3, 999]), (1000, list(range(0, 1000, 3))), (65536, [0, 65535]), (65536, list(range(65536)))):
+        packed = S._packed(np.array(places, np.uint16), of)
+        assert len(packed) <= min(2 * len(places), of // 8 + 1) and S._unpacked(packed, len(places), of).tolist() == places
+
+
+def test_grams_of_a_text_are_those_of_its_pieces(monkeypatch):
+    text = "".join(chr(97 + i * i % 23) + "é😀"[i % 2] for i in range(300))
+    whole = S._keys(text), S._hashed(text, (3, 6))
+    monkeypatch.setattr(S, "PIECE", 7)
+    assert (S._keys(text) == whole[0]).all() and all((a == b).all() for a, b in zip(S._hashed(text, (3, 6)).values(), whole[1].values()))
+    assert {S._gram(int(k)) for k in whole[0]} == {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+
+def test_long_texts_that_ask_meet_little_more_than_their_matches(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words, 900)) for _ in range(120)]
+    texts[1] = texts[0]
+    many = spark.createDataFrame([(i, i, "page", "T", t, None, None) for i, t in enumerate(texts)], "unit_id long, document_id long, unit_type string, title string, content string, entity string, metric string")
+    queries = S.prepare(many.where("unit_id < 40").selectExpr("unit_id as query_id", "content as text"))
+    met = S.met_units(many, queries).collect()
+    assert {(r.query_id, r.unit_id) for r in met} >= {(i, i) for i in range(40)} | {(0, 1), (1, 0)} and len(met) < 100
+    found = S.batch_lexical(many, queries)
+    assert sorted((r.query_id, r.unit_id) for r in found.collect()) == sorted([(i, i) for i in range(40)] + [(0, 1), (1, 0)])
