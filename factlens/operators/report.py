@@ -148,7 +148,7 @@ def sections(selection: DataFrame, documents: DataFrame) -> dict[str, DataFrame]
     found = C.detect(selection)
     return {
         "executive_summary": executive_summary(selection),
-        "summary": summary(selection).crossJoin(found.agg(F.count("*").alias("conflicts"))),
+        "summary": summary(selection).crossJoin(C.conflict_keys(selection).agg(F.count("*").alias("conflicts"))),  # as the executive summary counts them
         "key_figures": groups(selection),
         "detail": records(selection, documents),
         "validation_notes": selection.groupBy("validation_status").agg(F.count("*").alias("n")),
@@ -157,9 +157,9 @@ def sections(selection: DataFrame, documents: DataFrame) -> dict[str, DataFrame]
     }
 
 
-def write_json(tables: dict[str, DataFrame], path: str) -> None:
-    """Sink of a result: JSON lines, a folder for each section."""
-    to_json_rows(tables).write.mode("overwrite").partitionBy("section").text(path)
+def write_json(tables: dict[str, DataFrame], path: str, compression: str = "gzip") -> None:
+    """Sink of a result: JSON lines, a folder for each section; compressed, since every line names its fields, unless "none" is asked for."""
+    to_json_rows(tables).write.mode("overwrite").option("compression", compression).partitionBy("section").text(path)
 
 
 def to_json_rows(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from factlens.operators import analytics as A, conflicts as C, insights as I, report
 from factlens.plans.analysis import analyze
@@ -171,3 +172,16 @@ def test_cells_of_one_pass_tell_what_classified_records_do(spark):
 
 def assert_same(a, b):
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_written_json_is_small_and_reads_as_it_was(spark, tmp_path):
+    rows = [(i, i % 3, f"cust-{i % 5}", "order_total", "USD", "2024-01", str(i % 2), "pass") for i in range(5000)]
+    records = spark.createDataFrame(rows, "record_id long, document_id long, entity string, metric string, unit string, reporting_period string, value_raw string, validation_status string").withColumn("normalized_value", F.col("value_raw"))
+    documents = spark.createDataFrame([(i, f"f{i}") for i in range(3)], "document_id long, filename string")
+    tables = report.sections(records, documents)
+    path = tmp_path / "report"
+    report.write_json(tables, str(path))
+    wanted = {(r.section, r.payload) for r in report.to_json_rows(tables).collect()}
+    assert {(r.section, r.value) for r in spark.read.text(str(path)).collect()} == wanted
+    assert 8 * sum(f.stat().st_size for f in path.rglob("part-*")) < sum(len(p) for _, p in wanted)
+    assert tables["summary"].first().conflicts == 5
