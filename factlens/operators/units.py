@@ -21,8 +21,9 @@ def _fill(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
-def page_units(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    named = pages.join(documents.select("document_id", "filename"), "document_id", "left")
+def page_units(pages: DataFrame, documents: DataFrame | None) -> DataFrame:
+    """Pages as units; without documents they have their file name."""
+    named = pages if documents is None else pages.join(documents.select("document_id", "filename"), "document_id", "left")
     label = F.coalesce(blank_to_null(F.col("section_reference")), F.concat(F.lit("page "), F.col("page_number").cast("string")))
     confidence = F.col("ocr.confidence").cast("double") if "ocr" in pages.columns else F.lit(None).cast("double")
     return _fill(

@@ -22,7 +22,7 @@ RUNS = "number long, run_id string, run string, bucket int, buckets int, generat
 
 def _write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """The only way that this module writes."""
-    df.write.mode("append").partitionBy(*by).parquet(path)
+    df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,10 @@ class Store:
         wanted, hit = self.keyed(ids, state)
         return self.read(name, state, hit).join(wanted.select(self.key), self.key, "left_semi").select(self.schemas[name].fieldNames())
 
-    def commit(self, batches: dict[str, DataFrame], run_id: str, keys: DataFrame | None = None) -> bool:
+    def commit(self, batches: dict[str, DataFrame], run_id: str, keys: DataFrame | None = None, placed: bool = False) -> bool:
         """Replace documents in all tables at once: those of the batches, or those of `keys`, which may be replaced by nothing. A table without a batch
-        loses the documents. A run that was committed before is not done again: False."""
+        loses the documents. A run that was committed before is not done again: False. `placed` says that the batches hold rows of `keys` only, and that
+        the rows of a bucket lie in one task, as `dealt` leaves them; they are then written where they are."""
         if unknown := set(batches) - set(self.schemas):
             raise ValueError(f"no such table: {sorted(unknown)}")
         if not self.history().where(F.col("run_id") == run_id).isEmpty():
@@ -98,22 +99,31 @@ class Store:
         for other in named[1:]:
             gone = gone.unionByName(other)
         gone, hit = self.keyed(gone, state)
-        self._write_run(state, run_id, hit, {name: self._next(name, batches.get(name), gone, state, hit) for name in self.schemas}, state.buckets, state.generation)
+        self._write_run(state, run_id, hit, {name: self._next(name, batches.get(name), gone, state, hit, placed) for name in self.schemas}, state.buckets, state.generation)
         return True
 
-    def _next(self, name: str, batch: DataFrame | None, gone: DataFrame, state: State, hit: list[int]) -> DataFrame:
-        kept = self.read(name, state, hit).join(gone.select(self.key), self.key, "left_anti")
+    def dealt(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """Rows with their bucket, those of one bucket in one task."""
+        return bucketed(rows, buckets, self.key).repartition("bucket")
+
+    def _typed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select([F.col(f.name).cast(f.dataType) for f in self.schemas[name]])
+
+    def _next(self, name: str, batch: DataFrame | None, gone: DataFrame, state: State, hit: list[int], placed: bool) -> DataFrame:
+        rows = self.read(name, state, hit).join(gone.select(self.key), self.key, "left_anti")
+        if batch is not None and placed:
+            new = bucketed(self._typed(name, batch), state.buckets, self.key)
+            return self.dealt(self._typed(name, rows), state.buckets).unionByName(new) if set(hit) & set(state.runs) else new
         if batch is not None:
             # Rows of documents that are not replaced would double on the next run, so they are no part of a batch.
-            kept = kept.unionByName(batch.select(self.schemas[name].fieldNames()).join(gone.select(self.key), self.key, "left_semi"))
-        return kept
+            rows = rows.unionByName(batch.select(self.schemas[name].fieldNames()).join(gone.select(self.key), self.key, "left_semi"))
+        return self.dealt(self._typed(name, rows), state.buckets)
 
     def _write_run(self, state: State, run_id: str, hit: list[int], tables: dict[str, DataFrame], buckets: int, generation: int) -> None:
         run = uuid.uuid4().hex
         for name, df in tables.items():
             if hit:
-                new = bucketed(df.select([F.col(f.name).cast(f.dataType) for f in self.schemas[name]]), buckets, self.key).withColumn("run", F.lit(run))
-                _write(new.repartition("bucket"), f"{self.root}/{name}", ("bucket", "run"))
+                _write(df.withColumn("run", F.lit(run)), f"{self.root}/{name}", ("bucket", "run"))
         # A run that touches nothing is committed too, so that it is not tried again; bucket -1 holds no rows.
         rows = [(state.number + 1, run_id, run, b, buckets, generation) for b in hit or [-1]]
         _write(self.spark.createDataFrame(rows, RUNS).coalesce(1), f"{self.root}/runs")
@@ -121,7 +131,7 @@ class Store:
     def rebucket(self, buckets: int, run_id: str) -> None:
         """Deal all tables out to another number of buckets, in one run."""
         state = self.state()
-        self._write_run(state, run_id, list(range(buckets)), {name: self.read(name, state) for name in self.schemas}, buckets, state.generation + 1)
+        self._write_run(state, run_id, list(range(buckets)), {name: self.dealt(self._typed(name, self.read(name, state)), buckets) for name in self.schemas}, buckets, state.generation + 1)
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete folders that none of the last `keep` states reads: replaced buckets, and what stopped jobs left. Returns their number."""

@@ -6,7 +6,9 @@ that is stored join it. So the same batches in any order end in the same tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import records as R, units as U, validate as V
@@ -14,18 +16,19 @@ from ..sources import lifecycle
 from ..sources.store import Store
 
 
-def latest(batch: DataFrame, version: str) -> DataFrame:
-    """Rows of the latest version of each document in a batch; null is before all versions."""
-    newest = batch.groupBy("document_id").agg(F.max(version).alias("__v"))
-    return batch.join(newest, "document_id").where(F.col(version).eqNullSafe(F.col("__v"))).drop("__v")
-
+def merged(stored: DataFrame, batch: DataFrame, version: str, files: DataFrame, deal: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pages of each document's latest version, of what is stored and what arrives, with their file name; null is before all versions. A page that differs
+    between arrivals of one version counts once, by the content of greater hash, so that the order does not matter.
 
-def merged(stored: DataFrame, batch: DataFrame, version: str) -> DataFrame:
-    """The pages of each document's latest version, of what is stored and what arrives. A page that differs between arrivals of one version
-    counts once, by the content of greater hash, so that the order does not matter."""
-    both = latest(stored.unionByName(batch.select(stored.columns)), version)
-    row = F.struct(*stored.columns)
-    return both.groupBy("document_id", "page_id").agg(F.max_by(row, F.xxhash64(*stored.columns)).alias("row")).select("row.*")
+    `deal` adds the bucket of documents and brings a bucket's rows into one task. Texts are moved by it and by nothing else, which is why names
+    (document_id, filename) come as rows between the pages and not by a join."""
+    both = stored.unionByName(batch.select(stored.columns)).withColumn("__page", F.lit(True))
+    rows = deal(both.unionByName(files.withColumn("__page", F.lit(False)), allowMissingColumns=True).where("document_id is not null"))
+    document = W.partitionBy("bucket", "document_id")
+    told = rows.withColumns({"__v": F.max(version).over(document), "filename": F.max("filename").over(document)})
+    newest = told.where(F.col("__page") & F.col(version).eqNullSafe(F.col("__v")))
+    row = F.struct(*stored.columns, "filename")
+    return newest.groupBy("bucket", "document_id", "page_id").agg(F.max_by(row, F.xxhash64(*stored.columns)).alias("row")).select("row.*")
 
 
 def derive(pages: DataFrame, config: V.Config, max_per_page: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +37,8 @@ def derive(pages: DataFrame, config: V.Config, max_per_page: int | None = None)
     return rows, V.row_outcomes(rows, config)
 
 
-def derived(pages: DataFrame, config: V.Config, documents: DataFrame, version: str = "version", max_per_page: int | None = None) -> dict[str, DataFrame]:
-    """All tables of pages, by name."""
+def derived(pages: DataFrame, config: V.Config, documents: DataFrame | None, version: str = "version", max_per_page: int | None = None) -> dict[str, DataFrame]:
+    """All tables of pages, by name. Without documents the pages have their file name; no row then leaves its task."""
     plain = pages.drop(version)
     rows, outcomes = derive(plain, config, max_per_page)
     units = U.page_units(plain, documents).unionByName(U.record_units(rows)).unionByName(U.validation_units(outcomes))
@@ -58,17 +61,16 @@ def ingest(source: DataFrame, root: str, checkpoint: str, config: V.Config, docu
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         store = Store(spark, root, schemas, buckets)
+        state = store.state()
         stream = spark.read.text(f"{checkpoint}/metadata").first()[0]  # a new checkpoint has a new id, its batches are new runs
         ids = batch.select("document_id").distinct()
-        pages = merged(store.rows_of("pages", ids), batch, version).persist()
-        new = derived(pages, config, documents, version, max_per_page)
-        for name in ("records", "outcomes"):  # units are made of them
-            new[name].persist()
+        # Everything is made of the pages where they lie. Only they are kept for it: what is derived is larger.
+        files = documents.select("document_id", "filename")
+        pages = merged(store.rows_of("pages", ids, state), batch, version, files, lambda rows: store.dealt(rows, state.buckets)).persist()
         try:
-            store.commit(new, f"{stream} {number}", ids)
+            store.commit(derived(pages, config, None, version, max_per_page), f"{stream} {number}", ids, placed=True)
             store.vacuum(keep)
         finally:
-            for name in ("outcomes", "records", "pages"):
-                new[name].unpersist()
+            pages.unpersist()
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -169,3 +169,21 @@ def test_keys_are_forgotten_after_their_time(spark, tmp_path, ttl, want):
     finally:
         job.stop()
     assert {(r["record_id"], r["first_record_id"]) for r in spark.read.schema(stream.schema).parquet(f"{root}/out").collect()} == want
+
+
+def test_pages_move_once_on_their_way_to_the_store(spark, tmp_path):
+    schema = "page_id long, document_id long, extracted_text string, version int"
+    stored = spark.createDataFrame([(1, 1, "old", 1), (2, 1, "old too", 1), (3, 2, "stays", 3), (4, 3, "none", None)], schema)
+    batch = spark.createDataFrame([(1, 1, "new", 2), (3, 2, "late", 2), (5, 2, "joins", 3), (4, 3, "first", 0), (6, 4, "x", None), (7, None, "nobody's", 9)], schema)
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (9, "z")], "document_id long, filename string")
+    store = S.Store(spark, str(tmp_path / "s"), {"pages": schema}, 4)
+    out = G.merged(stored, batch, "version", files, lambda rows: store.dealt(rows, 4))
+    got = {(r.document_id, r.page_id, r.extracted_text, r.version, r.filename) for r in out.collect()}
+    assert got == {(1, 1, "new", 2, "a"), (2, 3, "stays", 3, "b"), (2, 5, "joins", 3, "b"), (3, 4, "first", 0, None), (4, 6, "x", None, None)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count(" Exchange ") == 1 and "Join" not in plan
+    keys = spark.createDataFrame([(1,), (2,), (3,), (4,)], "document_id long")
+    for number in range(2):  # into empty buckets, and over what they hold
+        assert store.commit({"pages": out}, str(number), keys, placed=True)
+        assert {(r.document_id, r.page_id, r.extracted_text, r.version) for r in store.read("pages").collect()} == {g[:4] for g in got}
+    assert store.read("pages").count() == 5
